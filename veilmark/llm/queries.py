@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, ogg, secrets
+from . import bpe, fair_mix, line_crf, minhash, ogg, scaled_sketch, secrets, vbyte
 from .common import documents
 
 
@@ -22,6 +22,22 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op6_vbyte_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vbyte.id_report(documents(spark, sf_dir))
+
+
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.sketch_neighbours(documents(spark, sf_dir))
+
+
+def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix_report(documents(spark, sf_dir))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir))
 
@@ -30,6 +46,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_markov_secrets": op5_markov_secrets,
+    "op6_vbyte_ids": op6_vbyte_ids,
+    "op7_line_crf": op7_line_crf,
+    "op8_scaled_sketch": op8_scaled_sketch,
+    "op9_fair_mix": op9_fair_mix,
     "op10_bpe_codec": op10_bpe_codec,
 }
 

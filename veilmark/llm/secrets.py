@@ -33,6 +33,8 @@ MIN_RANDOM = 20
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}"
 #: Labelled strings of each class, and the share of ordinary ones that may score above the threshold.
 SAMPLES, FALSE_SHARE = 6000, 0.0005
+#: Least threshold, in nats.
+MARGIN = 3.0
 
 #: Parts of ordinary identifiers and prose (fixed values).
 PARTS = (
@@ -54,16 +56,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def running_sum(values: Column, block: int = 128) -> Column:
-    """Sums of all elements before each element of an array, by blocks: near-linear in its length."""
+def running_sum(values: Column) -> Column:
+    """Sums of all elements before each element of an array, by blocks of 128: near-linear in its length."""
     add = lambda a, x: a + x
-    part = lambda b: F.aggregate(F.slice(values, b * block + 1, block), F.lit(0), add)
-    blocks = F.floor((F.size(values) + block - 1) / block).cast("int")
+    part = lambda b: F.aggregate(F.slice(values, b * 128 + 1, 128), F.lit(0), add)
+    blocks = F.shiftright(F.size(values) + 127, 7)
     indexes = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
 
     def whole(sums: Column) -> Column:
         before = F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, 1, b), F.lit(0), add))
-        return let(before, lambda t: F.transform(values, lambda _, i: t[F.floor(i / block).cast("int")] + F.aggregate(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), add)))
+        inside = lambda i: F.aggregate(F.slice(values, F.shiftright(i, 7) * 128 + 1, i.bitwiseAND(127)), F.lit(0), add)
+        return let(before, lambda t: F.transform(values, lambda _, i: t[F.shiftright(i, 7)] + inside(i)))
 
     return let(F.transform(indexes, part), whole)
 
@@ -123,7 +126,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
             F.concat(F.array_join(words, "_"), F.lit("_"), (i % 100).cast("string")),
             F.array_join(words, ""),
             F.upper(F.array_join(words, "")),
-            F.repeat(F.element_at(F.array(*map(F.lit, "=-_+/aA0")), (i / 10 % 8 + 1).cast("int")), 30),
+            F.repeat(F.substring(F.lit(ALPHABET), (i % 67 + 1).cast("int"), F.lit(1)), 30),
         ),
         (i % 10 + 1).cast("int"),
     )
@@ -175,7 +178,7 @@ def train(spark: SparkSession, samples: DataFrame | None = None) -> MarkovModel:
             ratios[a * width + b] = _ln(share[True][b - 1] / share[False][b - 1])
     model = MarkovModel(tuple(ratios), 0.0)
     limit = samples.where("not random").agg(F.percentile(model.score(F.col("said")), F.lit(1 - FALSE_SHARE))).first()[0]
-    return MarkovModel(tuple(ratios), max(round(limit or 0.0, 3), 0.0))
+    return MarkovModel(tuple(ratios), max(round(limit or 0.0, 3), MARGIN))
 
 
 def _ln(x: float) -> float:
