@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fair_mix, line_crf, minhash, ogg, scaled_sketch, secrets, vbyte
+from . import bpe, chat_tree, fair_mix, line_crf, minhash, ogg, scaled_sketch, secrets, token_spans, vbyte
 from .common import documents
 
 
@@ -14,10 +14,18 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_digest(documents(spark, sf_dir))
 
 
+def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.chat_report(chat_tree.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op4_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.tokens_by_section(documents(spark, sf_dir))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
@@ -44,7 +52,9 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op2_chat_tree": op2_chat_tree,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_token_spans": op4_token_spans,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_vbyte_ids": op6_vbyte_ids,
     "op7_line_crf": op7_line_crf,
