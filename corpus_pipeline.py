@@ -1,23 +1,74 @@
-"""Corpus pipeline: stages over ``documents``, each through one operator of ``veilmark.llm``."""
+"""Corpus pipeline: five stages over ``documents``, each through one operator of ``veilmark.llm``.
+
+Every stage works on all rows that its predecessor kept and is written as
+Parquet before the next one reads it. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilmark.llm import bpe, fair_mix, line_crf, minhash, secrets
+from veilmark.llm.common import documents, materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the line field rejects go. Trained on the labelled rows of the whole table."""
+    field = line_crf.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    scored = line_crf.score_documents(docs, field, keep=tuple(names))
+    return scored.where(F.col("score") >= line_crf.THRESHOLD).select(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group stays, the one with the smallest id.
 
-from veilmark.llm import bpe
+    Of rows that share an id one stays; rows without an id stay all.
+    """
+    found = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.limit(1).count():
+        single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+        kept = single.union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return kept.union(docs.where("doc_id is null"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: every span found is masked in its text, and ``n_chars`` follows."""
+    names = docs.columns
+    masked = secrets.redact(docs, secrets.train(spark))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: sources by target weight, in the order of finish times."""
+    return fair_mix.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of what they decode to."""
+    """Operator 10: token ids of every document, and the digest of what they decode to."""
     return bpe.bpe_digest(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources", source_mix),
+    ("BPE encoding", encode),
+]
+
+#: The line field and the BPE walk have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{i}")
     return docs
