@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 
 
 def pairs(query: DataFrame, cand: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -25,8 +25,8 @@ def pairs(query: DataFrame, cand: DataFrame, cell_rows: int = CELL_ROWS) -> Data
     c = cand.select(*[F.col(x).alias(f"c_{x}") for x in cand.columns])
     rows, cols = (max(1, -(-d.count() // cell_rows)) for d in (query, cand))
     deal = lambda d, n: F.pmod(F.xxhash64(*d.columns), F.lit(n))
-    left = q.withColumn("__row", deal(q, rows)).withColumn("__col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).cast("long"))
-    right = c.withColumn("__col", deal(c, cols)).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+    left = q.withColumn("__row", deal(q, rows)).withColumn("__col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)).cast("array<long>")))
+    right = c.withColumn("__col", deal(c, cols)).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>")))
     return left.join(right, ["__row", "__col"]).drop("__row", "__col")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import release
+from . import distances, release
 
-QUERIES = {**release.QUERIES}
-SQL = {**release.SQL}
+QUERIES = {**release.QUERIES, **distances.QUERIES}
+SQL = {**release.SQL, **distances.SQL}
