@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import distances, release
+from . import distances, release, utility
 
-QUERIES = {**release.QUERIES, **distances.QUERIES}
-SQL = {**release.SQL, **distances.SQL}
+QUERIES = {**release.QUERIES, **distances.QUERIES, **utility.QUERIES}
+SQL = {**release.SQL, **distances.SQL, **utility.SQL}
