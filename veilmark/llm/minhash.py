@@ -15,7 +15,8 @@ How links are found without pairs inside large groups:
 3. candidates are kept if their signatures agree in ``NEAR`` of the minima,
    and become links if the full sets say so;
 4. nodes of a large bucket that then lie in different components are compared
-   in blocks, by signature first. Nodes that cannot reach the threshold with
+   in blocks, by signature and then by full sets; a block returns the links
+   that join components, not all. Nodes that cannot reach the threshold with
    anyone (too many own elements) are left out: this bound is exact.
 
 Cases: rows with a null id get their set size, no component and
@@ -41,7 +42,7 @@ NEAR = 0.70
 #: Largest bucket of which all pairs are candidates.
 SMALL = 8
 #: Nodes in one block of the comparison of what is left in large buckets.
-BLOCK = 1500
+BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -93,7 +94,7 @@ def _sketch(df: DataFrame, id_column: str, text_column: str, words: int) -> Data
                     continue
                 m = minima(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append([xxhash.xxh64_intdigest(m[j : j + ROWS].tobytes(), j) - (1 << 63) for j in range(0, MINIMA, ROWS)])
+                keys.append([_band_key(m, j) for j in range(BANDS)])
                 sigs.append(m.view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))],
@@ -132,39 +133,60 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Candidates between components inside large buckets, block by block.
+def _band_key(minima_: np.ndarray, band: int) -> int:
+    part = np.ascontiguousarray(minima_[band * ROWS : (band + 1) * ROWS])
+    return xxhash.xxh64_intdigest(part.tobytes(), band) - (1 << 63)
 
-    ``members`` holds ``key, id, n, own, sig, component``. A bucket of *k*
-    blocks becomes k(k+1)/2 groups of two blocks at most.
+
+def _joins_between(pdf, percent: int):
+    """Verified links of one pair of blocks that join two components: at most one a node.
+
+    A pair is looked at in the first band that it shares. Components grow as
+    links are found, so pairs inside one are skipped.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    import pandas as pd
+
+    g = np.stack(pdf.sig.to_numpy())
+    bands = g.reshape(len(g), BANDS, ROWS)
+    band = next(j for j in range(BANDS) if _band_key(g[0], j) == pdf.key.iloc[0])
+    n, own, root, ids, sets = (pdf[c].to_numpy() for c in ("n", "own", "component", "id", "shingles"))
+    root = root.copy()
+    left, right = (np.flatnonzero(pdf.block == pdf[c].iloc[0]) for c in ("i", "j"))
+    u, v = [], []
+    for k in left:
+        most = np.minimum(n[k] - own[k], n[right] - own[right])
+        able = right[(root[right] != root[k]) & (100 * most >= percent * (n[k] + n[right] - most))]
+        able = able[(g[able] == g[k]).sum(axis=1) >= int(NEAR * MINIMA)]
+        able = able[~(bands[able, :band] == bands[k, :band]).all(axis=2).any(axis=1)]
+        for o in able:
+            if root[o] == root[k]:
+                continue
+            common = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+            if 100 * common >= percent * (n[k] + n[o] - common):
+                root[root == root[o]] = root[k]
+                u.append(min(ids[k], ids[o]))
+                v.append(max(ids[k], ids[o]))
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside large buckets, block by block.
+
+    ``members`` holds ``key, id, n, own, component``. A bucket of *k* blocks
+    becomes k(k+1)/2 groups of two blocks at most; a block holds few enough
+    nodes and shingles for one task.
+    """
+    size = members.groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks"), F.min("component").alias("c1"), F.max("component").alias("c2")
+    )
     dealt = (
-        members.join(size.select("key", "size"), "key")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "own", "component", "sig")
+        members.join(size.where("c1 < c2").select("key", "blocks"), "key")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "own", "component")
+        .join(sets.select("id", "n", "sig", "shingles"), "id")
     )
-
-    def compare(pdf):
-        import pandas as pd
-
-        left = pdf[pdf.block == pdf.i.iloc[0]]
-        right = pdf[pdf.block == pdf.j.iloc[0]]
-        g1, g2 = np.stack(left.sig.to_numpy()) if len(left) else np.empty((0, MINIMA)), np.stack(right.sig.to_numpy()) if len(right) else np.empty((0, MINIMA))
-        n2, o2, c2, id2 = (right[c].to_numpy() for c in ("n", "own", "component", "id"))
-        u, v = [], []
-        for k, (n, own, c, i) in enumerate(zip(left.n, left.own, left.component, left.id)):
-            most = np.minimum(n - own, n2 - o2)
-            able = np.flatnonzero((c2 != c) & (100 * most >= percent * (n + n2 - most)))
-            able = able[(g2[able] == g1[k]).sum(axis=1) >= int(NEAR * MINIMA)]
-            u += [i] * len(able)
-            v += id2[able].tolist()
-        u, v = np.array(u, np.int64), np.array(v, np.int64)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _joins_between(pdf, percent), "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -195,9 +217,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         .agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
         .groupBy("id").agg(F.count("*").alias("own"))
     )
-    rated = hot.select("id", "n", "sig").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sig")
+    rated = hot.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
     rated = materialize(rated.where(f"100 * (n - own) >= {percent} * n"), "rated")
-    able = large.join(rated.select("id", "n", "own"), "id")
+    able = large.join(rated, "id")
     pivot = able.groupBy("key").agg(F.min(F.struct("own", "id"))["id"].alias("pivot"))
     stars = able.join(pivot, "key").where("id <> pivot").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
 
@@ -208,8 +230,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     edges = materialize(links.union(same), "links")
     found = materialize(connected_components(edges), "component")
 
-    placed = able.select("key", "id").distinct().join(rated, "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = materialize(_links(_rest(placed, percent), sets, percent), "links")
+    placed = able.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = materialize(_rest(placed, sets, percent), "links")
     if more.limit(1).count():
         found = materialize(connected_components(edges.union(more)), "component")
 
