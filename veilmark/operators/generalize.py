@@ -67,13 +67,13 @@ def lattice_classes(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid
     wide = combos
     for a in qid:
         h = hierarchies[a]
-        look = small(h.frame.select(F.col("l0").alias("__leaf"), F.array(*h.levels).alias(f"__{a}")), BROADCAST_LEAVES)
+        look = small(h.frame.select(F.col("l0").alias("__leaf"), F.array(*h.levels).alias(f"__up_{a}")), BROADCAST_LEAVES)
         wide = wide.join(look, wide[a].cast("string") == look["__leaf"]).drop("__leaf")
     vectors = lattice(hierarchies, qid) if vectors is None else vectors
     choices = F.array(*[F.array(*[F.lit(v[a]) for a in qid]) for v in vectors])
-    each = wide.withColumn("__v", F.explode(choices))
-    picked = [F.element_at(f"__{a}", F.col("__v")[i] + 1).alias(a) for i, a in enumerate(qid)]
-    return each.select(F.array_join("__v", "_").alias("node"), *picked, "n").groupBy("node", *qid).agg(F.sum("n").alias("n"))
+    each = wide.withColumn("__vector", F.explode(choices))
+    picked = [F.element_at(f"__up_{a}", F.col("__vector")[i] + 1).alias(a) for i, a in enumerate(qid)]
+    return each.select(F.array_join("__vector", "_").alias("node"), *picked, "n").groupBy("node", *qid).agg(F.sum("n").alias("n"))
 
 
 def lattice_statistics(classes: DataFrame, k: int) -> DataFrame:
@@ -119,10 +119,10 @@ def nonuniform_entropy(df: DataFrame, hierarchies: Mapping[str, Hierarchy], vect
     parts = None
     for a, level in vector.items():
         h = hierarchies[a].frame
-        leaf = df.groupBy(F.col(a).cast("string").alias("l0")).agg(F.count(F.lit(1)).alias("c"))
+        leaf = df.groupBy(F.col(a).cast("string").alias("l0")).agg(F.count(F.lit(1)).alias("__c"))
         both = leaf.join(h.select("l0", F.col(f"l{level}").alias("node")), "l0")
-        node = both.groupBy("node").agg(F.sum("c").alias("t"))
-        one = both.join(node, "node").agg(F.sum(-F.col("c") * F.log2(F.col("c") / F.col("t"))).alias("entropy")).select(F.lit(a).alias("attribute"), "entropy")
+        node = both.groupBy("node").agg(F.sum("__c").alias("t"))
+        one = both.join(node, "node").agg(F.sum(-F.col("__c") * F.log2(F.col("__c") / F.col("t"))).alias("entropy")).select(F.lit(a).alias("attribute"), "entropy")
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
@@ -141,8 +141,8 @@ def ambiguity(classes: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Seq
 
 def classification_metric(df: DataFrame, qid: Sequence[str], target: Column) -> DataFrame:
     """Share of rows outside their class's majority target; suppressed rows form an ordinary class."""
-    per = df.groupBy(*qid, target.alias("__t")).agg(F.count(F.lit(1)).alias("c"))
-    cls = per.groupBy(*qid).agg((F.sum("c") - F.max("c")).alias("wrong"), F.sum("c").alias("n"))
+    per = df.groupBy(*qid, target.alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    cls = per.groupBy(*qid).agg((F.sum("__c") - F.max("__c")).alias("wrong"), F.sum("__c").alias("n"))
     return cls.agg((F.sum("wrong") / F.sum("n")).alias("cm"))
 
 

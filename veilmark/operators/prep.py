@@ -17,8 +17,8 @@ def tens(value: Column) -> Column:
 
 def crosstab(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``(*keys, value, share)``: share of each value inside its group; null values are left out."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    return counts.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy(*keys))).drop("c")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    return counts.withColumn("share", F.col("__c") / F.sum("__c").over(Window.partitionBy(*keys))).drop("__c")
 
 
 def impute_mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -72,8 +72,8 @@ def sample_std(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def entropy_weights(df: DataFrame, column: str) -> DataFrame:
     """``(entropy, weight)``: entropy in nats of the value distribution, and its inverse."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.sum("c").over(Window.partitionBy())  # one row a value
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
+    share = F.col("__c") / F.sum("__c").over(Window.partitionBy())  # one row a value
     p = counts.select(share.alias("p"))
     h = F.sum(-F.col("p") * F.ln(F.col("p") + 1e-16))
     return p.agg(h.alias("entropy")).withColumn("weight", 1 / F.col("entropy"))

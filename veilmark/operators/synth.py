@@ -15,10 +15,10 @@ from veilmark.functions.draws import SCALE, seeded
 
 def _ranges(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """``(*keys, choices)``: values with the upper end of their share of [0, 2**32)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    upto = F.sum("c").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = counts.withColumn("end", F.ceil(upto / F.sum("c").over(w) * SCALE)).select(*keys, F.struct("end", F.col(column).alias("value")).alias("x"))
+    upto = F.sum("__c").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = counts.withColumn("end", F.ceil(upto / F.sum("__c").over(w) * SCALE)).select(*keys, F.struct("end", F.col(column).alias("value")).alias("x"))
     return ends.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("choices"))
 
 
@@ -51,10 +51,10 @@ def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n:
 
 def mutual_information(df: DataFrame, a: str, b: str) -> float:
     """Mutual information of two columns in nats, from their contingency table."""
-    joint = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("c"))
+    joint = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("__c"))
     whole = Window.partitionBy()
-    m = joint.select("c", F.sum("c").over(Window.partitionBy(a)).alias("x"), F.sum("c").over(Window.partitionBy(b)).alias("y"), F.sum("c").over(whole).alias("n"))
-    return m.agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("x") * F.col("y"))))).first()[0] or 0.0
+    m = joint.select("__c", F.sum("__c").over(Window.partitionBy(a)).alias("__x"), F.sum("__c").over(Window.partitionBy(b)).alias("__y"), F.sum("__c").over(whole).alias("__n"))
+    return m.agg(F.sum(F.col("__c") / F.col("__n") * F.ln(F.col("__c") * F.col("__n") / (F.col("__x") * F.col("__y"))))).first()[0] or 0.0
 
 
 def dependency_tree(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
