@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Each source's documents are shuffled by a hash. A document's *virtual finish
+Each source's documents are shuffled by a seeded MD5 of their ids. A document's *virtual finish
 time* is the running total of its source's words up to its end, divided by the
 source's target; a source short of its target goes round again, up to
 ``LAPS`` times. Ordered by finish time, the offers use up the total budget at
@@ -65,8 +65,9 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     of its first offer. ``carry`` names further columns of ``df`` to keep.
     """
     plain = [F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), word_count(text_or_empty(text_column)).alias("size")]
-    turn = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"), text_or_empty(text_column)).alias("turn")
-    docs = df.select(*plain, turn, F.pmod(turn, F.lit(BUCKETS)).alias("bucket"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    turn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_column).cast("string"), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10).cast("long")
+    tie = F.xxhash64(text_or_empty(text_column)).alias("tie")
+    docs = df.select(*plain, turn.alias("turn"), tie, F.pmod(turn, F.lit(BUCKETS)).alias("bucket"), *[F.col(c).alias(f"c_{c}") for c in carry])
     sizes = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     parts = materialize(sizes, "mix")
     goal = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -74,14 +75,14 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     starts = parts.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     plan = starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.bucket", "s.start", "g.source_size", "g.target")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bucket").orderBy("turn", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def ranked(rows: DataFrame) -> DataFrame:
         own = rows.withColumn("own", F.sum("size").over(inside)).alias("d")
         both = own.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
         return both.select("d.*", "p.source_size", "p.target", (F.col("p.start") + F.col("d.own")).alias("end"))
 
-    placed = materialize(ranked(docs.select("id", "source", "size", "turn", "bucket")), "mix")
+    placed = materialize(ranked(docs.select("id", "source", "size", "turn", "tie", "bucket")), "mix")
     laps = lambda: sum(((F.lit(k) * F.col("source_size") + F.col("end") <= F.col("target")).cast("int") for k in range(LAPS)), F.lit(0))
     used = placed.select("source", "size", "end", "source_size", "target", laps().alias("copies")).where("size > 0")
     short = used.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))

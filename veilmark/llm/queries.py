@@ -63,4 +63,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-SQL: dict[str, str] = {}
+#: A-Z to lower case and nothing else, as the near-duplicates do.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op2_chat_tree": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*\|)', '<\\\1', 'g') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id""",
+    "op3_minhash_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 5),
+g AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS x
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT doc_id, list(DISTINCT x ORDER BY x) AS s FROM g WHERE x IS NOT NULL GROUP BY 1
+  UNION ALL SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END FROM w WHERE len(w) < 5),
+classes AS (SELECT s, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY 1),
+items AS (SELECT node, hash(unnest(s)) AS x, len(s) AS n FROM classes),
+shared AS (SELECT x FROM items GROUP BY 1 HAVING count(*) > 1),
+few AS (SELECT items.* FROM items JOIN shared USING (x)),
+pairs AS (SELECT a.node AS u, b.node AS v, a.n AS na, b.n AS nb, count(*) AS c FROM few a JOIN few b ON a.x = b.x AND a.node < b.node GROUP BY 1, 2, 3, 4),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 85 * (na + nb - c)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(node, root) AS (SELECT node, node FROM classes UNION SELECT e.v, r.root FROM reach r JOIN edges e ON e.u = r.node),
+named AS (SELECT c.s, min(r.root) AS component_id FROM classes c JOIN reach r USING (node) GROUP BY 1)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN named USING (s)""",
+    "op9_fair_mix": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size, CAST('0x' || substr(md5(doc_id || '|1'), 1, 12) AS BIGINT) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY 1),
+w AS (SELECT *, (k - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, encode(source) NULLS LAST) AS place FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, place) FROM l WHERE ratio >= level)) AS target FROM l),
+e AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn % 512, turn, doc_id, size) AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN CAST(e <= target AS INT) + CAST(source_size + e <= target AS INT) + CAST(2 * source_size + e <= target AS INT) ELSE 0 END AS copies FROM e),
+f AS (SELECT source, any_value(target) - sum(copies * size) AS short FROM c WHERE size > 0 GROUP BY 1),
+x AS (SELECT c.source, max(struct_pack(size := size, e := e)).e AS extra FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source WHERE size > 0 AND copies < 3 AND size <= short GROUP BY 1)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((copies + CASE WHEN size > 0 AND e = extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM c LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source""",
+}
