@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.geo import haversine_km
 from veilmark.functions.ranges import half_open_midpoint, midpoint, parse_range
-from veilmark.operators import counts, distance, facility, knn, models, prep, privacy, scores, synth
+from veilmark.operators import counts, distance, facility, knn, models, prep, privacy, report, scores, synth
 from veilmark.operators import generalize as G
 from veilmark.operators import hierarchy as H
 from veilmark.sources import tables
@@ -206,3 +206,10 @@ def test_sources(spark, tmp_path):
     assert {r["name"] for r in got.collect()} == {"1_2", "h"}
     status = spark.createDataFrame([("d", "r", None), ("d", "s", "boom")], "dataset string, release string, error string")
     assert [r["release"] for r in tables.failed(status).collect()] == ["s"]
+
+
+def test_report_keeps_failures(spark):
+    metrics = {"good": lambda: spark.range(1).select(F.lit(2.0).alias("a"), F.lit(None).cast("double").alias("b")), "bad": lambda: spark.range(1).select("missing"), "skipped": lambda: 1 / 0}
+    rows = [tuple(r) for r in report.measure(spark, "r", metrics, ["good", "bad"]).collect()]
+    assert rows[:2] == [("r", "good", "a", 2.0, None), ("r", "good", "b", None, None)] and rows[2][1] == "bad" and rows[2][4]
+    assert G.parameter_grid(k=[5, 10], qid=["a"]) == [{"k": 5, "qid": "a"}, {"k": 10, "qid": "a"}]

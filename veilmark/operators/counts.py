@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .generalize import BROADCAST_LEAVES, small
@@ -52,6 +52,17 @@ def estimate(combos: DataFrame, columns: Sequence[str], filters: DataFrame, node
     return asked.select("query_id").join(total, "query_id", "left").select("query_id", F.coalesce("estimate", F.lit(0.0)).alias("estimate"))
 
 
+def exact(df: DataFrame, predicates: dict[int, Column], batch: int = 100) -> DataFrame:
+    """``(query_id, count)`` of arbitrary predicates: one scan for each batch of queries."""
+    ids, out = sorted(predicates), None
+    for k in range(0, len(ids), batch):
+        part = ids[k : k + batch]
+        row = df.agg(*[F.count_if(predicates[q]).alias(str(q)) for q in part])
+        long = row.select(F.explode(F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), F.col(str(q)).alias("count")) for q in part])).alias("r")).select("r.*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def relative_error(real: DataFrame, estimated: DataFrame) -> DataFrame:
     """Mean of ``|real - estimate| / real`` over the queries whose real count is not 0."""
     both = real.select("query_id", F.col("estimate").alias("real")).join(estimated, "query_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,19 @@ def nodes(x: Column, y: Column, levels: int, normalized: bool = False) -> Column
     return F.when(x == y, 0.0).otherwise(F.lit(1.0 if normalized else 2.0 * levels - 2))
 
 
+def with_matrix(pairs: DataFrame, matrix: DataFrame, column: str, name: str = "matrix_distance") -> DataFrame:
+    """Attach a given distance to pairs with ``q_<column>`` and ``c_<column>``.
+
+    ``matrix`` has ``a, b, d`` with each unordered pair once; equal values are
+    at distance 0, a missing pair gives null.
+    """
+    x, y = F.col(f"q_{column}").cast("string"), F.col(f"c_{column}").cast("string")
+    low, high = F.least(F.col("a").cast("string"), F.col("b").cast("string")), F.greatest(F.col("a").cast("string"), F.col("b").cast("string"))
+    look = matrix.select(low.alias("__a"), high.alias("__b"), F.col("d").alias("__d"))
+    joined = pairs.join(look, (F.least(x, y) == look["__a"]) & (F.greatest(x, y) == look["__b"]), "left")
+    return joined.withColumn(name, F.when(x == y, 0.0).otherwise(F.col("__d"))).drop("__a", "__b", "__d")
+
+
 def record(parts: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
     """``sqrt(sum of weighted squares / number of columns)``."""
     weights = weights or {}

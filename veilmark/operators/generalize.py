@@ -58,6 +58,11 @@ def lattice(hierarchies: Mapping[str, Hierarchy], qid: Sequence[str]) -> list[di
     return [dict(zip(qid, v)) for v in product(*[range(hierarchies[a].depth) for a in qid])]
 
 
+def parameter_grid(**values: Sequence) -> list[dict]:
+    """All combinations of configuration values, the last name varying fastest."""
+    return [dict(zip(values, v)) for v in product(*values.values())]
+
+
 def lattice_classes(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], vectors: Sequence[Mapping[str, int]] | None = None) -> DataFrame:
     """``(node, <qid>, n)``: the classes of every level vector, from the distinct combinations alone.
 

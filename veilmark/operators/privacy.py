@@ -75,6 +75,14 @@ def generalization_score(truth_in_guess: Column, n_leaves: Column) -> Column:
     return F.when(truth_in_guess, 1 / n_leaves).otherwise(0.0)
 
 
+def attribute_kinds(df: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...], most: int = 200) -> DataFrame:
+    """``(attribute, kind)``: number, category, or other for a category of more than ``most`` values."""
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in categorical])
+    rows = [F.struct(F.lit(c).alias("attribute"), F.lit("number").alias("kind")) for c in numeric]
+    rows += [F.struct(F.lit(c).alias("attribute"), F.when(F.col(c) > most, "other").otherwise("category").alias("kind")) for c in categorical]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def value_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: sorted distinct values, numbered from 0, so that all releases share codes."""
     # as many rows as the attribute's domain

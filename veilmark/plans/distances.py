@@ -84,6 +84,20 @@ def distance_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _summary(df, df, D.nodes(F.col("q_grp"), F.col("c_grp"), 3))
 
 
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between types from a given table: the difference of their places in the alphabet over 5."""
+    df = parts(spark, d)
+    codes = P.value_codes(df, "type")
+    a, b = codes.toDF("a", "i"), codes.toDF("b", "j")
+    matrix = a.join(b, F.col("i") < F.col("j")).select("a", "b", ((F.col("j") - F.col("i")) / 5).alias("d"))
+    p = D.with_matrix(knn.pairs(_queries(df).select("rid", "type"), df.select("rid", "type")), matrix, "type")
+    return p.groupBy(F.col("q_rid").alias("rid")).agg(_r(F.sum("matrix_distance"), 6).alias("total"))
+
+
+def attribute_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return P.attribute_kinds(parts(spark, d), ("size", "price"), ("brand", "type", "grp"), 20)
+
+
 def record_distance(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     return _summary(df, df, all_distance(_price_width(df)))
@@ -210,7 +224,7 @@ def value_codes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, record_distance,
+        distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, distance_matrix, attribute_kinds, record_distance,
         knn_top5_qid, knn_top5_all, knn_self_second, nn_distance_summary, close_value_ratio, similarity_ratio, nn_accuracy, nn_identity,
         aia_nearest_1, aia_nearest_5, aia_range_overlap, aia_category, entropy_weights, numeric_domains, value_codes,
     )
@@ -257,6 +271,11 @@ SQL = {
         "(SELECT rid, CASE rid % 3 WHEN 0 THEN '*' WHEN 1 THEN grp ELSE brand END AS node FROM parts)",
     ),
     "distance_nodes": _summary_sql("CASE WHEN q.grp = c.grp THEN 0.0 ELSE 4.0 END"),
+    "distance_matrix": f"""WITH {PARTS_SQL}, c AS (SELECT type, row_number() OVER (ORDER BY type) AS i FROM (SELECT DISTINCT type FROM parts)),
+      x AS (SELECT rid, i FROM parts JOIN c USING (type)) SELECT q.rid, round(sum(abs(q.i - y.i) / 5), 6) AS total FROM x q, x y WHERE q.rid % 100 = 0 GROUP BY 1""",
+    "attribute_kinds": f"""WITH {PARTS_SQL} SELECT 'size' AS attribute, 'number' AS kind UNION ALL SELECT 'price', 'number' UNION ALL
+      SELECT 'brand', CASE WHEN count(DISTINCT brand) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL
+      SELECT 'type', CASE WHEN count(DISTINCT type) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL SELECT 'grp', CASE WHEN count(DISTINCT grp) > 20 THEN 'other' ELSE 'category' END FROM parts""",
     "record_distance": _summary_sql(_ALL),
     "knn_top5_qid": f"WITH {PARTS_SQL} {_TOP.format(d=QID_SQL, q='h', c='o', k=5)}",
     "knn_top5_all": f"WITH {PARTS_SQL} {_TOP.format(d=f'round({_ALL}, 9)', q='h', c='p', k=5)}",

@@ -55,6 +55,11 @@ def query_relative_error(spark: SparkSession, d: str) -> DataFrame:
     return Q.relative_error(count_queries_exact(spark, d), count_queries_estimated(spark, d)).select(_r("relative_error", 4).alias("relative_error"))
 
 
+def count_predicates(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return Q.exact(o, {i: (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000.0 * i) for i in range(120)})
+
+
 def bucketize(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.groupBy(prep.bucketize(F.col("o_totalprice"), 0.0, 500000.0, 40).alias("bucket")).agg(F.count("*").alias("n"))
@@ -207,7 +212,7 @@ def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        count_queries_exact, count_queries_estimated, query_relative_error, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy,
+        count_queries_exact, count_queries_estimated, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy,
         regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_dependency_tree,
         gmm_log_likelihood, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
     )
@@ -242,6 +247,7 @@ SQL = {
     "count_queries_exact": f"WITH {_LEAVES} SELECT query_id, estimate FROM exact",
     "count_queries_estimated": f"WITH {_LEAVES} SELECT query_id, round(estimate, 6) AS estimate FROM guess",
     "query_relative_error": f"WITH {_LEAVES} SELECT round(avg(abs(e.estimate - g.estimate) / e.estimate) FILTER (e.estimate <> 0), 4) AS relative_error FROM exact e JOIN guess g USING (query_id)",
+    "count_predicates": "SELECT i AS query_id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 * i) AS count FROM range(120) t(i)",
     "bucketize": "SELECT CAST(least(greatest(floor(o_totalprice / 12500.0), 0), 39) AS BIGINT) AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "patient_weight": f"WITH {_WEIGHT} SELECT rid, zone, weight FROM w",
     "haversine_matrix": f"WITH {_GEO} SELECT zone, site, round(km, 6) AS km FROM km",
