@@ -13,6 +13,7 @@ have no spans; ids are only carried, so nulls and repeats are allowed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -175,18 +176,12 @@ def train(spark: SparkSession, samples: DataFrame | None = None) -> MarkovModel:
             whole = sum(own)
             share[label] = [x / whole for x in own]
         for b in range(1, width):
-            ratios[a * width + b] = _ln(share[True][b - 1] / share[False][b - 1])
+            ratios[a * width + b] = math.log(share[True][b - 1] / share[False][b - 1])
     model = MarkovModel(tuple(ratios), 0.0)
     limit = samples.where("not random").agg(F.percentile(model.score(F.col("said")), F.lit(1 - FALSE_SHARE))).first()[0]
     return MarkovModel(tuple(ratios), max(round(limit or 0.0, 3), MARGIN))
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def find_secrets(df: DataFrame, model: MarkovModel, text_column: str = "text") -> DataFrame:
     """``df`` with ``secrets``: an array of ``(start, rank, end)`` by start, then kind; ``rank`` is the place in ``KINDS``."""
     text = text_or_empty(text_column)
