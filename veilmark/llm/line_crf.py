@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-TRAIN_DOCS, TRAIN_BYTES = 3000, 60_000
+TRAIN_DOCS, TRAIN_BYTES = 3000, 20_000
 THRESHOLD = 0.7
 #: Bytes of text whose features are computed at once.
 CHUNK_BYTES = 1 << 21
