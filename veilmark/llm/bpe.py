@@ -27,8 +27,8 @@ from .common import ready
 #: Pre-tokenizer of the vocabulary file (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's chunk table; it is emptied beyond that.
-TABLE_ENTRIES = 600_000
+#: Entries of a worker's chunk table; a full table keeps them and adds none.
+TABLE_ENTRIES = 350_000
 
 #: Pieces of up to so many bytes are encoded many at a time.
 LOCKSTEP_BYTES = 64
@@ -364,11 +364,12 @@ class Encoder:
                 held += " " + part
         return [*out, held]
 
-    def _fill(self) -> None:
-        """Encode the chunks that wait."""
+    def _fill(self) -> tuple[list, list]:
+        """Encode the chunks that wait; returns the new chunks and pieces."""
         chunks, pieces, codec = self.chunks, self.pieces, self.codec
+        added = (chunks.new, pieces.new)
         if not chunks.new:
-            return
+            return added
         flat, sizes = [], []
         for chunk in chunks.new:
             if isinstance(chunk, tuple):
@@ -386,21 +387,30 @@ class Encoder:
                 ids = np.insert(ids, int(counts[:k].sum()), codec.special[pieces.new[k][0]])
                 counts[k] = 1
             pieces.pool.add(ids, counts)
-            pieces.new.clear()
         ids, counts = pieces.pool.get(np.array(flat, np.int64))
         total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(sizes)
         chunks.pool.add(ids, total[ends] - total[ends - np.array(sizes)])
-        chunks.new.clear()
+        chunks.new, pieces.new = [], []
+        return added
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the number of ids of each."""
-        if self.chunks.pool.slots > TABLE_ENTRIES:
-            self.reset()
+        """All ids of the texts in a row, and the number of ids of each.
+
+        What a batch adds to a full table goes again, so memory stays bounded
+        and the common chunks, which come early, stay.
+        """
+        tables = (self.chunks, self.pieces)
+        marks = [(t.pool.slots, t.pool.used) for t in tables]
         each = [self.slots(t) for t in texts]
-        self._fill()
+        added = self._fill()
         sizes = np.array([len(s) for s in each], np.int64)
         flat = np.fromiter(chain.from_iterable(each), np.int64, int(sizes.sum()))
         ids, counts = self.chunks.pool.get(flat)
+        if marks[0][0] > TABLE_ENTRIES:
+            for table, mark, keys in zip(tables, marks, added, strict=True):
+                for k in keys:
+                    del table[k]
+                table.pool.slots, table.pool.used = mark
         total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(sizes)
         return ids, total[ends] - total[ends - sizes]
 
