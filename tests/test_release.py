@@ -170,6 +170,12 @@ def test_facility(spark):
     assert km == pytest.approx(3.14159265 * 6371.0088, rel=1e-6)
     w = facility.patient_weight(F.lit(1), F.lit(50), F.lit(1), F.lit(100), F.lit(30), F.lit(1.0), F.lit(50000))
     assert one(spark, w) == pytest.approx(54.5556, abs=1e-3)
+    rows = spark.createDataFrame(
+        [("Male", "50", "1", "100", "30", "smokes", "50000"), ("Male", "[50, 51[", "1", "100", "30", "smokes", "50000"), ("*", "*", "0", "55", None, "odd", "0")],
+        "gender string, age string, hypertension string, avg_glucose_level string, bmi string, smoking_status string, Income string",
+    )
+    got = [r["weight"] for r in facility.weigh_patients(rows).collect()]
+    assert got[0] == got[1] == pytest.approx(54.5556, abs=1e-3) and got[2] == pytest.approx(100 * (0.15 * 41 / 81 + 0.15 * 18.7 / 87.3))
     zones = spark.createDataFrame([(i, float(i), 0.0) for i in range(6)], "zone int, lat double, lon double")
     need = zones.select("zone", F.lit(1.0).alias("weight"))
     sites = zones.withColumnRenamed("zone", "site")

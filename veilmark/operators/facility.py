@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.geo import haversine_km
+from veilmark.functions.ranges import half_open_midpoint
 
-#: Share of a smoking status in the weight (fixed values).
-SMOKING = {"never smoked": 0.0, "formerly smoked": 0.5, "smokes": 1.0}
+#: Share of each smoking status in the weight, generalised ones included (fixed values); any other counts 0.
+SMOKING = {"smokes": 1.0, "formerly smoked": 0.5, "ever smoked": 0.75, "never smoked": 0.5, "*": 0.5}
+#: Stands for a missing body-mass index, and for a suppressed age (fixed values).
+MISSING_BMI, SUPPRESSED_AGE = 29.0, 42
 SITES = 10
 
 
@@ -25,6 +28,22 @@ def patient_weight(male: Column, age: Column, hypertension: Column, glucose: Col
     )
 
 
+def weigh_patients(df: DataFrame) -> DataFrame:
+    """``df`` with ``weight``, from original or generalised columns as text.
+
+    Ages may be intervals or stars; a missing body-mass index and unknown
+    smoking statuses have fixed stand-ins; any other null gives a null weight.
+    """
+    smoking = F.lit(0.0)
+    for status, share in SMOKING.items():
+        smoking = F.when(F.col("smoking_status") == status, share).otherwise(smoking)
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    male = F.when(F.col("gender") == "Male", 1.0).otherwise(0.0)
+    age = half_open_midpoint(F.col("age"), SUPPRESSED_AGE)
+    bmi = F.coalesce(number("bmi"), F.lit(MISSING_BMI))
+    return df.withColumn("weight", patient_weight(male, age, number("hypertension"), number("avg_glucose_level"), bmi, smoking, number("Income")))
+
+
 def distance_table(zones: DataFrame, sites: DataFrame) -> DataFrame:
     """``(zone, site, km)`` of ``(zone, lat, lon)`` and ``(site, lat, lon)``.
 
