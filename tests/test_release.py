@@ -161,6 +161,9 @@ def test_imputation(spark):
     mean = {r["rid"]: r["x"] for r in prep.impute_mean(rows, ["g"], "x").collect()}
     assert mean[3] == 1.5 and mean[4] is None and mean[6] == 3.0
     assert [one(spark, prep.tens(F.lit(v))) for v in (25, 35)] == [20, 40]
+    sick = spark.createDataFrame([("F", 5, "smokes", 15.0), ("F", 41, "smokes", 20.0), ("F", 44, None, 30.06), ("F", 43, "smokes", None)], "gender string, age int, smoking_status string, bmi double")
+    got = {r["age"]: (r["smoking_status"], r["bmi"]) for r in prep.clean_patients(sick).collect()}
+    assert got[5][0] == "never smoked" and got[44][0] == "smokes" and got[43][1] == 25.0
     assert prep.bucket_count(0.0, 0.0, 34.9) == 10
     assert one(spark, prep.bucketize(F.lit(10.0), 0.0, 10.0, 5)) == 4
 

@@ -77,3 +77,15 @@ def entropy_weights(df: DataFrame, column: str) -> DataFrame:
     p = counts.select(share.alias("p"))
     h = F.sum(-F.col("p") * F.ln(F.col("p") + 1e-16))
     return p.agg(h.alias("entropy")).withColumn("weight", 1 / F.col("entropy"))
+
+
+def clean_patients(df: DataFrame) -> DataFrame:
+    """Fill smoking status and body-mass index of ``age, gender, smoking_status, bmi`` rows.
+
+    Children below ten never smoked, whatever is written; other gaps take the
+    most frequent status and the mean index of gender and age in tens.
+    """
+    status = F.when(F.col("age") < 10, "never smoked").otherwise(F.col("smoking_status"))
+    rows = df.withColumn("smoking_status", status).withColumn("__tens", tens(F.col("age")))
+    keys = ["gender", "__tens"]
+    return impute_mean(impute_mode(rows, keys, "smoking_status"), keys, "bmi").drop("__tens")
