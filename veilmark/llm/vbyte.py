@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Pool, Table
+from .bpe import Table, ragged
 from .common import materialize, partitions_for, ready, shared_dir
 
 #: Ends a document (fixed value of the contract).
 END_ID = 1
 TABLE_ENTRIES = 600_000
 
+#: Marks that may follow a word without white space; a run of them is a piece of its own.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 _COLUMNS = np.arange(4, dtype=np.uint8)
 
@@ -76,46 +78,78 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
         self.chunks, self.words = Table(), Table()
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the number of ids of each."""
-        if self.chunks.pool.slots > TABLE_ENTRIES:
-            self.reset()
+    def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the UTF-8 texts in a row, and the number of ids of each.
+
+        A full table keeps its entries; what a batch adds beyond goes again.
+        """
+        tables = (self.chunks, self.words)
+        marks = [(t.pool.slots, t.pool.used) for t in tables]
         chunks, each = self.chunks, []
-        for text in texts:
-            raw = text.encode()
+        for raw in texts:
             # the strings of special tokens depend on case
             each.append([chunks[c] for c in (raw if b"<" in raw else raw.lower()).split()])
-        self._fill()
+        added = self._fill()
         sizes = np.array([len(s) for s in each], np.int64)
         ids, counts = chunks.pool.get(np.fromiter(chain.from_iterable(each), np.int64, int(sizes.sum())))
+        if marks[0][0] > TABLE_ENTRIES:
+            for table, mark, keys in zip(tables, marks, added, strict=True):
+                for k in keys:
+                    del table[k]
+                table.pool.slots, table.pool.used = mark
         total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(sizes)
         return ids, total[ends] - total[ends - sizes]
 
-    def _fill(self) -> None:
-        if not self.chunks.new:
-            return
-        words, flat, sizes = self.words, [], []
-        for chunk in self.chunks.new:
-            if chunk[-1] in b",.!" and (word := chunk[:-1]).decode().lower().isalpha():
-                flat += [words[word], words[chunk[-1:]]]
+    def _fill(self) -> tuple[list[bytes], list[bytes]]:
+        """Encode the chunks that wait; returns the new chunks and words."""
+        words, flat, sizes, new = self.words, [], [], self.chunks.new
+        for chunk in new:
+            word = chunk.rstrip(_MARKS)
+            if word and len(word) < len(chunk) and word.decode().lower().isalpha():
+                flat += [words[word], words[chunk[len(word) :]]]
                 sizes.append(2)
             else:
                 flat.append(words[chunk])
                 sizes.append(1)
         if words.new:
-            ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words.new], add_special_tokens=False)]
-            counts = np.array([len(x) for x in ids], np.int64)
-            words.pool.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
-            words.new.clear()
-        ids, counts = words.pool.get(np.array(flat, np.int64))
-        total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(sizes)
-        self.chunks.pool.add(ids, total[ends] - total[ends - np.array(sizes)])
-        self.chunks.new.clear()
+            words.pool.add(*self._encode(words.new))
+        if new:
+            ids, counts = words.pool.get(np.array(flat, np.int64))
+            total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum(sizes)
+            self.chunks.pool.add(ids, total[ends] - total[ends - np.array(sizes)])
+        added = (new, words.new)
+        self.chunks.new, words.new = [], []
+        return added
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and their counts. Words of letters go to the library many in a text: their last tokens are marked."""
+        texts = [w.decode() for w in words]
+        plain = np.array([t.lower().isalpha() for t in texts], bool)
+        lines = np.flatnonzero(plain)
+        parts = [lines[k : k + 500] for k in range(0, len(lines), 500)]
+        found = self.library.encode_batch_fast([" ".join([texts[i] for i in part]) for part in parts], add_special_tokens=False)
+        together = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        stops = np.flatnonzero(self.final[together]) + 1
+        if len(stops) != len(lines):  # a library or vocabulary that ends words otherwise
+            plain[:] = False
+            together, stops, lines = together[:0], stops[:0], lines[:0]
+        other = np.flatnonzero(~plain)
+        alone = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+        counts = np.zeros(len(words), np.int64)
+        counts[lines] = np.diff(stops, prepend=0)
+        counts[other] = [len(x) for x in alone]
+        out, ends = np.empty(int(counts.sum()), np.uint32), np.cumsum(counts)
+        out[ragged(ends[lines] - counts[lines], counts[lines])] = together
+        out[ragged(ends[other] - counts[other], counts[other])] = np.fromiter(chain.from_iterable(alone), np.uint32)
+        return out, counts
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -141,7 +175,7 @@ def encode_ids(df: DataFrame, id_column: str, text_column: str, path: str) -> Da
         enc = _encoder(path)
         width = "<u2" if enc.library.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            ids, counts = enc.batch(batch.column(1).to_pylist())
+            ids, counts = enc.batch(batch.column(1).cast(pa.binary()).to_pylist())
             ends = np.cumsum(counts)
             rows = [np.append(ids[e - c : e], END_ID).astype(width).tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
