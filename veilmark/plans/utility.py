@@ -14,7 +14,7 @@ from veilmark.operators import models as M
 from veilmark.operators import prep, scores, synth
 from veilmark.sources.tables import merge_results, table
 
-from .frames import PARTS_SQL, PEOPLE, PEOPLE_SQL, VECTOR, holdout, interval_sql, original, parts, people, people_hierarchies, release
+from .frames import PARTS_SQL, PEOPLE, PEOPLE_SQL, VECTOR, holdout, original, parts, people, people_hierarchies, release
 
 _r = F.round
 QID = list(PEOPLE.qid)
