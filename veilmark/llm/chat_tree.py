@@ -140,7 +140,7 @@ def build_tree(df: DataFrame, path: str | None = None) -> tuple[DataFrame, DataF
     rows = materialize(_chain(turns, path or default_path()), "turns")
 
     leaves = rows.where("path is not null").select("conv", "path")
-    ordered = leaves.repartitionByRange(partitions_for(spark), "path").sortWithinPartitions("path", "conv")
+    ordered = leaves.repartitionByRange(partitions_for(spark), "path", "conv").sortWithinPartitions("path", "conv")
     ranked = materialize(ordered.select("conv", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("rank")), "paths")
 
     narrow = rows.select("conv", "k", "node", "n_tokens").alias("r").join(ranked.alias("c"), F.col("r.conv").eqNullSafe(F.col("c.conv"))).select("r.*", "shard", "rank")
