@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from veilmark.llm import bpe, fair_mix, line_crf, minhash, secrets
 from veilmark.llm.common import documents, materialize
 
+#: Similarity in per cent from which documents are near copies. The 85 of operator 3's own query is that query's contract only.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the line field rejects go. Trained on the labelled rows of the whole table."""
@@ -23,11 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group stays, the one with the smallest id.
+    """Operator 3 at similarity 0.80: one document of each group stays, the one with the smallest id.
 
     Of rows that share an id one stays; rows without an id stay all.
     """
-    found = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     kept = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.limit(1).count():

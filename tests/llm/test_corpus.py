@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -86,6 +87,43 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_plan_bounds_misses():
+    assert minhash.plan_for(85)[:2] == (5, 24) and minhash.plan_for(80)[:2] == (4, 30)
+    for percent in (11, 30, 50, 80, 85, 95, 100):
+        rows, bands, near = minhash.plan_for(percent)
+        s = percent / 100
+        below = sum(math.comb(120, k) * s**k * (1 - s) ** (120 - k) for k in range(near))
+        assert rows * bands == 120 and (1 - s**rows) ** bands <= 1e-6 and below <= 1e-6
+    with pytest.raises(ValueError):
+        minhash.plan_for(5)
+
+
+def between_corpus() -> dict:
+    """Pairs and two large stars whose similarity lies in 0.70 to 0.90, most of it between 0.80 and 0.85."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = {}
+    for copies, groups in ((1, 60), (40, 2)):
+        for _ in range(groups):
+            base = [word() for _ in range(200)]
+            texts[len(texts)] = " ".join(base)
+            for _ in range(copies):
+                cut = rnd.randint(12, 32)  # words replaced at the end: 5-grams 1..196-cut stay
+                texts[len(texts)] = " ".join([*base[:-cut], *(word() for _ in range(cut))])
+    return texts
+
+
+def test_pipeline_near_duplicates_at_80(spark, sf):
+    texts = between_corpus()
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {i for i, (root, _) in brute_components(texts, 80).items() if root == i}
+    assert kept != {i for i, (root, _) in brute_components(texts, 85).items() if root == i}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()} == kept
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    real = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, 80)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {i for i, (root, _) in real.items() if root == i}
+
+
 def test_connected_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (None, 3)]

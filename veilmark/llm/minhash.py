@@ -12,19 +12,27 @@ How links are found without pairs inside large groups:
    nodes all pairs are candidates. In a larger one the node with the fewest
    *own* elements (elements that no other node of any large bucket has) is
    the pivot and pairs with each other node;
-3. candidates are kept if their signatures agree in ``NEAR`` of the minima,
-   and become links if the full sets say so;
+3. candidates are kept if their signatures agree in ``Plan.near`` of the
+   minima, and become links if the full sets say so;
 4. nodes of a large bucket that then lie in different components are compared
    in blocks, by signature and then by full sets; a block returns the links
    that join components, not all. Nodes that cannot reach the threshold with
    anyone (too many own elements) are left out: this bound is exact.
 
+Bands and ``near`` follow from the threshold (:func:`plan_for`): two sets just
+at it share no band with a probability of at most ``MISS``, and agree in fewer
+than ``near`` minima with at most ``MISS``; above it both are rarer.
+
 Cases: rows with a null id get their set size, no component and
 ``kept = false``; rows that share an id are one node, whose texts all count.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,10 +43,9 @@ from .common import materialize, ready
 from .components import connected_components
 
 WORDS = 5
-ROWS, BANDS = 5, 24
-MINIMA = ROWS * BANDS
-#: Share of equal minima below which a candidate goes. At similarity 0.85 the share's deviation is 0.033.
-NEAR = 0.70
+MINIMA = 120
+#: Greatest probability that two sets just at the threshold share no band, and that the signature check drops them.
+MISS = 1e-6
 #: Largest bucket of which all pairs are candidates.
 SMALL = 8
 #: Nodes in one block of the comparison of what is left in large buckets.
@@ -50,6 +57,29 @@ _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 _MIX = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+class Plan(NamedTuple):
+    rows: int
+    bands: int
+    near: int
+
+
+@cache
+def plan_for(percent: int) -> Plan:
+    """Rows of a band, number of bands, and least number of equal minima, for a threshold in per cent.
+
+    The longest bands of ``MINIMA`` that share none with a probability of at
+    most ``MISS`` at the threshold; minima agree there with a binomial law.
+    """
+    s = percent / 100
+    if not 0 < s <= 1 or (1 - s) ** MINIMA > MISS:
+        raise ValueError(f"{MINIMA} minima do not find links at {percent} per cent with a miss of {MISS} at most")
+    rows = max(r for r in range(1, MINIMA + 1) if MINIMA % r == 0 and (1 - s**r) ** (MINIMA // r) <= MISS)
+    near, below = 0, 0.0
+    while near < MINIMA and (below := below + comb(MINIMA, near) * s**near * (1 - s) ** (MINIMA - near)) <= MISS:
+        near += 1
+    return Plan(rows, MINIMA // rows, near)
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a document's shingles."""
     parts = (text or "").encode().lower().split()
@@ -78,7 +108,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(df: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+def _sketch(df: DataFrame, id_column: str, text_column: str, words: int, plan: Plan) -> DataFrame:
     source = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches):
@@ -94,7 +124,7 @@ def _sketch(df: DataFrame, id_column: str, text_column: str, words: int) -> Data
                     continue
                 m = minima(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append([_band_key(m, j) for j in range(BANDS)])
+                keys.append([_band_key(m, j, plan.rows) for j in range(plan.bands)])
                 sigs.append(m.view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))],
@@ -125,7 +155,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same = F.aggregate(F.zip_with("g1", "g2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
     common = F.size(F.array_intersect("s1", "s2"))
     return (
-        both.where(same >= int(NEAR * MINIMA))
+        both.where(same >= plan_for(percent).near)
         .withColumn("common", common)
         .where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common")))
         .select("u", "v")
@@ -133,8 +163,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _band_key(minima_: np.ndarray, band: int) -> int:
-    part = np.ascontiguousarray(minima_[band * ROWS : (band + 1) * ROWS])
+def _band_key(minima_: np.ndarray, band: int, rows: int) -> int:
+    part = np.ascontiguousarray(minima_[band * rows : (band + 1) * rows])
     return xxhash.xxh64_intdigest(part.tobytes(), band) - (1 << 63)
 
 
@@ -146,9 +176,10 @@ def _joins_between(pdf, percent: int):
     """
     import pandas as pd
 
+    plan = plan_for(percent)
     g = np.stack(pdf.sig.to_numpy())
-    bands = g.reshape(len(g), BANDS, ROWS)
-    band = next(j for j in range(BANDS) if _band_key(g[0], j) == pdf.key.iloc[0])
+    bands = g.reshape(len(g), plan.bands, plan.rows)
+    band = next(j for j in range(plan.bands) if _band_key(g[0], j, plan.rows) == pdf.key.iloc[0])
     n, own, root, ids, sets = (pdf[c].to_numpy() for c in ("n", "own", "component", "id", "shingles"))
     root = root.copy()
     left, right = (np.flatnonzero(pdf.block == pdf[c].iloc[0]) for c in ("i", "j"))
@@ -156,7 +187,7 @@ def _joins_between(pdf, percent: int):
     for k in left:
         most = np.minimum(n[k] - own[k], n[right] - own[right])
         able = right[(root[right] != root[k]) & (100 * most >= percent * (n[k] + n[right] - most))]
-        able = able[(g[able] == g[k]).sum(axis=1) >= int(NEAR * MINIMA)]
+        able = able[(g[able] == g[k]).sum(axis=1) >= plan.near]
         able = able[~(bands[able, :band] == bands[k, :band]).all(axis=2).any(axis=1)]
         for o in able:
             if root[o] == root[k]:
@@ -192,7 +223,7 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
     """``(id_column, n_shingles, component_id, kept)``, one row a document of ``df``."""
     spark = ready(df.sparkSession)
-    sketch = materialize(_sketch(df, id_column, text_column, words), "sketch")
+    sketch = materialize(_sketch(df, id_column, text_column, words, plan_for(percent)), "sketch")
     live = sketch.where("id is not null and n > 0")
     classes = live.groupBy("digest").agg(F.min("id").alias("node"))
     member = materialize(live.select("id", "digest").join(classes, "digest").select("id", "node"), "member")
