@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.geo import haversine_km
 from veilmark.functions.ranges import half_open_midpoint
+from veilmark.operators import knn
 
 #: Share of each smoking status in the weight, generalised ones included (fixed values); any other counts 0.
 SMOKING = {"smokes": 1.0, "formerly smoked": 0.5, "ever smoked": 0.75, "never smoked": 0.5, "*": 0.5}
@@ -47,12 +48,10 @@ def weigh_patients(df: DataFrame) -> DataFrame:
 def distance_table(zones: DataFrame, sites: DataFrame) -> DataFrame:
     """``(zone, site, km)`` of ``(zone, lat, lon)`` and ``(site, lat, lon)``.
 
-    All combinations are the result asked for; sites are a list of candidates
-    and each zone carries them once through an array.
+    All combinations are the result asked for; both sides are joined in blocks.
     """
-    listed = sites.agg(F.collect_list(F.struct("site", F.col("lat").alias("slat"), F.col("lon").alias("slon"))).alias("sites"))
-    each = zones.crossJoin(F.broadcast(listed)).select("zone", "lat", "lon", F.explode("sites").alias("s"))
-    return each.select("zone", "s.site", haversine_km(F.col("lat"), F.col("lon"), F.col("s.slat"), F.col("s.slon")).alias("km"))
+    each = knn.pairs(zones.select("zone", "lat", "lon"), sites.select("site", "lat", "lon"))
+    return each.select(F.col("q_zone").alias("zone"), F.col("c_site").alias("site"), haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("c_lat"), F.col("c_lon")).alias("km"))
 
 
 def demand(patients: DataFrame, zone: str, weight: str) -> DataFrame:
@@ -69,12 +68,13 @@ def assignment_cost(need: DataFrame, table: DataFrame, chosen: DataFrame) -> Dat
 def choose_sites(need: DataFrame, table: DataFrame, p: int = SITES) -> tuple[list, float]:
     """Greedy choice with swaps (Teitz and Bart): a heuristic without a proof of optimality.
 
-    Each round prices all candidates in one aggregate; only one row a
-    candidate (or swap) reaches the driver.
+    Each round prices all candidates in one aggregate; only the best of a
+    round reaches the driver. Costs that agree in eleven digits are ties, which
+    the smallest site wins, so the order of additions has no say.
     """
-    sites = [r["site"] for r in table.select("site").distinct().orderBy("site").collect()]
+    n_sites = table.select("site").distinct().count()
     costs = need.join(table, "zone").cache()
-    price = lambda frame, by: [(r["site"], r["cost"]) for r in frame.groupBy(by).agg(F.sum("cost").alias("cost")).orderBy("cost", by).limit(1).collect()]
+    price = lambda frame, by: [(r["site"], r["cost"]) for r in frame.groupBy(by).agg(F.sum("cost").alias("cost")).orderBy(F.format_string("%.10e", "cost").cast("double"), by).limit(1).collect()]
 
     def best_addition(chosen: list) -> tuple:
         near = costs.where(F.col("site").isin(chosen)).groupBy("zone").agg(F.min("km").alias("near")) if chosen else None
@@ -83,16 +83,16 @@ def choose_sites(need: DataFrame, table: DataFrame, p: int = SITES) -> tuple[lis
         return price(priced, "site")[0]
 
     chosen, cost = [], float("inf")
-    while len(chosen) < min(p, len(sites)):
+    while len(chosen) < min(p, n_sites):
         site, cost = best_addition(chosen)
         chosen.append(site)
     improved = True
-    while improved and len(chosen) < len(sites):
+    while improved and len(chosen) < n_sites:
         improved = False
         for out in sorted(chosen):
             others = [s for s in chosen if s != out]
             site, new = best_addition(others)
-            if new < cost - 1e-9 and site != out:
+            if new < cost * (1 - 1e-9) and site != out:
                 chosen, cost, improved = [*others, site], new, True
                 break
     costs.unpersist()

@@ -79,7 +79,7 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").where("s_suppkey < 40").select(k.alias("site"), (k * 11 % 50 + 20).cast("double").alias("lat"), (k * 13 % 100 - 120).cast("double").alias("lon"))
+    return table(spark, d, "supplier").select(k.alias("site"), (k * 11 % 50 + 20).cast("double").alias("lat"), (k * 13 % 100 - 120).cast("double").alias("lon"))
 
 
 def haversine_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def facility_assignment_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facility_greedy(spark: SparkSession, d: str) -> DataFrame:
-    sites, cost = L.choose_sites(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), _sites(spark, d).where("site < 16")), 4)
+    sites, cost = L.choose_sites(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), _sites(spark, d)))
     return spark.createDataFrame([(s, round(cost, 2)) for s in sites], "site long, cost double")
 
 
