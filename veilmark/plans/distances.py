@@ -41,47 +41,58 @@ def _price_width(df: DataFrame) -> float:
     return row["b"] - row["a"]
 
 
-def _queries(df: DataFrame) -> DataFrame:
-    """A stated query set: every hundredth part."""
-    return df.where("rid % 100 = 0")
+def _combos(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _summary(df: DataFrame, cand: DataFrame, d: Column) -> DataFrame:
-    p = knn.pairs(_queries(df), cand).groupBy(F.col("q_rid").alias("rid"))
-    return p.agg(_r(F.sum(d), 6).alias("total"), _r(F.min(d), 6).alias("least"), _r(F.max(d), 6).alias("most"))
+def _back(df: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """``found`` (by ``q_*`` combination) for every row of ``df``; nulls are values too."""
+    same = [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in keys]
+    return df.select("rid", *keys).join(found, same).drop(*keys, *[f"q_{k}" for k in keys])
+
+
+def _summary(df: DataFrame, cand: DataFrame, d: Column, keys: list[str], cand_keys: list[str] | None = None) -> DataFrame:
+    """Sum, least and greatest distance of every row of ``df`` to all rows of ``cand``.
+
+    Distances are computed between distinct combinations only, and count as
+    often as the candidate's combination occurs.
+    """
+    p = knn.pairs(_combos(df, keys).drop("n"), _combos(cand, cand_keys or keys)).groupBy(*[f"q_{k}" for k in keys])
+    found = p.agg(_r(F.sum(d * F.col("c_n")), 6).alias("total"), _r(F.min(d), 6).alias("least"), _r(F.max(d), 6).alias("most"))
+    return _back(df, keys, found)
 
 
 def distance_numeric(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return _summary(df, df, D.numeric(*_c("size"), SIZE_WIDTH))
+    return _summary(df, df, D.numeric(*_c("size"), SIZE_WIDTH), ["size"])
 
 
 def distance_numeric_generalized(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     value = F.when(F.col("rid") % 3 == 0, "*").otherwise(interval_text(F.col("size"), 10, 1, 51))
     g = df.select("rid", parse_range(value, 1, 50).alias("r"))
-    return _summary(df, g, D.numeric_covered(F.col("q_size"), F.col("c_r.lo"), F.col("c_r.hi"), SIZE_WIDTH))
+    return _summary(df, g, D.numeric_covered(F.col("q_size"), F.col("c_r.lo"), F.col("c_r.hi"), SIZE_WIDTH), ["size"], ["r"])
 
 
 def distance_numeric_ranges(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d).select("rid", parse_range(interval_text(F.col("size"), 10, 1, 51), 1, 50).alias("r"))
-    return _summary(df, df, D.numeric_ranges(F.col("q_r.lo"), F.col("q_r.hi"), F.col("c_r.lo"), F.col("c_r.hi"), SIZE_WIDTH))
+    return _summary(df, df, D.numeric_ranges(F.col("q_r.lo"), F.col("q_r.hi"), F.col("c_r.lo"), F.col("c_r.hi"), SIZE_WIDTH), ["r"])
 
 
 def distance_categorical_edge(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return _summary(df, df, brand_distance())
+    return _summary(df, df, brand_distance(), ["brand", "grp"])
 
 
 def distance_categorical_generalized(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     node = df.select("rid", F.when(F.col("rid") % 3 == 0, "*").when(F.col("rid") % 3 == 1, F.col("grp")).otherwise(F.col("brand")).alias("node"))
-    return _summary(df, node, D.edge_covered([F.col("q_brand"), F.col("q_grp"), F.lit("*")], F.col("c_node")))
+    return _summary(df, node, D.edge_covered([F.col("q_brand"), F.col("q_grp"), F.lit("*")], F.col("c_node")), ["brand", "grp"], ["node"])
 
 
 def distance_nodes(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return _summary(df, df, D.nodes(F.col("q_grp"), F.col("c_grp"), 3))
+    return _summary(df, df, D.nodes(F.col("q_grp"), F.col("c_grp"), 3), ["grp"])
 
 
 def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +101,9 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     codes = P.value_codes(df, "type")
     a, b = codes.toDF("a", "i"), codes.toDF("b", "j")
     matrix = a.join(b, F.col("i") < F.col("j")).select("a", "b", ((F.col("j") - F.col("i")) / 5).alias("d"))
-    p = D.with_matrix(knn.pairs(_queries(df).select("rid", "type"), df.select("rid", "type")), matrix, "type")
-    return p.groupBy(F.col("q_rid").alias("rid")).agg(_r(F.sum("matrix_distance"), 6).alias("total"))
+    types = _combos(df, ["type"])
+    p = D.with_matrix(knn.pairs(types.drop("n"), types), matrix, "type")
+    return _back(df, ["type"], p.groupBy("q_type").agg(_r(F.sum(F.col("matrix_distance") * F.col("c_n")), 6).alias("total")))
 
 
 def attribute_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +112,7 @@ def attribute_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def record_distance(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return _summary(df, df, all_distance(_price_width(df)))
+    return _summary(df, df, all_distance(_price_width(df)), ["size", "brand", "grp", "type", "price"])
 
 
 def knn_top5_qid(spark: SparkSession, d: str) -> DataFrame:
