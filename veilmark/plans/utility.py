@@ -142,11 +142,13 @@ def relative_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synth_marginal(spark: SparkSession, d: str) -> DataFrame:
-    return synth.marginals(spark, parts(spark, d), ["brand", "type"], 1000, 5)
+    df = parts(spark, d)
+    return synth.marginals(spark, df, ["brand", "type"], df.count(), 5)
 
 
 def synth_tree(spark: SparkSession, d: str) -> DataFrame:
-    return synth.tree(spark, parts(spark, d), {"type": None, "brand": "type"}, 1000, 5)
+    df = parts(spark, d)
+    return synth.tree(spark, df, {"type": None, "brand": "type"}, df.count(), 5)
 
 
 def synth_dependency_tree(spark: SparkSession, d: str) -> DataFrame:
