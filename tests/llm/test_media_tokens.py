@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilmark.llm import bpe, chat_tree, ogg, token_spans, vbyte
+from veilmark.llm import bpe, chat_tree, common, ogg, token_spans, vbyte
 
 TEXTS = [None, "", " ", "a", "word " * 3000, "x" * 70000, "é漢😀 ünï\n\n\tcode  x", "it's 123 and\r\n<|endoftext|> more<|endoftext|>", "same", "same", "a b", " lead", "trail \n"]
 HOSTILE = [" ", "  ", "\n", "\t", "a", "the", "'s", "'ll", " \n", "é", "漢", "1", "23", "!", "$$$", "<|endoftext|>", " ", "́", "\x1c", "ing", "😀", "İ", "K", ".", "<|", "ß"]
@@ -160,6 +160,20 @@ def test_vbyte_encoder_is_the_library(monkeypatch):
             assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
 
 
+def test_vbyte_shards(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_BYTES", 2000)
+    texts = noise(400)
+    df = spark.createDataFrame([(i % 150 - 50, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    rows = vbyte.id_report(df).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(i % 150 - 50 for i in range(400))
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows[:-1]]).tolist()
+    library = Tokenizer.from_file(vbyte.default_path())
+    whole = sorted((i % 150 - 50, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in rows) == whole
+    parts = common.by_ranges(df, "doc_id", 20000)
+    assert parts.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_vbyte_report(docs):
     library = Tokenizer.from_file(vbyte.default_path())
     rows = sorted(vbyte.id_report(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Whole texts travel in a batch, so it is kept small.
 BATCH_ROWS = 512
 
+#: Bytes in one range of an ordered table.
+RANGE_BYTES = 64 << 20
+
 #: What a "word" is in every contract of this subpackage: a run of bytes that
 #: are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,5 +139,17 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), move)
 
 
+def by_ranges(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` in partitions that are ascending ranges of ``key``, one range a partition; nulls lie in the first.
+
+    There are as many ranges as keep ``size`` (bytes of the whole table) at
+    ``RANGE_BYTES`` each, and as many as shuffle partitions at least. Only the
+    key is read to place the bounds.
+    """
+    parts = max(partitions_for(df.sparkSession), -(-size // RANGE_BYTES))
+    bounds = range_bounds(df, key, parts)
+    return df.repartitionById(len(bounds) + 1, bucket_of(F.col(key), bounds))
+
+
 def partitions_for(spark: SparkSession, factor: int = 1) -> int:
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))

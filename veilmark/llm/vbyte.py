@@ -7,7 +7,8 @@ lengths of each control byte up in a table of 256 rows.
 
 A written corpus is a folder with ``dictionary`` (rank, id) and ``blocks``:
 one row a document in ascending id order, ``shard, place, doc_id, n_tokens,
-control, data``. Files follow the order of shards. The dictionary has as many
+control, data``, where ``place`` is the number of ids before it in its shard.
+Shards are ranges of ids in order. The dictionary has as many
 rows as the vocabulary at most, which is what bounds it on the driver and in
 tasks.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Table, ragged
-from .common import materialize, partitions_for, ready, shared_dir
+from .common import by_ranges, materialize, ready, shared_dir
 
 #: Ends a document (fixed value of the contract).
 END_ID = 1
@@ -168,19 +169,34 @@ def default_path() -> str:
 
 
 def encode_ids(df: DataFrame, id_column: str, text_column: str, path: str) -> DataFrame:
-    """``(doc_id, ids binary)``: the library's ids and the end id, 16 bits each while ids fit, else 32."""
+    """``(counts boolean, doc_id, n_tokens, ids binary)``: the library's ids and the end id, 16 bits each while ids fit, else 32.
+
+    Each task's last row has ``counts`` set and holds, in place of ids, how
+    often it saw each id of the vocabulary (64 bits each).
+    """
     source = df.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    kind = df.schema[id_column].dataType.simpleString()
+    names = ["counts", "doc_id", "n_tokens", "ids"]
 
     def run(batches):
         enc = _encoder(path)
         width = "<u2" if enc.library.get_vocab_size() <= 1 << 16 else "<u4"
+        seen, id_type = np.zeros(0, np.int64), None
         for batch in batches:
             ids, counts = enc.batch(batch.column(1).cast(pa.binary()).to_pylist())
+            own = np.bincount(ids, minlength=max(END_ID + 1, len(seen)))
+            own[END_ID] += len(counts)
+            own[: len(seen)] += seen
+            seen, id_type = own, batch.schema.field(0).type
             ends = np.cumsum(counts)
             rows = [np.append(ids[e - c : e], END_ID).astype(width).tobytes() for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+            flags = pa.array(np.zeros(len(rows), bool))
+            yield pa.RecordBatch.from_arrays([flags, batch.column(0), pa.array(counts + 1, pa.int64()), pa.array(rows, pa.binary())], names=names)
+        if id_type is not None:
+            last = [pa.array([True]), pa.array([None], id_type), pa.array([0], pa.int64()), pa.array([seen.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, names=names)
 
-    return source.mapInArrow(run, f"doc_id {df.schema[id_column].dataType.simpleString()}, ids binary")
+    return source.mapInArrow(run, f"counts boolean, doc_id {kind}, n_tokens long, ids binary")
 
 
 def _width(path: str) -> str:
@@ -189,52 +205,62 @@ def _width(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def ranks(ids: DataFrame, width: str) -> DataFrame:
-    """``(rank, id)`` of the ids that occur, the most frequent first, ties by id."""
+def ranks(encoded: DataFrame) -> DataFrame:
+    """``(rank, id)`` of the ids that occur, the most frequent first, ties by id, from the count rows of :func:`encode_ids`."""
 
     def run(batches):
-        counts = np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for row in batch.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(row, width))
-                if len(c) > len(counts):
-                    counts = np.append(counts, np.zeros(len(c) - len(counts), np.int64))
-                counts[: len(c)] += c
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
-
-    total = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+                own = np.frombuffer(row, "<i8").copy()
+                if len(own) < len(total):
+                    own = np.append(own, np.zeros(len(total) - len(own), np.int64))
+                own[: len(total)] += total
+                total = own
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+    total = encoded.where("counts").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # a row for each id of the vocabulary at most
     return total.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).cast("long").alias("rank"), "id")
 
 
 def write_ids(df: DataFrame, target: str, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> None:
-    """Encode a corpus and write it below ``target`` in ascending id order."""
+    """Encode a corpus and write it below ``target`` in ascending id order.
+
+    Ranges of ids follow the amount of data, one range a task; documents are
+    packed after the sort, so texts are encoded and packed once.
+    """
     spark = ready(df.sparkSession)
     path = path or default_path()
     width = _width(path)
-    ids = materialize(encode_ids(df, id_column, text_column, path), "ids", compression="zstd")
-    ranks(ids, width).write.parquet(f"{target}/dictionary")
+    encoded = materialize(encode_ids(df, id_column, text_column, path), "ids")
+    ranks(encoded).write.parquet(f"{target}/dictionary")
     order = [r["id"] for r in spark.read.parquet(f"{target}/dictionary").orderBy("rank").collect()]
     rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
+    ids = encoded.where("not counts").select("doc_id", "n_tokens", "ids")
+    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
+    ordered = by_ranges(ids, "doc_id", total * np.dtype(width).itemsize).sortWithinPartitions("doc_id", "n_tokens", "ids")
+
     def run(batches):
-        rank = shared.value
+        rank, at = shared.value, 0
         for batch in batches:
-            rows = [np.frombuffer(b, width) for b in batch.column(1).to_pylist()]
+            rows = [np.frombuffer(b, width) for b in batch.column(2).to_pylist()]
             packed = [pack(rank[r]) for r in rows]
+            ends = at + np.cumsum(np.array([len(r) for r in rows], np.int64))
+            starts = np.append(at, ends[:-1])
+            at = int(ends[-1]) if len(ends) else at
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, rows), pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                names=["doc_id", "n_tokens", "control", "data"],
+                [pa.array(starts[: len(rows)], pa.int64()), batch.column(0), batch.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                names=["place", "doc_id", "n_tokens", "control", "data"],
             )
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    rows = ids.mapInArrow(run, f"doc_id {kind}, n_tokens long, control binary, data binary")
-    ordered = rows.repartitionByRange(partitions_for(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "data", "control")
-    place = F.monotonically_increasing_id()
-    ordered.select(F.spark_partition_id().alias("shard"), place.alias("place"), "doc_id", "n_tokens", "control", "data").write.option("compression", "zstd").parquet(f"{target}/blocks")
+    packed = ordered.mapInArrow(run, f"place long, doc_id {kind}, n_tokens long, control binary, data binary")
+    packed.select(F.spark_partition_id().alias("shard"), "*").write.option("compression", "zstd").parquet(f"{target}/blocks")
 
 
 def read_ids(spark, target: str) -> DataFrame:
@@ -255,12 +281,12 @@ def read_ids(spark, target: str) -> DataFrame:
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Add ``start``, the ids of all documents before: totals of shards first, then running totals inside each."""
+    """Add ``start``, the ids of all documents before: the totals of earlier shards and the place inside the shard."""
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("own"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range of ids
     first = shards.select("shard", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(first, "shard").withColumn("start", F.col("first") + F.col("inner")).drop("first", "inner")
+    return rows.join(first, "shard").withColumn("start", F.col("first") + F.col("place")).drop("first")
 
 
 def id_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
