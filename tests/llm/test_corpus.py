@@ -298,10 +298,63 @@ def test_field_marginals_match_enumeration():
         at += n
 
 
-def test_features_do_not_depend_on_batches():
+def test_scores_match_enumeration():
+    rng = np.random.default_rng(1)
+    field = line_crf.Field(rng.normal(size=line_crf.FEATURES), rng.normal(size=(2, 2)), (3.0, -1.0))
+    texts = [None, "", "one", "a b\n%%% $$$\n\nLOUD!! TEXT!!", "x x x x\ny | z | w\n" * 3, "é\n\n"]
+    for t, got in zip(texts, field.scores(texts), strict=True):
+        raw = (t or "").encode()
+        lines = raw.split(b"\n")
+        x = line_crf.line_features([raw])[0]
+        weight = [max(len(v), 1) for v in lines]
+        share = sum((1 - p) * w for p, w in zip(brute_marginals(field, x, len(lines)), weight, strict=True)) / sum(weight)
+        assert got == pytest.approx(1 / (1 + math.exp(-(3 * share - 1))), abs=1e-8)
+
+
+def long_quality(spark, n: int = 80, lines: int = 400):
+    """Labelled documents of about 25 kB or more: plain prose, or lines of symbols and shouting."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    good = lambda: " ".join(word() for _ in range(10)) + "."
+    bad = lambda: rnd.choice(["%%% $$$ @@@ ### !!! " * 3, "BUY NOW!!! " * 6, "x | y | z | " * 5])
+    rows = [(i, "\n".join((good if i % 2 else bad)() for _ in range(lines)), i % 2) for i in range(n)]
+    return spark.createDataFrame([(i, t, "x", 3) for i, t, _ in rows], "doc_id long, text string, __label string, quality int"), spark.createDataFrame([(i, q, "y") for i, _, q in rows], "doc_id long, quality int, text string")
+
+
+def test_quality_learns_from_long_documents_only(spark):
+    docs, labels = long_quality(spark)
+    assert docs.select(F.min(F.length("text"))).first()[0] > 20_000
+    got = line_crf.quality_report(docs, labels).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {i: i % 2 for i in range(80)}
+    one, two = (line_crf.train(docs.repartition(k), labels, limit=30) for k in (2, 5))
+    assert (one.weights == two.weights).all() and one.curve == two.curve
+    # a sample over bytes sent by tasks is the sample of the texts themselves
+    text, quality = zip(*[(r["text"], r["doc_id"] % 2) for r in docs.where("doc_id < 10").collect()], strict=True)
+    parts = [line_crf._sampled(t.encode(), 192) for t in text]
+    assert sum(len(p[0]) for p in parts) == 1920 and line_crf.fit(list(text), list(quality)).constant is None
+
+
+def test_quality_without_labels(spark):
+    docs, labels = long_quality(spark, 4, 3)
+    with pytest.warns(UserWarning, match="no labelled document"):
+        assert {r["score"] for r in line_crf.quality_report(docs, labels.limit(0)).collect()} == {1.0}
+    with pytest.warns(UserWarning):
+        assert line_crf.quality_report(docs.limit(0), labels).count() == 0
+
+
+def test_quality_repeated_ids_and_one_long_line(spark):
+    docs, labels = long_quality(spark, 20, 4)
+    many = docs.union(docs).union(spark.createDataFrame([(900, "word " * 1_000_000, "", 0), (901, "a b\n" * 30_000, "", 0)], docs.schema))
+    got = line_crf.quality_report(many, labels).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("scores")).collect()
+    assert {(r["n"], r["scores"]) for r in got if r["doc_id"] < 900} == {(2, 1)} and len(got) == 22
+
+
+def test_features_do_not_depend_on_batches(monkeypatch):
     texts = [b"a b\nC D", b"", b"\n\n", "é ü\n|x|".encode()]
     whole = line_crf.line_features(texts)[0]
     assert np.allclose(whole, np.concatenate([line_crf.line_features([t])[0] for t in texts]))
+    monkeypatch.setattr(line_crf, "CHUNK_BYTES", 1)
+    assert np.allclose(whole, line_crf.line_features(texts)[0])
 
 
 def test_quality_held_out(spark):
