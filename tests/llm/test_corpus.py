@@ -253,26 +253,75 @@ def test_fair_mix(spark):
         for _ in range(k):
             rows.append((n, " ".join("w" for _ in range(rnd.randint(0, 30))), s, 1))
             n += 1
-    rows += [(n, None, "a", 1), (n, None, "a", 1), (None, "x y", "a", 1)]
+    rows += [(n, None, "a", 1), (n, None, "a", 1), (None, "x y", "a", 1), (n + 1, "long " * 5000, "B", 1), (n + 2, "same words here", "a", 1), (n + 2, "same words here", "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(3)
-    sizes, taken = defaultdict(int), defaultdict(int)
+    sizes = defaultdict(int)
     for _, t, s, _ in rows:
         sizes[s] += len((t or "").split())
     expected = brute_targets(sizes)
     where = {r[0]: r[2] for r in rows}
     got = fair_mix.mix_report(df).collect()
-    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, fair_mix.mix_report(df).collect()))
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, fair_mix.mix_report(df.repartition(5)).collect()))
+    order = brute_queue(rows, sizes, expected)
+    brute, taken = defaultdict(int), defaultdict(int)
+    for _, s, k, size in order:
+        brute[rows[k][0]] += size
+        taken[s] += size
+    own = defaultdict(int)
     for r in got:
         s = where[r["doc_id"]]
+        own[r["doc_id"]] += r["taken"]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(expected[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
-        taken[s] += r["taken"]
+    assert {k: v for k, v in own.items() if v} == dict(brute)
     for s in sizes:
-        assert abs(taken[s] - expected[s]) <= 30
+        assert abs(taken[s] - expected[s]) <= 0.1 * expected[s] + 30  # a source of few long documents leaves words to the others
     mixed = fair_mix.mixed_documents(df)
     assert mixed.columns == df.columns
-    assert mixed.select(F.sum(fair_mix.word_count(F.coalesce("text", F.lit(""))))).first()[0] == sum(taken.values())
-    assert fair_mix.mix_report(df.limit(0)).count() == 0
+    assert [r["doc_id"] for r in mixed.collect()] == [rows[k][0] for *_, k, _ in order]
+    assert fair_mix.mix_report(df.limit(0)).count() == 0 and fair_mix.mixed_documents(df.limit(0)).count() == 0
+    assert fair_mix.mix_report(df.where("text is null")).select(F.sum("taken")).first()[0] == 0
+
+
+def brute_queue(rows: list, sizes: dict, goals: dict) -> list:
+    """``(finish, source, row, size)`` of the copies that the mix takes, in order, one document after another."""
+    queue = []
+    for s in sizes:
+        turn = lambda i: int(hashlib.md5(("1" if i is None else f"{i}|1").encode()).hexdigest()[:12], 16)
+        own = sorted((turn(i), -1 if i is None else i, len((t or "").split()), k) for k, (i, t, r, _) in enumerate(rows) if r == s)
+        end, mine = 0, []
+        for _, _, size, k in own:
+            end += size
+            mine += [[(lap * sizes[s] + end) / goals[s], end, lap, size, k] for lap in range(3) if size]
+        got = sum(o[3] for o in mine if o[0] <= 1)
+        late = [o for o in mine if o[0] > 1 and got + o[3] <= goals[s]]
+        if late:
+            best = max(late, key=lambda o: (o[3], o[1], -o[2]))
+            best[0] = (got + best[3]) / goals[s]
+        queue += [(f, (s is None, s or ""), end, lap, s, k, size) for f, end, lap, size, k in mine]
+    out, used = [], 0
+    for f, _, _, _, s, k, size in sorted(queue):
+        used += size
+        if used > sum(sizes.values()):
+            break
+        out.append((f, s, k, size))
+    return out
+
+
+def test_running_total(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), "id").repartition(5)
+    got = fair_mix.running_total(df, [F.col("k").desc()], total=F.col("k"), place=F.lit(1))
+    assert got.columns == ["k", "id", "total", "place"]
+    assert all(r["total"] == sum(range(r["k"], 1000)) and r["place"] == 1000 - r["k"] for r in got.collect())
+    assert fair_mix.running_total(df.limit(0), [F.col("k")], total=F.col("k")).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(2)
+    sizes = {f"s{i:04}": rnd.choice([1, 5, 100, 10_000]) for i in range(500)}
+    expected = brute_targets(sizes)
+    got = {r["source"]: r["target"] for r in fair_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(expected)
 
 
 def brute_marginals(field, x, n):

@@ -106,10 +106,14 @@ r AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight,
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, place) FROM l WHERE ratio >= level)) AS target FROM l),
-e AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn % 512, turn, doc_id, size) AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, CASE WHEN size > 0 THEN CAST(e <= target AS INT) + CAST(source_size + e <= target AS INT) + CAST(2 * source_size + e <= target AS INT) ELSE 0 END AS copies FROM e),
-f AS (SELECT source, any_value(target) - sum(copies * size) AS short FROM c WHERE size > 0 GROUP BY 1),
-x AS (SELECT c.source, max(struct_pack(size := size, e := e)).e AS extra FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source WHERE size > 0 AND copies < 3 AND size <= short GROUP BY 1)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((copies + CASE WHEN size > 0 AND e = extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM c LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source""",
+e AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size) AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, (lap * source_size + e) / target AS finish FROM e, range(3) l(lap) WHERE size > 0),
+g AS (SELECT source, target, sum(size) FILTER (finish <= 1) AS got FROM o GROUP BY 1, 2),
+x AS (SELECT o.source, max(struct_pack(size := size, e := e, lap := -lap, f := (coalesce(got, 0) + size) / o.target)) AS x
+  FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source WHERE finish > 1 AND coalesce(got, 0) + size <= o.target GROUP BY 1),
+q AS (SELECT doc_id, o.source, o.e, o.lap, size, CASE WHEN x.x.e = o.e AND -x.x.lap = o.lap THEN x.x.f ELSE finish END AS finish FROM o LEFT JOIN x ON o.source IS NOT DISTINCT FROM x.source),
+u AS (SELECT *, sum(size) OVER (ORDER BY finish, encode(source) NULLS LAST, e, lap ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM q),
+k AS (SELECT source, e, count(*) AS copies FROM u WHERE used <= (SELECT sum(size) FROM d) GROUP BY 1, 2)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(CASE WHEN size > 0 THEN coalesce(copies, 0) ELSE 0 END * size AS BIGINT) AS taken
+FROM e LEFT JOIN k ON e.source IS NOT DISTINCT FROM k.source AND e.e = k.e""",
 }
