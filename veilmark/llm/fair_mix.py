@@ -9,10 +9,12 @@ words of the whole table, is used up. Up to time 1 no source has more than its
 target, so the cut lies at time 1 or a little behind it, and the mix is balanced
 at every prefix.
 
-A long document in front of time 1 would hold up its source. The largest other
-document that fits into what its source lacks at time 1 therefore goes before
-it: that offer's finish time becomes what its source has been served with it,
-over the target.
+A long document across time 1 would hold up its source. Where more than ``GAP``
+of the target lies between the end of the document before it and time 1, it
+goes to the end of its round, and those behind it move up; this is done
+``ROUNDS`` times. The largest document that fits into what then lacks at time 1
+goes before the others: that offer's finish time becomes what its source has
+been served with it, over the target.
 
 Nothing is added up in one task: running totals go through ranges
 (:func:`running_total`) or, inside a source, through buckets of the shuffled
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions_for, text_or_empty
 
 LAPS = 3
+GAP, ROUNDS = 0.01, 2
 WEIGHTS = (1, 2, 3)
 #: Rows in one bucket of the shuffled order, or in one range of a running total, about.
 BUCKET_ROWS = 200_000
@@ -106,10 +109,11 @@ def _same(left: str, right: str, *columns: str) -> Column:
 
 
 def queue(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 1) -> DataFrame:
-    """One row a document: ``id, source, size, tie, source_size, target, end, early``.
+    """One row a document: ``id, source, size, tie, source_size, target, end, late, early``.
 
-    ``end`` is the running total of its source's words, ``early`` the finish
-    time of the one offer that goes before a longer document, if it is its.
+    ``end`` is the running total of its source's words, ``late`` the same in
+    the round in which the source meets its target, ``early`` the finish time
+    of the one offer that goes before a longer document, if it is its.
     """
     narrow = materialize(_narrow(df, id_column, text_column, source_column, seed), "mix")
     bits = min(max(4, ceil(log2(max(narrow.count(), 1) / BUCKET_ROWS))), TURN_BITS)
@@ -123,7 +127,12 @@ def queue(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     inside = Window.partitionBy("source", "bucket").orderBy("turn", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = docs.withColumn("own", F.sum("size").over(inside)).alias("d")
     placed = own.join(plan.alias("p"), _same("d", "p", "source", "bucket"))
-    placed = materialize(placed.select("d.id", "d.source", "d.bucket", "d.size", "d.tie", "p.source_size", "p.target", (F.col("p.start") + F.col("d.own")).alias("end")), "mix")
+    placed = placed.select("d.id", "d.source", "d.bucket", "d.size", "d.tie", "p.source_size", "p.target", (F.col("p.start") + F.col("d.own")).alias("end"))
+    placed = materialize(placed.withColumn("late", F.col("end")), "mix")
+
+    for _ in range(ROUNDS):
+        placed = _passed_over(placed, plan)
+    placed = materialize(placed, "mix")
 
     served = placed.where("size > 0").withColumn("copies", sum(((_finish(k) <= 1).cast("int") for k in range(LAPS)), F.lit(0)))
     got = served.groupBy("source", "bucket").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).groupBy("source").agg(F.sum("got").alias("got"))
@@ -135,11 +144,29 @@ def queue(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     early = early.select("source", F.col("best.end").alias("end"), ((F.col("best.got") + F.col("best.size")) / F.col("best.target")).alias("early"))
     # ends of documents with words are distinct within a source
     found = placed.alias("d").join(materialize(early, "mix").alias("e"), _same("d", "e", "source", "end") & (F.col("d.size") > 0), "left")
-    return found.select("d.id", "d.source", "d.size", "d.tie", "d.source_size", "d.target", "d.end", "e.early")
+    return found.select("d.id", "d.source", "d.size", "d.tie", "d.source_size", "d.target", "d.end", "d.late", "e.early")
+
+
+def _passed_over(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """The document across time 1 goes to the end of its source's last round, if it leaves more than ``GAP`` of the target."""
+    rest = F.col("target") - _last() * F.col("source_size")
+    across = placed.where("size > 0").where(F.col("late") > rest)
+    first = F.min(F.struct("late", "size", (rest - (F.col("late") - F.col("size")) > GAP * F.col("target")).alias("move"))).alias("first")
+    first = across.groupBy("source", "bucket").agg(first).groupBy("source").agg(F.min("first").alias("first")).where("first.move")
+    moves = plan.alias("p").join(first.alias("f"), _same("p", "f", "source")).select("p.source", "p.bucket", F.col("first.late").alias("at"), F.col("first.size").alias("by"))
+    both = placed.alias("d").join(materialize(moves, "mix").alias("m"), _same("d", "m", "source", "bucket"), "left")
+    late = F.when((F.col("d.late") == F.col("at")) & (F.col("d.size") > 0), F.col("d.source_size")).when(F.col("d.late") > F.col("at"), F.col("d.late") - F.col("by"))
+    return both.select("d.*", late.alias("moved")).withColumn("late", F.coalesce("moved", "late")).drop("moved")
+
+
+def _last() -> Column:
+    """The round in which a source meets its target."""
+    return F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
 
 
 def _finish(lap: int) -> Column:
-    return (F.lit(lap) * F.col("source_size") + F.col("end")) / F.col("target")
+    at = F.when(_last() == lap, F.col("late")).otherwise(F.col("end"))
+    return (F.lit(lap) * F.col("source_size") + at) / F.col("target")
 
 
 def _times() -> Column:

@@ -106,8 +106,18 @@ r AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight,
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, place) FROM l WHERE ratio >= level)) AS target FROM l),
-e AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size) AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-o AS (SELECT *, (lap * source_size + e) / target AS finish FROM e, range(3) l(lap) WHERE size > 0),
+e0 AS (SELECT d.*, source_size, target, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS lap,
+  sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id, size) AS e, e AS late FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c1 AS (SELECT source, min(struct_pack(late := late, size := size, move := target - lap * source_size - (late - size) > 0.01 * target)) AS c
+  FROM e0 WHERE size > 0 AND late > target - lap * source_size GROUP BY 1),
+e1 AS (SELECT a.* EXCLUDE (late), CASE WHEN NOT coalesce(c.move, false) THEN late WHEN late = c.late AND size > 0 THEN source_size WHEN late > c.late THEN late - c.size ELSE late END AS late
+  FROM e0 a LEFT JOIN c1 ON a.source IS NOT DISTINCT FROM c1.source),
+c2 AS (SELECT source, min(struct_pack(late := late, size := size, move := target - lap * source_size - (late - size) > 0.01 * target)) AS c
+  FROM e1 WHERE size > 0 AND late > target - lap * source_size GROUP BY 1),
+e2 AS (SELECT a.* EXCLUDE (late), CASE WHEN NOT coalesce(c.move, false) THEN late WHEN late = c.late AND size > 0 THEN source_size WHEN late > c.late THEN late - c.size ELSE late END AS late
+  FROM e1 a LEFT JOIN c2 ON a.source IS NOT DISTINCT FROM c2.source),
+e AS (SELECT * RENAME (lap AS last) FROM e2),
+o AS (SELECT *, (lap * source_size + CASE WHEN lap = last THEN late ELSE e END) / target AS finish FROM e, range(3) l(lap) WHERE size > 0),
 g AS (SELECT source, target, sum(size) FILTER (finish <= 1) AS got FROM o GROUP BY 1, 2),
 x AS (SELECT o.source, max(struct_pack(size := size, e := e, lap := -lap, f := (coalesce(got, 0) + size) / o.target)) AS x
   FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source WHERE finish > 1 AND coalesce(got, 0) + size <= o.target GROUP BY 1),
