@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -187,35 +188,89 @@ def test_markov_model_held_out(spark, model):
     assert rates[True] > 0.97 and rates[False] < 0.01
 
 
-def brute_sketch(spark, text: str) -> list:
-    return spark.createDataFrame([(text,)], "t string").select(scaled_sketch.sketch(F.col("t")).alias("s")).first()["s"]
+M64 = (1 << 64) - 1
+
+
+def hash_long(value: int, seed: int) -> int:
+    """xxHash64 of eight bytes, as Spark chains it over columns."""
+    return xxhash.xxh64_intdigest((value & M64).to_bytes(8, "little"), seed & M64)
+
+
+def brute_mark(text: str | None) -> tuple[set, set | None]:
+    """Hashes below a quarter of the range, and the others of a short text."""
+    words = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").encode().split()]
+    if not words:
+        return set(), set()
+    grams = [words[k : k + 5] for k in range(len(words) - 4)] or [words]
+    found = []
+    for gram in grams:
+        h = 42
+        for w in gram:
+            h = hash_long(w, h)
+        found.append((h ^ 1 << 63) >> 32)
+    return {x for x in found if x < 1 << 30}, {x for x in found if x >= 1 << 30} if len(grams) <= 32 else None
+
+
+def brute_near(a: tuple, b: tuple) -> float:
+    if a == b == (set(), set()):
+        return 1.0
+    x, y = (a[0], b[0]) if a[1] is None or b[1] is None else (a[0] | a[1], b[0] | b[1])
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def brute_print(mark: tuple) -> str:
+    return "".join(f"{x:08X}" for x in sorted(mark[0])) + ("~" + "".join(f"{x:08X}" for x in sorted(mark[1])) if mark[1] else "")
 
 
 def test_sketches(spark):
     rnd = random.Random(3)
     long = " ".join(str(rnd.randrange(10**6)) for _ in range(3000))
     part = " ".join(long.split()[500:900])
-    rows = spark.createDataFrame([(long, part, long + " " + part)], "a string, b string, c string")
-    s = rows.select(*[scaled_sketch.sketch(F.col(c)).alias(c) for c in "abc"])
-    r = s.select(scaled_sketch.containment(F.col("b"), F.col("a")).alias("held"), scaled_sketch.resemblance(F.col("a"), F.col("b")).alias("like"), F.size("a").alias("n"), (F.size(F.array_except(scaled_sketch.merge(F.col("a"), F.col("b")), F.col("c")))).alias("lost")).first()
-    assert r["held"] == 1.0 and abs(r["like"] - 396 / 2996) < 0.05 and abs(r["n"] - 2996 / 4) < 120 and r["lost"] == 0
-    assert brute_sketch(spark, "") == [] and brute_sketch(spark, " \n") == [] and len(brute_sketch(spark, "one")) == 1
-    assert brute_sketch(spark, "a  b\tc d e") == brute_sketch(spark, "a b c d e ")
-
-
-def test_sketch_neighbours(spark):
-    texts = {10: "one two three four five six seven eight", 3: "", 7: None, 21: "é漢😀 " * 9, 4: "same text here again and again", 5: "same text here again and again"}
-    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, mark string").repartition(3)
+    rows = spark.createDataFrame([(long, part)], "a string, b string")
+    s = rows.select(*[scaled_sketch.sketch(F.col(c)).alias(c) for c in "ab"])
+    r = s.select(scaled_sketch.containment(F.col("b"), F.col("a")).alias("held"), scaled_sketch.resemblance(F.col("a"), F.col("b")).alias("like"), F.size("a.kept").alias("n")).first()
+    assert r["held"] == 1.0 and abs(r["like"] - 396 / 2996) < 0.05 and abs(r["n"] - 2996 / 4) < 120
+
+
+def test_sketches_merge_and_hold_no_hash_above_the_threshold(spark):
+    rnd = random.Random(6)
+    word = lambda: str(rnd.randrange(50))
+    texts = ["", "one", "a b c d e", *(" ".join(word() for _ in range(n)) for n in (1, 2, 5, 6, 7, 30, 36, 37, 200, 3000) for _ in range(6))]
+    rows = spark.createDataFrame([(i, t, texts[(i * 7 + 3) % len(texts)]) for i, t in enumerate(texts)], "i int, a string, b string")
+    s = rows.select("i", *[scaled_sketch.sketch(F.col(c)).alias(c) for c in "ab"])
+    a, b = F.col("a"), F.col("b")
+    out = s.select("i", "a", "b", scaled_sketch.merge(a, b).alias("both"), scaled_sketch.resemblance(a, b).alias("near"), scaled_sketch.containment(a, b).alias("held")).collect()
+    for r in out:
+        x, y = brute_mark(texts[r["i"]]), brute_mark(texts[(r["i"] * 7 + 3) % len(texts)])
+        assert r["a"]["kept"] == sorted(x[0]) and (r["a"]["rest"] is None) == (x[1] is None) and sorted(x[1] or []) == (r["a"]["rest"] or [])
+        # the union's sketch is that of all its shingles
+        assert r["both"] == sorted(x[0] | y[0]) and all(v < 1 << 30 for v in r["both"])
+        assert r["near"] == pytest.approx(brute_near(x, y))
+        whole = (x[0] | x[1], y[0] | y[1]) if x[1] is not None and y[1] is not None else (x[0], y[0])
+        expected = 1.0 if x == (set(), set()) else len(whole[0] & whole[1]) / len(whole[0]) if whole[0] else None
+        assert r["held"] == (None if expected is None else pytest.approx(expected))
+
+
+def test_sketch_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(scaled_sketch, "RANGE_BYTES", 400)
+    rnd = random.Random(9)
+    texts = {10: "one two three four five six seven eight", 3: "", 7: None, 21: "é漢😀 " * 9, 4: "same text here again and again", 5: "same text here again and again", 30: " \n", 31: "word " * 300_000}
+    texts |= {100 + 3 * i: " ".join(str(rnd.randrange(30)) for _ in range(rnd.randint(0, 90))) for i in range(60)}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], "doc_id long, text string, mark string, bucket int").repartition(3)
     rows = {r["doc_id"]: r for r in scaled_sketch.sketch_neighbours(df).collect()}
     order = sorted(texts)
+    assert len(rows) == len(order)
     for i, after in zip(order, order[1:] + order[:1]):
         t, u = texts[i] or "", texts[after] or ""
         cut = len(t) // 4
         edited = t[: len(t) - cut] + u[:cut]
-        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-    assert rows[4]["fingerprint"] == rows[5]["fingerprint"] and rows[4]["near_next"] == 1.0
+        r, own, then = rows[i], brute_mark(t), brute_mark(edited)
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (brute_print(own), brute_print(then))
+        assert r["near_edited"] == pytest.approx(brute_near(own, then)) and r["near_next"] == pytest.approx(brute_near(own, brute_mark(u)))
     odd = spark.createDataFrame([(None, "a b"), (1, "c d"), (1, "c d")], "doc_id long, text string")
     assert scaled_sketch.sketch_neighbours(odd).count() == 3
+    assert scaled_sketch.sketch_neighbours(odd.where("doc_id = 1").limit(1)).select("near_next").first()[0] == 1.0
     assert scaled_sketch.sketch_neighbours(odd.limit(0)).count() == 0
 
 

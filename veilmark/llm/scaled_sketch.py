@@ -1,15 +1,25 @@
 """Threshold-scaled sketches of word shingles, with DataFrame functions only.
 
 A sketch keeps every 64-bit shingle hash below a fixed fraction of the hash
-range. Since the threshold is the same everywhere, the sketch of a union is
-the union of the sketches, and the share of a small sketch found in a large
-one estimates containment however unequal the documents are. A document whose
-hashes all lie above the threshold keeps its smallest one, so that only a text
-without words has an empty sketch.
-
-Sketches are sorted arrays of the upper 32 bits of the hashes. Null texts
-count as empty. Two empty sketches are alike (1.0), an empty and a filled one
-are not (0.0).
+range, and no other. Since the threshold is the same everywhere, the sketch of
+a union is the union of the sketches (:func:`merge`), and the share of a small
+sketch found in a large one estimates containment however unequal the documents
+are.
+
+Of a text with ``SMALL`` shingles at most, the hashes above the threshold are
+kept apart, as ``rest``. They are no part of the sketch, never merged and never
+compared with a longer text's sketch; two such texts are compared exactly, by
+all their hashes. Hashes are the upper 32 bits of 64, in sorted arrays.
+
+Likeness of two texts: 1.0 if both have no words, 0.0 if one has none; exact if
+both have a ``rest``; otherwise by the sketches alone, and 0.0 if either sketch
+is empty. Containment is null where the contained text's sketch is empty though
+it has words, as nothing can be said then.
+
+Cases: null texts count as empty; texts of any length are hashed whole; rows
+that share an id follow each other by their columns; null ids have no place in
+the order, so their next text is empty; a single row follows itself; an empty
+table gives no rows. Further columns of a table are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -17,68 +27,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, partitions_for, range_bounds, text_or_empty
+from .common import RANGE_BYTES, bucket_of, partitions_for, range_bounds, text_or_empty
 from .secrets import let
 
 WORDS = 5
 #: A hash stays if it lies in the lowest 1/FRACTION of the range.
 FRACTION = 4
+#: Shingles up to which a text's other hashes are kept beside its sketch.
+SMALL = 32
 _BLANKS = "\t\n\x0b\f\r "
 
 
 def sketch(text: Column, words: int = WORDS, fraction: int = FRACTION) -> Column:
-    """``array<long>``: sorted sketch of a text (not null)."""
-    limit = -(1 << 63) + (1 << 64) // fraction
+    """``struct<kept array<long>, rest array<long>>`` of a text (not null); ``rest`` is null beyond ``SMALL`` shingles."""
+    limit = (1 << 32) // fraction
     parts = F.split(F.btrim(text, F.lit(_BLANKS)), r"[\x20\x09-\x0D]+")
     hashes = F.transform(parts, lambda w: F.xxhash64(w))
+    upper = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), 32)
 
     def shingles(h: Column) -> Column:
         last = F.size(h) - words
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(words)]))
-        return F.when(last >= 0, runs).otherwise(F.array(F.xxhash64(h)))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: upper(F.xxhash64(*[F.get(h, i + j) for j in range(words)])))
+        return F.when(last >= 0, runs).otherwise(F.array(upper(F.xxhash64(h))))
 
     def keep(x: Column) -> Column:
-        low = F.filter(x, lambda v: v < limit)
-        return F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(x)))
+        low = F.array_sort(F.array_distinct(F.filter(x, lambda v: v < limit)))
+        rest = F.when(F.size(x) <= SMALL, F.array_sort(F.array_distinct(F.filter(x, lambda v: v >= limit))))
+        return F.struct(low.alias("kept"), rest.alias("rest"))
 
-    upper = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), 32)
-    found = let(let(hashes, shingles), keep)
-    empty = F.array().cast("array<bigint>")
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.array_sort(F.array_distinct(F.transform(found, upper)))).otherwise(empty)
+    none = F.array().cast("array<bigint>")
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), let(let(hashes, shingles), keep)).otherwise(F.struct(none.alias("kept"), none.alias("rest")))
+
+
+def as_text(mark: Column) -> Column:
+    """Eight hexadecimal digits a hash of the sketch; those kept apart follow behind ``~``."""
+    digits = lambda x: F.array_join(F.transform(x, lambda v: F.lpad(F.hex(v), 8, "0")), "")
+    return F.concat(digits(mark["kept"]), F.when(F.size(mark["rest"]) > 0, F.concat(F.lit("~"), digits(mark["rest"]))).otherwise(F.lit("")))
 
 
-def as_text(fingerprint: Column) -> Column:
-    """Eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def _wordless(mark: Column) -> Column:
+    return (F.size(mark["kept"]) == 0) & F.coalesce(F.size(mark["rest"]) == 0, F.lit(False))
+
+
+def _whole(mark: Column) -> Column:
+    return F.concat(mark["kept"], mark["rest"])
 
 
 def resemblance(a: Column, b: Column) -> Column:
-    """Estimate of ``|A & B| / |A | B|``."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
+    """Estimate of ``|A & B| / |A | B|`` of two marks of :func:`sketch`."""
+
+    def share(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(common / F.greatest(F.size(x) + F.size(y) - common, F.lit(1)))
+
+    exact = a["rest"].isNotNull() & b["rest"].isNotNull()
+    return F.when(_wordless(a) & _wordless(b), 1.0).when(exact, share(_whole(a), _whole(b))).otherwise(share(a["kept"], b["kept"]))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of A that B holds."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimate of the share of A that B holds, of two marks of :func:`sketch`."""
+    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    exact = a["rest"].isNotNull() & b["rest"].isNotNull()
+    return F.when(_wordless(a), 1.0).when(exact, share(_whole(a), _whole(b))).otherwise(share(a["kept"], b["kept"]))
 
 
-def merge(*fingerprints: Column) -> Column:
-    """Sketch of the union of documents."""
-    return F.array_sort(F.array_distinct(F.concat(*fingerprints)))
+def merge(*marks: Column) -> Column:
+    """Sketch, an array, of the union of documents from their marks."""
+    return F.array_sort(F.array_distinct(F.concat(*[m["kept"] for m in marks])))
 
 
 def with_next(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
     """``df`` with ``next_<column>`` of the row that follows by ascending id; the first follows the last.
 
-    Rows are dealt to ranges of ids, and the first id of each range is also
-    sent to the range before it, so no task sees more than a range. Equal ids
-    follow each other by ``columns``. Null ids have no place: their next is null.
+    Rows are dealt to ranges of ids, one a task and of about ``RANGE_BYTES``
+    of the first of ``columns`` (a text), and the first id of each range is
+    also sent to the range before it. Equal ids follow each other by
+    ``columns``. Null ids have no place: their next is null.
     """
-    parts = partitions_for(df.sparkSession, 2)
     known = df.where(F.col(id_column).isNotNull())
-    bounds = range_bounds(known, id_column, parts)
-    first = known.agg(F.min(id_column)).first()[0]
+    first, size = known.agg(F.min(id_column), F.sum(F.octet_length(F.col(columns[0])).cast("long"))).first()
+    bounds = range_bounds(known, id_column, max(partitions_for(df.sparkSession), -(-(size or 0) // RANGE_BYTES)))
     key, last = F.col(id_column), len(bounds)
     at = bucket_of(key, bounds)
     own = F.struct(at.alias("bucket"), F.lit(False).alias("ghost"), F.lit(0).alias("lap"))
@@ -87,8 +115,9 @@ def with_next(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
         copies.append(F.when((F.col("__at") > 0) & (F.get(F.lit(bounds), F.col("__at") - 1) == key), F.struct((F.col("__at") - 1).alias("bucket"), F.lit(True).alias("ghost"), F.lit(0).alias("lap"))))
     copies.append(F.when(key == F.lit(first), F.struct(F.lit(last).alias("bucket"), F.lit(True).alias("ghost"), F.lit(1).alias("lap"))))
     dealt = known.withColumn("__at", at).withColumn("__to", F.explode(F.array_compact(F.array(*copies))))
-    w = Window.partitionBy("__to.bucket").orderBy("__to.lap", id_column, *columns)
-    led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("not __to.ghost").drop("__at", "__to")
+    spread = dealt.withColumn("__to_bucket", F.col("__to.bucket").cast("int")).repartitionById(last + 1, F.col("__to_bucket"))
+    w = Window.partitionBy("__to_bucket").orderBy("__to.lap", id_column, *columns)
+    led = spread.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("not __to.ghost").drop("__at", "__to", "__to_bucket")
     rest = df.where(F.col(id_column).isNull()).select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(f"next_{c}") for c in columns])
     return led.union(rest)
 
@@ -105,7 +134,7 @@ def sketch_neighbours(df: DataFrame, id_column: str = "doc_id", text_column: str
     cut = F.floor(n / F.lit(4)).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", edited).withColumn("edited_mark", sketch(F.col("edited")))
-    next_mark = F.coalesce("next_mark", F.array().cast("array<bigint>"))
+    next_mark = F.coalesce("next_mark", sketch(F.lit("")))
     return rows.select(
         F.col("doc_id").alias(id_column),
         n.cast("long").alias("n_chars"),
