@@ -17,6 +17,9 @@ BATCH_ROWS = 512
 #: Bytes in one range of an ordered table.
 RANGE_BYTES = 64 << 20
 
+#: Rows of one key that may meet in a task, at least, and keys that may be split.
+SPLIT_ROWS, HOT_KEYS = 500, 10_000
+
 #: What a "word" is in every contract of this subpackage: a run of bytes that
 #: are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,5 +154,23 @@ def by_ranges(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.repartitionById(len(bounds) + 1, bucket_of(F.col(key), bounds))
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """``rows.join(table, key)`` for keys of any frequency.
+
+    ``table`` holds a key once (read several times, so it should be a written
+    table), and in ``size`` how many rows of ``rows`` have it. A key of more
+    rows than ``SPLIT_ROWS`` and than 1/``HOT_KEYS`` of all is split by the
+    hash of column ``spread``; there are fewer than ``HOT_KEYS`` of these, the
+    bound of what is broadcast.
+    """
+    limit = max(SPLIT_ROWS, (table.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS)
+    salts = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit)).otherwise(1).cast("int")
+    hot = table.where(F.col(size) > limit).select(F.col(key).alias("__key"), salts.alias("__salts"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__key", "__salts")
+    right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def partitions_for(spark: SparkSession, factor: int = 1) -> int:
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, join_by_key, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the least of the node's neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    moved = join_by_key(both, materialize(least, "least"), "u", "n", "v").where("v > u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = join_by_key(down, least, "u", "n", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -28,9 +29,9 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     ``edges`` holds integer columns ``u`` and ``v``; loops, repeats and nulls
     are ignored. The component is its smallest node, which is included.
-    Only minima per node are aggregated, so a hot node costs one combined row
-    a task; each round is written to the shared folder and its predecessor
-    dropped.
+    Minima per node are combined inside tasks, and the edges of a hot node
+    meet its minimum in as many tasks as their number asks for; each round is
+    written to the shared folder and its predecessor dropped.
     """
     now = materialize(edges.where("u <> v").select("u", "v").distinct(), "cc")
     mark = None
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         mark = tuple(row)
         if not row[0]:
             break
-        then = materialize(_small_star(_large_star(now)), "cc")
+        then = materialize(_small_star(materialize(_large_star(now), "cc")), "cc")
         drop_materialized(now)
         now = then
     else:

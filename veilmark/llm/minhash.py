@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ready
+from .common import join_by_key, materialize, ready
 from .components import connected_components
 
 WORDS = 5
@@ -149,18 +149,19 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(u, v)`` whose signatures and then full sets agree."""
+    """Pairs ``(u, v)``, least first, whose signatures and then full sets agree. Many pairs may share ``v``, few share ``u``."""
     side = lambda s, e: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{e}"), F.col("shingles").alias(f"s{e}"), F.col("sig").alias(f"g{e}"))
-    both = pairs.join(side("u", 1), "u").join(side("v", 2), "v")
+    degree = materialize(pairs.groupBy("v").agg(F.count("*").alias("pairs")), "degree")
+    # signatures alone first: sets travel for the pairs that pass
+    close = pairs.join(side("u", 1).select("u", "g1"), "u")
+    close = join_by_key(close, degree.join(side("v", 2).select("v", "g2"), "v"), "v", "pairs", "u")
     same = F.aggregate(F.zip_with("g1", "g2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
+    close = materialize(close.where(same >= plan_for(percent).near).select("u", "v"), "close")
+    both = close.join(side("u", 1).drop("g1"), "u")
+    both = join_by_key(both, degree.join(side("v", 2).drop("g2"), "v"), "v", "pairs", "u")
     common = F.size(F.array_intersect("s1", "s2"))
-    return (
-        both.where(same >= plan_for(percent).near)
-        .withColumn("common", common)
-        .where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common")))
-        .select("u", "v")
-        .distinct()
-    )
+    good = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common")))
+    return good.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _band_key(minima_: np.ndarray, band: int, rows: int) -> int:
@@ -207,11 +208,10 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     becomes k(k+1)/2 groups of two blocks at most; a block holds few enough
     nodes and shingles for one task.
     """
-    size = members.groupBy("key").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks"), F.min("component").alias("c1"), F.max("component").alias("c2")
-    )
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("blocks")
+    size = members.groupBy("key").agg(blocks, F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"))
     dealt = (
-        members.join(size.where("c1 < c2").select("key", "blocks"), "key")
+        join_by_key(members, materialize(size.where("c1 < c2").select("key", "blocks", "size"), "size"), "key", "size", "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "own", "component")
@@ -225,13 +225,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spark = ready(df.sparkSession)
     sketch = materialize(_sketch(df, id_column, text_column, words, plan_for(percent)), "sketch")
     live = sketch.where("id is not null and n > 0")
-    classes = live.groupBy("digest").agg(F.min("id").alias("node"))
-    member = materialize(live.select("id", "digest").join(classes, "digest").select("id", "node"), "member")
+    classes = materialize(live.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size")), "classes")
+    member = materialize(join_by_key(live.select("id", "n", "digest"), classes, "digest", "size", "id").select("id", "n", "node"), "member")
 
     heads = live.join(classes, (live["digest"] == classes["digest"]) & (live["id"] == classes["node"]), "left_semi")
-    banded = heads.select("id", F.explode("bands").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = materialize(banded.join(shared, "key"), "bucket")
+    banded = materialize(heads.select("id", F.explode("bands").alias("key")).distinct(), "banded")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    bucket = materialize(join_by_key(banded, shared, "key", "size", "id").select("id", "key", "size"), "bucket")
 
     wanted = bucket.select("id").distinct()
     source = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -250,11 +250,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     rated = hot.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
     rated = materialize(rated.where(f"100 * (n - own) >= {percent} * n"), "rated")
-    able = large.join(rated, "id")
-    pivot = able.groupBy("key").agg(F.min(F.struct("own", "id"))["id"].alias("pivot"))
-    stars = able.join(pivot, "key").where("id <> pivot").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
+    able = materialize(large.join(rated, "id"), "able")
+    pivot = materialize(able.groupBy("key").agg(F.min(F.struct("own", "id"))["id"].alias("pivot"), F.count("*").alias("size")), "pivot")
+    stars = join_by_key(able, pivot, "key", "size", "id").where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
 
-    links = _links(all_pairs.union(stars).distinct(), sets, percent)
+    links = _links(materialize(all_pairs.union(stars).distinct(), "pairs"), sets, percent)
     # rows that share an id hold its classes together
     split = member.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("m")).where("u < m")
     same = member.join(split.select("id", "u"), "id").select("u", F.col("node").alias("v"))
@@ -266,14 +266,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     if more.limit(1).count():
         found = materialize(connected_components(edges.union(more)), "component")
 
-    rooted = member.join(found.withColumnRenamed("component", "root"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").groupBy("id").agg(F.min("component_id").alias("component_id"))
-    out = sketch.select("id", "n").join(named, "id", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(
+    # a class's node is its least id and a component its least node, so the component is its least id
+    roots = classes.select("node", "size").groupBy("node").agg(F.sum("size").alias("size")).join(found, "node", "left")
+    roots = materialize(roots.select("node", "size", F.coalesce("component", "node").alias("component_id")), "roots")
+    filled = materialize(join_by_key(member, roots, "node", "size", "id").select("id", "n", "component_id"), "filled")
+    # a text without words counts to its id's other rows, if it has any
+    wordless = sketch.where("id is not null and n = 0").select("id", "n")
+    others = filled.join(wordless.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    empty = wordless.join(others, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    nameless = sketch.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component_id"))
+    return filled.union(empty).union(nameless).select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"),
     )
