@@ -27,7 +27,8 @@ def op4_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(documents(spark, sf_dir))
+    words = secrets.corpus_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return secrets.secret_report(documents(spark, sf_dir), model=secrets.train(spark, words=words))
 
 
 def op6_vbyte_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

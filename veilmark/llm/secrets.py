@@ -1,20 +1,28 @@
 """Secret scans with DataFrame functions only: patterns plus two character Markov models.
 
-A candidate string is scored by the log-likelihood ratio of a model of random
-strings against a model of ordinary identifiers. Both are first-order chains
-over ``ALPHABET``, counted from labelled samples that are themselves made with
-Spark functions. The table of ratios has ``(len(ALPHABET) + 1) ** 2`` cells,
-whatever the corpus, and travels inside the plan as one literal.
-
-Spans are in code points, end exclusive. Pattern spans always stay; a model
-span is added where it overlaps none of them. Null texts count as empty and
-have no spans; ids are only carried, so nulls and repeats are allowed.
+Two first-order chains over ``ALPHABET``, of random strings and of ordinary
+identifiers, are counted from labelled samples that are themselves made with
+Spark functions; the ordinary ones join parts of identifiers and words of real
+text (:func:`corpus_words`). In a run of the alphabet the stretch of the
+greatest log-likelihood ratio is sought and widened to the run's next ``/ _ = -``
+on either side, and over words of ``PREFIX`` characters at most: it is a secret if the ratio passes the threshold. The table of
+ratios has ``(len(ALPHABET) + 1) ** 2`` cells, whatever the corpus, and travels
+inside the plan as one literal.
+
+Spans are in code points, end exclusive. Pattern spans always stay; model spans
+are sought in what they leave of the text.
+
+Cases: null texts count as empty and have no spans; texts are scanned whole,
+whatever their length; ids are only carried, so nulls and repeats are allowed;
+an empty table gives no rows, and without samples every ratio is 0, so the
+patterns stand alone; further columns are carried unless they are called
+``secrets``, which :func:`find_secrets` sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +38,16 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: What the models are asked about: runs of the alphabet of at least so many characters.
-MIN_RANDOM = 20
+MIN_RANDOM = 16
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}"
+#: Characters that part a run into words.
+SEPARATORS = "/_=-"
+#: Words of a run that go with a random stretch beside them if they are no longer than this, such as a key's prefix.
+PREFIX = 4
 #: Labelled strings of each class, and the share of ordinary ones that may score above the threshold.
 SAMPLES, FALSE_SHARE = 6000, 0.0005
+#: Words of real text that ordinary samples may use, at most.
+CORPUS_WORDS = 3000
 #: Least threshold, in nats.
 MARGIN = 3.0
 
@@ -106,16 +120,23 @@ def _as_spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(at).alias("rank"), m["end"].alias("end")))
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``(random boolean, said string)``: strings of digests in usual encodings, and parts joined in usual ways."""
+def corpus_words(texts: DataFrame, text_column: str = "text", limit: int = CORPUS_WORDS) -> list[str]:
+    """At most ``limit`` distinct words of 2 to 14 letters a-z of a text column, the first by a hash."""
+    word = F.explode(F.regexp_extract_all(text_or_empty(text_column), F.lit(r"\b[a-z]{2,14}\b"), F.lit(0))).alias("word")
+    return [r["word"] for r in texts.select(word).distinct().orderBy(F.xxhash64("word"), "word").limit(limit).collect()]
+
+
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, words: Sequence[str] = (), first: int = 0) -> DataFrame:
+    """``(random boolean, said string)``, ``n`` of each: digests in usual encodings, and parts or ``words`` joined in usual ways."""
     i = F.col("id")
     digest = F.sha2(F.concat(F.lit("sample"), i.cast("string")), 256)
     bytes_ = F.unhex(digest)
     upper = F.upper(F.translate(F.base64(bytes_), "+/=abcdefghij", "XYZKLMNOPQRST"))
     noise = F.substring(F.element_at(F.array(digest, F.base64(bytes_), F.translate(F.base64(bytes_), "+/=", "-_"), upper), (i % 4 + 1).cast("int")), F.lit(1), (20 + i % 24).cast("int"))
-    parts = F.split(F.lit(" ".join(PARTS)), " ")
-    pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
-    words = F.array(*[pick(k) for k in range(8)])
+    # every other sample is made of words of text, if there are any
+    tables = [F.split(F.lit(" ".join(t)), " ") for t in (PARTS, tuple(words) or PARTS)]
+    parts = F.when(F.pmod(F.shiftright(F.xxhash64(i), 7), F.lit(2)) == 0, tables[0]).otherwise(tables[1])
+    words = let(parts, lambda t: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: t[F.pmod(F.xxhash64(i, k), F.size(t)).cast("int")]))
     plain = F.element_at(
         F.array(
             F.array_join(words, "_"),
@@ -131,7 +152,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         ),
         (i % 10 + 1).cast("int"),
     )
-    base = spark.range(0, n, 1, 4)
+    base = spark.range(first, first + n, 1, 4)
     return base.select(F.lit(True).alias("random"), noise.alias("said")).union(base.select(F.lit(False).alias("random"), plain.alias("said")))
 
 
@@ -152,19 +173,45 @@ class MarkovModel:
     ratios: tuple[float, ...]
     threshold: float
 
-    def score(self, said: Column) -> Column:
-        """Sum of the ratios along a string, in nats."""
+    def stretch(self, said: Column) -> Column:
+        """``struct<score, start, end>``: the stretch of a string with the greatest sum of ratios, in nats, widened to separators."""
         table = F.split(F.lit(",".join(f"{r:.3f}" for r in self.ratios)), ",").cast("array<double>")
-        return F.aggregate(_cells(said), F.lit(0.0), lambda t, c: t + F.get(table, c))
+        none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+        def step(acc: Column, cell: Column) -> Column:
+            on = acc["sum"] > 0
+            total = F.get(table, cell) + F.when(on, acc["sum"]).otherwise(0.0)
+            return let(
+                F.struct(total.alias("t"), F.when(on, acc["from"]).otherwise(acc["at"]).alias("f")),
+                lambda n: F.struct(
+                    n["t"].alias("sum"),
+                    n["f"].alias("from"),
+                    (acc["at"] + 1).alias("at"),
+                    F.greatest(n["t"], acc["score"]).alias("score"),
+                    F.when(n["t"] > acc["score"], n["f"]).otherwise(acc["start"]).alias("start"),
+                    F.when(n["t"] > acc["score"], acc["at"] + 1).otherwise(acc["end"]).alias("end"),
+                ),
+            )
+
+        def widen(acc: Column) -> Column:
+            some, sep = f"[^{SEPARATORS}]", f"[{SEPARATORS}]"
+            before = F.regexp_extract(F.substr(said, F.lit(1), acc["start"]), f"(?:(?<=^|{sep}){some}{{0,{PREFIX}}}{sep})*{some}*$", 0)
+            behind = F.regexp_extract(F.substr(said, acc["end"] + 1), f"^{some}*(?:{sep}{some}{{0,{PREFIX}}}(?=$|{sep}))*", 0)
+            return F.struct(acc["score"].alias("score"), (acc["start"] - F.length(before)).alias("start"), (acc["end"] + F.length(behind)).alias("end"))
+
+        return let(F.aggregate(_cells(said), none, step), widen)
+
+    def is_random(self, stretch: Column) -> Column:
+        return (stretch["score"] > self.threshold) & (stretch["end"] - stretch["start"] >= MIN_RANDOM)
 
 
-def train(spark: SparkSession, samples: DataFrame | None = None) -> MarkovModel:
+def train(spark: SparkSession, samples: DataFrame | None = None, words: Sequence[str] = ()) -> MarkovModel:
     """Count both chains (add 0.5 to each cell) and place the threshold on the ordinary samples.
 
     ``samples`` has ``random boolean, said string``; at most alphabet squared
     counts come to the driver.
     """
-    samples = labelled_samples(spark) if samples is None else samples
+    samples = labelled_samples(spark, words=words) if samples is None else samples
     width = len(ALPHABET) + 1
     counts = samples.select("random", F.explode(_cells(F.col("said"))).alias("cell")).groupBy("random", "cell").count().collect()
     seen = {(r["random"], r["cell"]): r["count"] for r in counts}
@@ -178,7 +225,7 @@ def train(spark: SparkSession, samples: DataFrame | None = None) -> MarkovModel:
         for b in range(1, width):
             ratios[a * width + b] = math.log(share[True][b - 1] / share[False][b - 1])
     model = MarkovModel(tuple(ratios), 0.0)
-    limit = samples.where("not random").agg(F.percentile(model.score(F.col("said")), F.lit(1 - FALSE_SHARE))).first()[0]
+    limit = samples.where("not random").agg(F.percentile(model.stretch(F.col("said"))["score"], F.lit(1 - FALSE_SHARE))).first()[0]
     return MarkovModel(tuple(ratios), max(round(limit or 0.0, 3), MARGIN))
 
 
@@ -193,13 +240,40 @@ def find_secrets(df: DataFrame, model: MarkovModel, text_column: str = "text") -
     access = matches(text, f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}")
     hexes = matches(text, f"[0-9a-f]{{{MIN_HEX},}}")
     base = F.concat(_as_spans(assign, "assign"), _as_spans(access, "access"), _as_spans(hexes, "hex"))
-    guesses = F.filter(matches(text, CANDIDATE), lambda m: model.score(m["said"]) > model.threshold)
 
-    def joined(s: Column) -> Column:
-        free = F.filter(s["guesses"], lambda g: ~F.exists(s["base"], lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-        return F.array_sort(F.concat(s["base"], _as_spans(free, "random")))
+    def guesses(base: Column) -> Column:
+        free = F.when(F.size(base) > 0, _replaced(text, _merged(base), lambda n: F.repeat(F.lit(" "), n))).otherwise(text)
+        found = F.transform(matches(free, CANDIDATE), lambda m: F.struct(m["start"].alias("at"), model.stretch(m["said"]).alias("best")))
+        random = F.filter(found, lambda f: model.is_random(f["best"]))
+        return F.transform(random, lambda f: F.struct((f["at"] + f["best"]["start"]).alias("start"), F.lit(KINDS.index("random")).alias("rank"), (f["at"] + f["best"]["end"]).alias("end")))
+
+    return df.withColumn("secrets", let(F.array_sort(base), lambda b: F.array_sort(F.concat(b, guesses(b)))))
+
+
+_SPANS = "array<struct<start:int,rank:int,end:int>>"
+
+
+def _merged(spans: Column) -> Column:
+    """Spans, sorted by start, with those that overlap made one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))
+        begun = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(begun, F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
-    return df.withColumn("secrets", let(F.struct(base.alias("base"), guesses.alias("guesses")), joined))
+    return F.aggregate(spans, F.array().cast(_SPANS), add)
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """``text`` with each of its spans, disjoint and in order, replaced by ``by(its length)``."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        before = F.substr(text, acc["at"], s["start"] + 1 - acc["at"])
+        return F.struct((s["end"] + 1).alias("at"), F.concat(acc["out"], F.array(before, by(s["end"] - s["start"]))).alias("out"))
+
+    return F.aggregate(spans, start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"])))
 
 
 def _say(spans: Column) -> Column:
@@ -230,13 +304,5 @@ def redact(df: DataFrame, model: MarkovModel, text_column: str = "text", mask: s
     """
     found = find_secrets(df, model, text_column)
     text = F.col(text_column)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        before = F.substr(text, acc["at"], s["start"] + 1 - acc["at"])
-        return F.when(
-            s["start"] + 1 < acc["at"], F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), acc["out"].alias("out"))
-        ).otherwise(F.struct((s["end"] + 1).alias("at"), F.concat(acc["out"], F.array(before, F.lit(mask))).alias("out")))
-
-    whole = F.aggregate("secrets", start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"])))
+    whole = _replaced(text, _merged(F.col("secrets")), lambda n: F.lit(mask))
     return found.withColumn(text_column, F.when(F.size("secrets") > 0, whole).otherwise(text)).drop("secrets")
