@@ -2,12 +2,18 @@
 
 Every stage works on all rows that its predecessor kept and is written as
 Parquet before the next one reads it. All but the last return the columns of
-``documents``.
+``documents``, whatever these are.
+
+Cases, of every stage: an empty table gives no rows; null and empty texts are
+rows like others (quality scores them as one empty line; they are nobody's near
+copies; they hold no secrets, and without words the mix leaves them out);
+null ids and rows that share an id are documents of their own; further columns
+go along unread, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm import bpe, fair_mix, line_crf, minhash, secrets
@@ -18,41 +24,55 @@ NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that the line field rejects go. Trained on the labelled rows of the whole table."""
+    """Operator 7: documents that the line field rejects go. Trained on labelled rows of the whole table.
+
+    Without labelled rows every document stays.
+    """
     field = line_crf.train(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    scored = line_crf.score_documents(docs, field, keep=tuple(names))
-    return scored.where(F.col("score") >= line_crf.THRESHOLD).select(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    scored = line_crf.score_documents(rows, field, keep=("row",))
+    return scored.where(F.col("score") >= line_crf.THRESHOLD).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3 at similarity 0.80: one document of each group stays, the one with the smallest id.
 
-    Of rows that share an id one stays; rows without an id stay all.
+    Rows without an id, and rows that share one, enter under a hash of id and
+    text instead, so that different texts are told apart.
     """
-    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    kept = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count():
-        single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-        kept = single.union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return kept.union(docs.where("doc_id is null"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), "text")
+    unclear = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("shared"))
+    named = row.withColumn("key", F.col("id").cast("long"))
+    if unclear.limit(1).count():
+        own = F.xxhash64(F.lit("row"), F.col("id"), F.coalesce("text", F.lit("")), F.col("text").isNull())
+        both = row.join(unclear.withColumn("found", F.lit(True)), F.col("id").eqNullSafe(F.col("shared")), "left")
+        named = both.select("row", "id", "text", F.when(F.col("found"), own).otherwise(F.col("id")).alias("key"))
+    found = minhash.near_duplicates(named, "key", percent=NEAR_PERCENT).where("kept").select("key").distinct()
+    kept = named.select("row", "key").join(found.hint("shuffle_hash"), "key", "left_semi")
+    if unclear.limit(1).count():
+        # rows with one key have one text
+        first = F.row_number().over(Window.partitionBy("key").orderBy("row"))
+        kept = kept.withColumn("nth", first).where("nth = 1")
+    return kept.select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: every span found is masked in its text, and ``n_chars`` follows."""
     names = docs.columns
-    masked = secrets.redact(docs, secrets.train(spark))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    words = secrets.corpus_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("text").alias("text"))
+    masked = secrets.redact(rows, secrets.train(spark, words=words))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return masked.select(*[changed.get(n, F.col("row").getField(n)).alias(n) for n in names])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: sources by target weight, in the order of finish times."""
+    """Operator 9: sources by target weight, in the order of finish times, cut at the words that came in."""
     return fair_mix.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token ids of every document, and the digest of what they decode to."""
+    """Operator 10: number and digest of every document's token ids, and the digest of what they decode to."""
     return bpe.bpe_digest(docs)
 
 
@@ -64,7 +84,7 @@ STAGES = [
     ("BPE encoding", encode),
 ]
 
-#: The line field and the BPE walk have no SQL form; tests compare the stages with brute force.
+#: The line field and the BPE walk have no SQL form; tests/llm/test_pipeline.py compares every stage and their sequence with brute force.
 ORACLE_SQL = None
 
 
