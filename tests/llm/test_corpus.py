@@ -561,22 +561,3 @@ def test_quality_held_out(spark):
     assert got.where("score is null or score < 0 or score > 1 or held_out is null").count() == 0
     one = line_crf.fit(["a", "b"], [1, 1])
     assert one.scores([None, ""]).tolist() == [0.75, 0.75]
-
-
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    stages = dict(corpus_pipeline.STAGES)
-    good = stages["quality classifier"](spark, docs, sf)
-    assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    twice = docs.union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    single = stages["MinHash near-dedup"](spark, twice, sf)
-    roots = {v[0] for v in brute_components(texts).values()}
-    assert sorted((r["doc_id"] for r in single.where("doc_id is not null").collect())) == sorted(roots)
-    masked = {r["doc_id"]: r for r in stages["secret scans"](spark, docs, sf).collect()}
-    for i, t in texts.items():
-        assert (masked[i]["text"] != t) >= bool(brute_secrets(t)) and masked[i]["n_chars"] == len(masked[i]["text"])
-    mixed = stages["mixing sources"](spark, docs, sf)
-    assert mixed.columns == docs.columns
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

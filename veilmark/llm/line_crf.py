@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ready
 
@@ -331,7 +332,7 @@ def score_documents(df: DataFrame, field: Field, id_column: str = "doc_id", text
     ready(df.sparkSession)
     names = list(dict.fromkeys([id_column, *keep]))
     source = df.select(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)], F.col(text_column).cast("string").alias("__text"))
-    schema = ", ".join(f"k{i} {df.schema[n].dataType.simpleString()}" for i, n in enumerate(names)) + ", score double"
+    schema = StructType([*[StructField(f"k{i}", df.schema[n].dataType) for i, n in enumerate(names)], StructField("score", DoubleType())])
 
     def run(batches):
         for batch in batches:
