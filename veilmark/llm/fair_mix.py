@@ -116,7 +116,7 @@ def queue(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     of the one offer that goes before a longer document, if it is its.
     """
     narrow = materialize(_narrow(df, id_column, text_column, source_column, seed), "mix")
-    bits = min(max(4, ceil(log2(max(narrow.count(), 1) / BUCKET_ROWS))), TURN_BITS)
+    bits = min(max(7, ceil(log2(max(narrow.count(), 1) / BUCKET_ROWS))), TURN_BITS)
     docs = narrow.withColumn("bucket", F.shiftright("turn", TURN_BITS - bits))
     parts = materialize(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix")
     goal = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")))
