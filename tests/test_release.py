@@ -138,10 +138,10 @@ def test_privacy_ratios(spark):
 
 def test_identity_release(spark):
     rows = spark.createDataFrame([(i, float(i % 7)) for i in range(40)], "rid long, x double")
-    d = distance.numeric(F.col("q_x"), F.col("c_x"), 6)
-    near = knn.nearest(rows, rows, d)
+    d, keys = distance.numeric(F.col("q_x"), F.col("c_x"), 6), ["x"]
+    near = knn.nearest(rows, rows, d, keys)
     assert near.agg(F.max("dist")).first()[0] == 0
-    other = knn.nearest(rows, rows, d, exclude_self=True)
+    other = knn.nearest_other(rows, d, keys)
     assert privacy.adversarial_accuracy(near, other, near, other).first()[0] == 0
 
 

@@ -1,18 +1,43 @@
 """Nearest neighbours between two tables under any distance expression.
 
-Both sides are dealt to blocks, and each cell of the grid of blocks is joined
-by its number: memory is bounded by a block whatever the sizes, and neither
-side is broadcast. Aggregates over cells are combined inside tasks.
+Both sides are dealt to blocks, and each cell of the grid of blocks is one
+task's work: memory is bounded by a block whatever the sizes, and the number of
+tasks follows the number of cells, not the bytes of the inputs. Where records
+repeat, distances are computed between distinct combinations of the compared
+columns only. Aggregates over cells are combined inside tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 1024
+#: Rows of a block, and tasks of one grid at most.
+CELL_ROWS, MOST_TASKS = 1024, 20_000
+#: Groups of candidates whose minima bound the k-th distance.
+GROUPS = 64
+#: Room for rounding when unrounded distances are compared with a bound.
+ROOM = 1e-8
+
+
+def _renamed(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+
+
+def _grid(query: DataFrame, cand: DataFrame, cell_rows: int) -> DataFrame:
+    """Every row of ``query`` with every row of ``cand``; columns keep their names."""
+    rows, cols = (max(1, -(-d.count() // cell_rows)) for d in (query, cand))
+    tasks = min(rows * cols, MOST_TASKS)
+    deal = lambda d, n: F.pmod(F.xxhash64(*d.columns), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = query.withColumn("__row", deal(query, rows)).withColumn("__col", each(cols))
+    right = cand.withColumn("__col", deal(cand, cols)).withColumn("__row", each(rows))
+    cell = (F.col("__row") * cols + F.col("__col")).alias("__cell")
+    # an explicit number of partitions is not merged again
+    left, right = (d.select(*names, cell).repartition(tasks, "__cell") for d, names in ((left, query.columns), (right, cand.columns)))
+    return left.join(right.hint("shuffle_hash"), "__cell").drop("__cell")
 
 
 def pairs(query: DataFrame, cand: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -21,38 +46,105 @@ def pairs(query: DataFrame, cand: DataFrame, cell_rows: int = CELL_ROWS) -> Data
     Meant for distinct value combinations or bounded query sets: its cost is
     the product of the sizes.
     """
-    q = query.select(*[F.col(c).alias(f"q_{c}") for c in query.columns])
-    c = cand.select(*[F.col(x).alias(f"c_{x}") for x in cand.columns])
-    rows, cols = (max(1, -(-d.count() // cell_rows)) for d in (query, cand))
-    deal = lambda d, n: F.pmod(F.xxhash64(*d.columns), F.lit(n))
-    left = q.withColumn("__row", deal(q, rows)).withColumn("__col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)).cast("array<long>")))
-    right = c.withColumn("__col", deal(c, cols)).withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<long>")))
-    return left.join(right, ["__row", "__col"]).drop("__row", "__col")
+    return _grid(_renamed(query, "q"), _renamed(cand, "c"), cell_rows)
+
 
+def _same(names: Sequence[str], left: str = "", right: str = "q_") -> list[Column]:
+    return [F.col(f"{left}{n}").eqNullSafe(F.col(f"{right}{n}")) for n in names]
 
-Distance = Callable[[str, str], Column]
 
+def _rounded(d: Column, digits: int | None) -> Column:
+    return d if digits is None else F.round(d, digits)
 
-def top_k(query: DataFrame, cand: DataFrame, distance: Column, k: int, query_id: str = "rid", cand_id: str = "rid", digits: int | None = 9, exclude_self: bool = False) -> DataFrame:
+
+def top_k(
+    query: DataFrame, cand: DataFrame, distance: Column, k: int, query_id: str = "rid", cand_id: str = "rid", digits: int | None = 9, exclude_self: bool = False, keys: Sequence[str] | None = None
+) -> DataFrame:
     """``(query_id, rank, cand_id, dist)``: the ``k`` nearest candidates, ties by the candidate's id.
 
-    ``distance`` refers to ``q_*`` and ``c_*`` columns. Rounding makes ties
-    independent of the order of additions. Spark keeps ``k`` rows a query in
-    each task before the shuffle.
+    ``distance`` refers to ``q_*`` and ``c_*`` columns of ``keys`` (default:
+    all shared columns but the ids) and is rounded, so that ties do not depend
+    on the order of additions. A first pass over the grid takes the minimum of
+    ``GROUPS`` groups of candidates; the ``k``-th smallest of these bounds the
+    ``k``-th distance, and only pairs within the bound are ranked in a second
+    pass. Candidates that agree in all keys count as one, with their ``k``
+    least ids; so do queries, unless a query must not meet itself.
     """
-    d = F.round(distance, digits) if digits is not None else distance
-    p = pairs(query, cand)
+    names = list(keys) if keys is not None else [c for c in query.columns if c in cand.columns and c not in (query_id, cand_id)]
+    most = k + 1 if exclude_self else k
+    # tasks keep ``most`` ids of a combination before the shuffle
+    first = Window.partitionBy(*names).orderBy(cand_id)
+    few = cand.select(*names, cand_id).withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most)
+    c = few.groupBy(*names).agg(F.sort_array(F.collect_list(cand_id)).alias("ids"))
+    q = query.select(query_id, *names) if exclude_self else query.select(*names).distinct()
+    q, c = _renamed(q, "q"), _renamed(c, "c").withColumn("c_first", F.element_at("c_ids", 1))
+    by = q.columns
+    apart = (F.size("c_ids") > 1) | (F.col("c_first") != F.col(f"q_{query_id}")) if exclude_self else F.lit(True)
+
+    group = F.pmod(F.xxhash64("c_first"), F.lit(GROUPS))
+    least = _grid(q, c, CELL_ROWS).where(apart).groupBy(*by, group.alias("__group")).agg(F.min(distance).alias("d"))
+    bound = least.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("d"))  # GROUPS numbers at most
+    bound = bound.select(*[F.col(n).alias(f"b_{n}") for n in by], F.when(F.size("d") >= k, F.get("d", F.lit(k - 1)) + ROOM).alias("bound"))
+    bounded = q.join(bound, _same(by, right="b_")).select(*by, "bound")
+    near = _grid(bounded, c, CELL_ROWS).where(apart).withColumn("dist", distance).where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound")))
+    each = near.select(*by, _rounded(F.col("dist"), digits).alias("dist"), F.explode("c_ids").alias("cand_id"))
     if exclude_self:
-        p = p.where(F.col(f"q_{query_id}") != F.col(f"c_{cand_id}"))
-    p = p.select(F.col(f"q_{query_id}").alias("query_id"), F.col(f"c_{cand_id}").alias("cand_id"), d.alias("dist"))
-    w = Window.partitionBy("query_id").orderBy("dist", "cand_id")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "cand_id", "dist")
+        each = each.where(F.col("cand_id") != F.col(f"q_{query_id}"))
+    w = Window.partitionBy(*by).orderBy("dist", "cand_id")
+    best = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if exclude_self:
+        out = best.select(F.col(f"q_{query_id}").alias("query_id"), "rank", "cand_id", "dist")
+    else:
+        out = query.select(F.col(query_id).alias("query_id"), *names).join(best, _same(names)).select("query_id", "rank", "cand_id", "dist")
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-def nearest(query: DataFrame, cand: DataFrame, distance: Column, query_id: str = "rid", digits: int | None = 9, exclude_self: bool = False, cand_id: str = "rid") -> DataFrame:
-    """``(query_id, dist)``: the least distance only, by a hash aggregate without a sort."""
-    d = F.round(distance, digits) if digits is not None else distance
-    p = pairs(query, cand)
-    if exclude_self:
-        p = p.where(F.col(f"q_{query_id}") != F.col(f"c_{cand_id}"))
-    return p.groupBy(F.col(f"q_{query_id}").alias("query_id")).agg(F.min(d).alias("dist"))
+def _combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _spread(df: DataFrame, keys: Sequence[str], found: DataFrame, row_id: str) -> DataFrame:
+    """``(query_id, dist)`` for every row, from ``(q_keys, dist)``; nulls are values too."""
+    return df.select(F.col(row_id).alias("query_id"), *keys).join(found, _same(keys)).select("query_id", "dist")
+
+
+def nearest(query: DataFrame, cand: DataFrame, distance: Column, keys: Sequence[str], query_id: str = "rid", digits: int | None = 9) -> DataFrame:
+    """``(query_id, dist)``: the least distance only, by hash aggregates without a sort.
+
+    A combination is as near to the candidates as each of its rows, so the
+    grid holds combinations of the compared columns, not rows.
+    """
+    p = pairs(query.select(*keys).distinct(), cand.select(*keys).distinct())
+    found = p.groupBy(*[f"q_{c}" for c in keys]).agg(_rounded(F.min(distance), digits).alias("dist"))
+    return _spread(query, keys, found, query_id)
+
+
+def nearest_both_ways(query: DataFrame, cand: DataFrame, distance: Column, keys: Sequence[str], row_id: str = "rid", digits: int | None = 9) -> tuple[DataFrame, DataFrame]:
+    """:func:`nearest` from ``query`` to ``cand`` and back, from one grid of distances.
+
+    Both minima are taken side by side and kept until both frames are used.
+    """
+    left, right = [f"q_{c}" for c in keys], [f"c_{c}" for c in keys]
+    p = pairs(query.select(*keys).distinct(), cand.select(*keys).distinct()).withColumn("__d", distance)
+    both = p.groupingSets([[F.col(c) for c in left], [F.col(c) for c in right]], *left, *right)
+    minima = both.agg(F.min("__d").alias("dist"), F.grouping(left[0]).alias("back")).withColumn("dist", _rounded(F.col("dist"), digits)).persist()
+    there = minima.where("back = 0").select(*left, "dist")
+    back = minima.where("back = 1").select(*[F.col(f"c_{c}").alias(f"q_{c}") for c in keys], "dist")
+    return _spread(query, keys, there, row_id), _spread(cand, keys, back, row_id)
+
+
+def nearest_other(df: DataFrame, distance: Column, keys: Sequence[str], row_id: str = "rid", digits: int | None = 9) -> DataFrame:
+    """``(query_id, dist)``: the least distance to another row of the same table, 0 where a combination repeats."""
+    c = _combinations(df, keys)
+    p = pairs(c, c.drop("n")).where(~_all(_same(keys, "c_")))
+    other = p.groupBy(*[f"q_{k}" for k in keys]).agg(_rounded(F.min(distance), digits).alias("dist"))
+    single = c.select(*[F.col(k).alias(f"c_{k}") for k in keys], "n").join(other, _same(keys, "c_"), "left")
+    found = single.select(*[F.col(f"c_{k}").alias(f"q_{k}") for k in keys], F.when(F.col("n") > 1, 0.0).otherwise(F.col("dist")).alias("dist")).where("dist is not null")
+    return _spread(df, keys, found, row_id)
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out

@@ -5,32 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
-def _trimmed(nn: DataFrame) -> DataFrame:
-    """Rows with the 10th and 90th percentile beside them (linear interpolation)."""
-    p = nn.agg(F.percentile("dist", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    bounds = p.select(F.round(F.col("p")[0], 9).alias("p10"), F.round(F.col("p")[1], 9).alias("p90"))
-    return nn.crossJoin(F.broadcast(bounds))  # one row
+def _counted(nn: DataFrame) -> DataFrame:
+    """Distinct distances with counts: every later step reads these only."""
+    return nn.groupBy(F.col("dist").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null").persist()
+
+
+def _bounds(counts: DataFrame) -> tuple[float, float]:
+    """The 10th and 90th percentile, rounded (NaN for a table without rows)."""
+    return tuple(float("nan") if p is None else round(p, 9) for p in percentiles(counts, (0.1, 0.9)))
+
+
+def _mean(of: Column) -> Column:
+    return F.sum(of * F.col("n")) / F.sum(F.when(of.isNotNull(), F.col("n")))
 
 
 def distance_summary(nn: DataFrame) -> DataFrame:
     """Mean, median, least and greatest distance, over all rows and over those between the percentiles."""
-    inner = F.when(F.col("dist").between(F.col("p10"), F.col("p90")), F.col("dist"))
-    return _trimmed(nn).agg(
-        F.avg("dist").alias("mean"), F.percentile("dist", F.lit(0.5)).alias("median"), F.min("dist").alias("min"), F.max("dist").alias("max"),
-        F.avg(inner).alias("mean_1090"), F.percentile(inner, F.lit(0.5)).alias("median_1090"), F.min(inner).alias("min_1090"), F.max(inner).alias("max_1090"),
+    counts = _counted(nn)
+    p10, p90 = _bounds(counts)
+    kept = F.col("value").between(p10, p90)
+    (median,), (median_inner,) = percentiles(counts, (0.5,)), percentiles(counts.where(kept), (0.5,))
+    value, inner = F.col("value"), F.when(kept, F.col("value"))
+    return counts.agg(
+        _mean(value).alias("mean"), F.lit(median).cast("double").alias("median"), F.min(value).alias("min"), F.max(value).alias("max"),
+        _mean(inner).alias("mean_1090"), F.lit(median_inner).cast("double").alias("median_1090"), F.min(inner).alias("min_1090"), F.max(inner).alias("max_1090"),
     )
 
 
 def close_value_ratio(nn: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """``(threshold, ratio, ratio_1090)``: share of rows nearer than each threshold."""
-    inner = F.col("dist").between(F.col("p10"), F.col("p90"))
+    counts = _counted(nn)
+    p10, p90 = _bounds(counts)
     each = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    rows = _trimmed(nn).select("dist", inner.alias("inner"), each)
-    near = (F.col("dist") < F.col("threshold")).cast("double")
-    return rows.groupBy("threshold").agg(F.avg(near).alias("ratio"), F.avg(F.when(F.col("inner"), near)).alias("ratio_1090"))
+    rows = counts.select("value", "n", F.col("value").between(p10, p90).alias("inner"), each)
+    near = (F.col("value") < F.col("threshold")).cast("double")
+    return rows.groupBy("threshold").agg(_mean(near).alias("ratio"), _mean(F.when(F.col("inner"), near)).alias("ratio_1090"))
 
 
 def similarity_ratio(to_release: DataFrame, to_self: DataFrame) -> DataFrame:

@@ -115,75 +115,73 @@ def record_distance(spark: SparkSession, d: str) -> DataFrame:
     return _summary(df, df, all_distance(_price_width(df)), ["size", "brand", "grp", "type", "price"])
 
 
+QID = ["size", "brand", "grp", "type"]
+
+
 def knn_top5_qid(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return knn.top_k(holdout(df), original(df), qid_distance(), 5).withColumn("dist", _r("dist", 6))
+    return knn.top_k(holdout(df), original(df), qid_distance(), 5, keys=QID).withColumn("dist", _r("dist", 6))
 
 
 def knn_top5_all(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return knn.top_k(holdout(df), release(df), all_distance(_price_width(df)), 5).withColumn("dist", _r("dist", 6))
+    return knn.top_k(holdout(df), release(df), all_distance(_price_width(df)), 5, keys=[*QID, "price"]).withColumn("dist", _r("dist", 6))
 
 
 def knn_self_second(spark: SparkSession, d: str) -> DataFrame:
-    df = holdout(parts(spark, d))
-    return knn.nearest(df, df, qid_distance(), exclude_self=True).withColumn("dist", _r("dist", 6))
+    return knn.nearest_other(holdout(parts(spark, d)), qid_distance(), QID).withColumn("dist", _r("dist", 6))
 
 
-def combos_nearest(query: DataFrame, cand: DataFrame) -> DataFrame:
-    """``(query_id, dist)`` by QID distance: distances are computed between distinct combinations only.
+def knn_self_top3(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest other rows of the holdout."""
+    h = holdout(parts(spark, d))
+    return knn.top_k(h, h, qid_distance(), 3, keys=QID, exclude_self=True).withColumn("dist", _r("dist", 6))
 
-    A combination is as near to the candidates as each of its rows, so the
-    grid holds domains, not rows.
-    """
-    keys = ["size", "brand", "grp", "type"]
-    near = knn.nearest(query.select(*keys).distinct().withColumn("rid", F.xxhash64(*keys)), cand.select(*keys).distinct(), qid_distance())
-    return query.select(F.col("rid").alias("query_id"), F.xxhash64(*keys).alias("k")).join(near.withColumnRenamed("query_id", "k"), "k").select("query_id", "dist")
 
-
-def combos_second(df: DataFrame) -> DataFrame:
-    """Distance to the nearest other row of the same table: 0 where a combination repeats."""
-    keys = ["size", "brand", "grp", "type"]
-    c = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rid", F.xxhash64(*keys))
-    other = knn.nearest(c.drop("n"), c.drop("n"), qid_distance(), exclude_self=True)
-    near = c.select("rid", "n").join(other.withColumnRenamed("query_id", "rid"), "rid", "left").select(F.col("rid").alias("k"), F.when(F.col("n") > 1, 0.0).otherwise(F.col("dist")).alias("dist"))
-    return df.select(F.col("rid").alias("query_id"), F.xxhash64(*keys).alias("k")).join(near, "k").select("query_id", "dist")
+def nn_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Least distances from the holdout to the release and back, from one grid."""
+    df = parts(spark, d)
+    there, back = knn.nearest_both_ways(holdout(df), release(df), qid_distance(), QID)
+    tagged = [x.select(F.lit(n).alias("direction"), "query_id", _r("dist", 6).alias("dist")) for n, x in (("holdout", there), ("release", back))]
+    return tagged[0].unionByName(tagged[1])
 
 
 def nn_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    s = P.distance_summary(combos_nearest(original(df), release(df)))
+    s = P.distance_summary(knn.nearest(original(df), release(df), qid_distance(), QID))
     return s.select(*[_r(c, 6).alias(c) for c in s.columns])
 
 
 def close_value_ratio(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    s = P.close_value_ratio(combos_nearest(holdout(df), release(df)))
+    s = P.close_value_ratio(knn.nearest(holdout(df), release(df), qid_distance(), QID))
     return s.select("threshold", _r("ratio", 6).alias("ratio"), _r("ratio_1090", 6).alias("ratio_1090"))
 
 
 def similarity_ratio(spark: SparkSession, d: str) -> DataFrame:
     o = original(parts(spark, d))
-    return P.similarity_ratio(combos_nearest(o, release(parts(spark, d))), combos_second(o)).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
+    return P.similarity_ratio(knn.nearest(o, release(parts(spark, d)), qid_distance(), QID), knn.nearest_other(o, qid_distance(), QID)).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
 
 
 def nn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     t, p = holdout(df), release(df)
-    return P.adversarial_accuracy(combos_nearest(t, p), combos_second(t), combos_nearest(p, t), combos_second(p)).select(_r("nn_accuracy", 6).alias("nn_accuracy"))
+    there, back = knn.nearest_both_ways(t, p, qid_distance(), QID)
+    second = [knn.nearest_other(x, qid_distance(), QID) for x in (t, p)]
+    return P.adversarial_accuracy(there, second[0], back, second[1]).select(_r("nn_accuracy", 6).alias("nn_accuracy"))
 
 
 def nn_identity(spark: SparkSession, d: str) -> DataFrame:
     """The original released unchanged, against itself: distance 0, every close ratio 1."""
     o = original(parts(spark, d))
-    nn = combos_nearest(o, o)
+    nn = knn.nearest(o, o, qid_distance(), QID)
     return nn.agg(F.max("dist").alias("greatest"), F.avg((F.col("dist") < 0.1).cast("double")).alias("close"))
 
 
 def _aia(spark: SparkSession, d: str, k: int) -> DataFrame:
     df = parts(spark, d)
     t, p = holdout(df), release(df)
-    near = knn.top_k(t.select("rid", "size", "brand", "grp", "type"), p.select("rid", "size", "brand", "grp", "type"), qid_distance(), k)
+    near = knn.top_k(t, p, qid_distance(), k, keys=QID)
     guess = P.neighbour_guess(near, p, "rid", "price", True)
     s1, s2 = (prep.sample_std(x, ["price"]).first()[0] for x in (original(df), p))
     scored = t.join(guess, t["rid"] == guess["query_id"])
@@ -208,7 +206,7 @@ def aia_category(spark: SparkSession, d: str) -> DataFrame:
     codes = P.value_codes(df, "brand")
     t, p = (x.join(codes, x["brand"] == codes["value"]).drop("value") for x in (holdout(df), release(df)))
     dist = D.record({"size": D.numeric(*_c("size"), SIZE_WIDTH), "type": type_distance()})
-    near = knn.top_k(t.select("rid", "size", "type"), p.select("rid", "size", "type"), dist, 5)
+    near = knn.top_k(t, p, dist, 5, keys=["size", "type"])
     guess = P.neighbour_guess(near, p, "rid", "code", False).join(codes.select(F.col("code").alias("guess"), F.col("value").alias("guessed")), "guess")
     groups = df.select("brand", "grp").distinct()
     sizes = groups.groupBy("grp").agg(F.count("*").alias("group_size"))
@@ -237,7 +235,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, distance_matrix, attribute_kinds, record_distance,
-        knn_top5_qid, knn_top5_all, knn_self_second, nn_distance_summary, close_value_ratio, similarity_ratio, nn_accuracy, nn_identity,
+        knn_top5_qid, knn_top5_all, knn_self_second, knn_self_top3, nn_both_ways, nn_distance_summary, close_value_ratio, similarity_ratio, nn_accuracy, nn_identity,
         aia_nearest_1, aia_nearest_5, aia_range_overlap, aia_category, entropy_weights, numeric_domains, value_codes,
     )
 }
@@ -245,7 +243,7 @@ QUERIES = {
 
 def _summary_sql(expression: str, cand: str = "parts", with_: str = "") -> str:
     return f"""WITH {PARTS_SQL}{with_} SELECT q.rid, round(sum(d), 6) AS total, round(min(d), 6) AS least, round(max(d), 6) AS most
-      FROM (SELECT q.rid, {expression} AS d FROM parts q, {cand} c WHERE q.rid % 100 = 0) q GROUP BY 1"""
+      FROM (SELECT q.rid, {expression} AS d FROM parts q, {cand} c) q GROUP BY 1"""
 
 
 _BRAND = "CASE WHEN q.brand = c.brand THEN 0.0 WHEN q.grp = c.grp THEN 0.5 ELSE 1.0 END"
@@ -284,7 +282,7 @@ SQL = {
     ),
     "distance_nodes": _summary_sql("CASE WHEN q.grp = c.grp THEN 0.0 ELSE 4.0 END"),
     "distance_matrix": f"""WITH {PARTS_SQL}, c AS (SELECT type, row_number() OVER (ORDER BY type) AS i FROM (SELECT DISTINCT type FROM parts)),
-      x AS (SELECT rid, i FROM parts JOIN c USING (type)) SELECT q.rid, round(sum(abs(q.i - y.i) / 5), 6) AS total FROM x q, x y WHERE q.rid % 100 = 0 GROUP BY 1""",
+      x AS (SELECT rid, i FROM parts JOIN c USING (type)) SELECT q.rid, round(sum(abs(q.i - y.i) / 5), 6) AS total FROM x q, x y GROUP BY 1""",
     "attribute_kinds": f"""WITH {PARTS_SQL} SELECT 'size' AS attribute, 'number' AS kind UNION ALL SELECT 'price', 'number' UNION ALL
       SELECT 'brand', CASE WHEN count(DISTINCT brand) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL
       SELECT 'type', CASE WHEN count(DISTINCT type) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL SELECT 'grp', CASE WHEN count(DISTINCT grp) > 20 THEN 'other' ELSE 'category' END FROM parts""",
@@ -303,7 +301,11 @@ SQL = {
       SELECT round(avg((a.dist < b.dist)::INT), 6) AS similarity_ratio FROM a JOIN b USING (query_id)""",
     "nn_accuracy": f"""WITH {PARTS_SQL}, tp AS MATERIALIZED {_near_sql("h", "p")}, tt AS MATERIALIZED {_near_sql("h", "h", True)}, pt AS MATERIALIZED {_near_sql("p", "h")}, pp AS MATERIALIZED {_near_sql("p", "p", True)}
       SELECT round(((SELECT avg((tp.dist > tt.dist)::INT) FROM tp JOIN tt USING (query_id)) + (SELECT avg((pt.dist > pp.dist)::INT) FROM pt JOIN pp USING (query_id))) / 2, 6) AS nn_accuracy""",
-    "nn_identity": "SELECT 0.0::DOUBLE AS greatest, 1.0::DOUBLE AS close",
+    "nn_identity": f"WITH {PARTS_SQL}, nn AS MATERIALIZED {_near_sql('o', 'o')} SELECT max(dist) AS greatest, avg((dist < 0.1)::INT) AS close FROM nn",
+    "knn_self_top3": f"""WITH {PARTS_SQL} SELECT query_id, CAST(rank AS BIGINT) AS rank, cand_id, round(dist, 6) AS dist FROM (
+  SELECT q.rid AS query_id, c.rid AS cand_id, {QID_SQL} AS dist, row_number() OVER (PARTITION BY q.rid ORDER BY {QID_SQL}, c.rid) AS rank FROM h q, h c WHERE q.rid <> c.rid) WHERE rank <= 3""",
+    "nn_both_ways": f"""WITH {PARTS_SQL} SELECT 'holdout' AS direction, query_id, round(dist, 6) AS dist FROM {_near_sql('h', 'p')} UNION ALL
+      SELECT 'release', query_id, round(dist, 6) FROM {_near_sql('p', 'h')}""",
     "aia_nearest_1": f"{_aia_sql(1)} SELECT round(avg(abs(price - guess)), 6) AS match_error, round(avg((guess BETWEEN a1 AND b1)::INT), 6) AS guess_in_range FROM f",
     "aia_nearest_5": f"{_aia_sql(5)} SELECT round(avg(abs(price - guess)), 6) AS match_error, round(avg((guess BETWEEN a1 AND b1)::INT), 6) AS guess_in_range FROM f",
     "aia_range_overlap": f"{_aia_sql(5)} SELECT rid, round(guess, 6) AS guess, round(greatest(0, least(b1, b2) - greatest(a1, a2)) / greatest(b1 - a1, b2 - a2), 6) AS overlap FROM f",
