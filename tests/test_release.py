@@ -113,7 +113,7 @@ def test_classification_metric(spark):
 def test_count_estimate(spark):
     nodes = H.leaf_nodes(H.interval_hierarchy(spark, "age", 1, 100)).select(F.col("attribute").alias("column"), "node", "leaf")
     combos = spark.createDataFrame([("[1, 6[", 10)], "age string, n long")
-    asked = spark.createDataFrame([(0, "age", x) for x in ("1", "2", "50")] + [(1, "age", "99")], counts.FILTERS)
+    asked = spark.createDataFrame([(0, "age", x) for x in ("1", "2", "50")] + [(1, "age", "99")], "query_id long, column string, leaf string")
     got = {r["query_id"]: r["estimate"] for r in counts.estimate(combos, ["age"], asked, nodes).collect()}
     assert got == {0: 4.0, 1: 0.0}
     real = spark.createDataFrame([(0, 10.0), (1, 0.0)], "query_id long, estimate double")
@@ -122,9 +122,13 @@ def test_count_estimate(spark):
 
 
 def test_random_workload_is_seeded(spark):
-    domains = {"a": ["x", "y"], "b": ["1", "2", "3"]}
-    first, again = (sorted(map(tuple, counts.random_workload(spark, domains, 10).collect())) for _ in range(2))
-    assert first == again and {r[0] for r in first} == set(range(10))
+    leaves = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "1"), ("b", "2"), ("b", "3")], "column string, leaf string")
+    first, again = (sorted(map(tuple, counts.random_workload(leaves.repartition(k), 40).collect())) for k in (1, 3))
+    assert first == again and {r[0] for r in first} == set(range(40)) and len(first) == len(set(first))
+    per = {q: {r[1:] for r in first if r[0] == q} for q in range(40)}
+    assert {len({c for c, _ in v}) for v in per.values()} == {1, 2} and max(len(v) for v in per.values()) == 5
+    other = sorted(map(tuple, counts.random_workload(leaves, 40, seed=1).collect()))
+    assert other != first
 
 
 def test_privacy_ratios(spark):
@@ -165,7 +169,8 @@ def test_imputation(spark):
     got = {r["age"]: (r["smoking_status"], r["bmi"]) for r in prep.clean_patients(sick).collect()}
     assert got[5][0] == "never smoked" and got[44][0] == "smokes" and got[43][1] == 25.0
     assert prep.bucket_count(0.0, 0.0, 34.9) == 10
-    assert one(spark, prep.bucketize(F.lit(10.0), 0.0, 10.0, 5)) == 4
+    edge = lambda v: one(spark, prep.bucketize(F.lit(v), 0.0, 10.0, 5))
+    assert [edge(v) for v in (0.0, 1.999, 2.0, 10.0, 10.009, 10.01, -0.001, None)] == [0, 0, 1, 4, 4, None, None, None]
 
 
 def test_facility(spark):

@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.draws import seeded
+
 from .generalize import BROADCAST_LEAVES, small
 
-FILTERS = "query_id long, column string, leaf string"
+#: Queries of one workload.
+WORKLOAD = 2000
+
 
+def random_workload(leaves: DataFrame, n: int = WORKLOAD, seed: int = 69) -> DataFrame:
+    """``(query_id, column, leaf)``: ``n`` conjunctions of IN lists, each over 1 to all columns and 1 to all leaves of each.
 
-def random_workload(spark: SparkSession, domains: dict[str, Sequence[str]], n: int, seed: int = 69) -> DataFrame:
-    """``(query_id, column, leaf)``: conjunctions of IN lists over random columns with random leaves."""
-    rng = np.random.default_rng(seed)
-    names, rows = sorted(domains), []
-    for q in range(n):
-        for c in rng.choice(names, rng.integers(1, len(names) + 1), replace=False):
-            leaves = list(domains[str(c)])
-            rows += [(q, str(c), str(x)) for x in rng.choice(leaves, rng.integers(1, len(leaves) + 1), replace=False)]
-    return spark.createDataFrame(rows, FILTERS)
+    ``leaves`` has ``column, leaf``. Columns and leaves are chosen by the order
+    of seeded hashes, so another engine can repeat the workload. The result is
+    as large as workload times domains.
+    """
+    q = F.col("query_id")
+    asked = leaves.distinct().withColumn("query_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    column = seeded(F.concat_ws("|", q, "column"), seed)
+    drawn = asked.withColumn("c", column).withColumn("x", seeded(F.concat_ws("|", q, "column", "leaf"), seed))
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("c", "column"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "column").orderBy("x", "leaf"))
+    placed = drawn.withColumn("rank", rank).withColumn("nth", nth)
+    per = leaves.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("size"))
+    columns = per.agg(F.count(F.lit(1)).alias("columns"))  # one row
+    sized = placed.join(F.broadcast(per), "column").crossJoin(F.broadcast(columns))  # a row for each column
+    few = F.col("rank") <= F.pmod(seeded(q, "columns", seed), F.col("columns")) + 1
+    return sized.where(few & (F.col("nth") <= F.pmod(seeded(F.concat_ws("|", q, "column"), "leaves", seed), F.col("size")) + 1)).select("query_id", "column", "leaf")
 
 
 def _shares(filters: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,7 +54,7 @@ def estimate(combos: DataFrame, columns: Sequence[str], filters: DataFrame, node
     shares by equality; a query keeps a combination if all its columns hit.
     On original data every share is 0 or 1 and the estimate is the exact count.
     """
-    keyed = combos.withColumn("combo", F.xxhash64(*columns)).groupBy("combo", *columns).agg(F.sum("n").alias("n"))
+    keyed = combos.withColumn("combo", F.struct(*columns)).groupBy("combo", *columns).agg(F.sum("n").alias("n"))
     cells = keyed.select("combo", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("node")) for c in columns])).alias("cell"))
     shares = _shares(filters, nodes)
     asked = filters.groupBy("query_id").agg(F.count_distinct("column").alias("asked"))

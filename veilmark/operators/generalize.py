@@ -16,9 +16,10 @@ from .hierarchy import ROOT, Hierarchy, node_leaves
 BROADCAST_LEAVES = 200_000
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted no further)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, known: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows: as many as is ``known``, else counted no further."""
+    size = df.limit(rows + 1).count() if known is None else known
+    return F.broadcast(df) if size <= rows else df
 
 
 def generalize(df: DataFrame, hierarchies: Mapping[str, Hierarchy], vector: Mapping[str, int], suffix: str = "") -> DataFrame:
@@ -27,7 +28,7 @@ def generalize(df: DataFrame, hierarchies: Mapping[str, Hierarchy], vector: Mapp
     for a, level in vector.items():
         if level == 0 and not suffix:
             continue
-        look = small(hierarchies[a].frame.select(F.col("l0").alias("__leaf"), F.col(f"l{level}").alias("__node")), BROADCAST_LEAVES)
+        look = small(hierarchies[a].frame.select(F.col("l0").alias("__leaf"), F.col(f"l{level}").alias("__node")), BROADCAST_LEAVES, hierarchies[a].size)
         out = out.join(look, out[a].cast("string") == look["__leaf"], "left").withColumn(f"{a}{suffix}", F.col("__node")).drop("__leaf", "__node")
     return out
 
@@ -72,7 +73,7 @@ def lattice_classes(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid
     wide = combos
     for a in qid:
         h = hierarchies[a]
-        look = small(h.frame.select(F.col("l0").alias("__leaf"), F.array(*h.levels).alias(f"__up_{a}")), BROADCAST_LEAVES)
+        look = small(h.frame.select(F.col("l0").alias("__leaf"), F.array(*h.levels).alias(f"__up_{a}")), BROADCAST_LEAVES, h.size)
         wide = wide.join(look, wide[a].cast("string") == look["__leaf"]).drop("__leaf")
     vectors = lattice(hierarchies, qid) if vectors is None else vectors
     choices = F.array(*[F.array(*[F.lit(v[a]) for a in qid]) for v in vectors])
@@ -101,15 +102,20 @@ def lattice_statistics(classes: DataFrame, k: int) -> DataFrame:
     return out.withColumn("discernibility", F.col("__squares") + F.col("n_suppressed") * F.col("n_rows")).drop("__squares")
 
 
-def information_loss(classes: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int) -> DataFrame:
-    """``(node, loss)``: mean over attributes and rows of (leaves - 1) / (domain - 1); suppressed rows lose all."""
-    out = classes
+def information_loss(classes: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int, balance: float = 0.5) -> DataFrame:
+    """``(node, loss)``: mean over attributes and rows of (leaves - 1) / (domain - 1); suppressed rows lose all.
+
+    ``balance`` weighs suppression against generalisation: below a half
+    suppression counts ``2 * balance``, above it generalisation counts
+    ``2 - 2 * balance``, and what is not reduced counts in full.
+    """
+    out, hidden, shown = classes, min(1.0, 2 * balance), min(1.0, 2 - 2 * balance)
     for a in qid:
         counts = node_leaves(hierarchies[a]).select(F.col("node").alias("__node"), F.col("n_leaves").alias(f"__n_{a}"))
-        domain = hierarchies[a].frame.select("l0").distinct().count()
-        out = out.join(small(counts, 2 * BROADCAST_LEAVES), out[a] == counts["__node"], "left").drop("__node")
+        domain = hierarchies[a].size
+        out = out.join(small(counts, 2 * BROADCAST_LEAVES, hierarchies[a].size * hierarchies[a].depth), out[a] == counts["__node"], "left").drop("__node")
         share = (F.col(f"__n_{a}") - 1) / F.lit(max(domain - 1, 1))
-        out = out.withColumn(f"__n_{a}", F.when(F.col("n") < k, 1.0).otherwise(share))
+        out = out.withColumn(f"__n_{a}", F.when(F.col("n") < k, hidden).otherwise(share * shown))
     whole = sum((F.col(f"__n_{a}") for a in qid), F.lit(0.0)) / len(qid)
     return out.groupBy("node").agg((F.sum(whole * F.col("n")) / F.sum("n")).alias("loss"))
 
@@ -132,12 +138,76 @@ def nonuniform_entropy(df: DataFrame, hierarchies: Mapping[str, Hierarchy], vect
     return parts
 
 
+def chosen_nodes(statistics: DataFrame) -> DataFrame:
+    """Nodes worth publishing: those with rows left, and the first of those that are wholly suppressed.
+
+    The order is that of the level vectors.
+    """
+    place = F.transform(F.split("node", "_"), lambda x: x.cast("int"))
+    gone = statistics.where("n_suppressed = n_rows").agg(F.min(F.struct(place.alias("place"), "node"))["node"].alias("__first"))  # one row
+    return statistics.crossJoin(F.broadcast(gone)).where((F.col("n_suppressed") < F.col("n_rows")) | (F.col("node") == F.col("__first"))).drop("__first")
+
+
+def level_columns(df: DataFrame, qid: Sequence[str], name: str = "node") -> DataFrame:
+    """``df`` with ``level_<attribute>`` parsed from a node's name (``1_0_2``), -1 where the name is none."""
+    parts = F.split(name, "_")
+    vector = F.col(name).rlike(r"^\d+(_\d+)*$") & (F.size(parts) == len(qid))
+    return df.select("*", *[F.when(vector, F.get(parts, F.lit(i)).cast("int")).otherwise(-1).alias(f"level_{a}") for i, a in enumerate(qid)])
+
+
+def attribute_levels(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], middles: Mapping[str, Column] | None = None) -> DataFrame:
+    """``(attribute, level, entropy, squared_error)`` of every level of every attribute, each from its value counts alone.
+
+    ``middles`` gives, for numeric attributes, the number that stands for
+    ``node``; the error is the mean squared distance from the value.
+    """
+    parts = None
+    for a in qid:
+        h = hierarchies[a]
+        counts = df.groupBy(F.col(a).cast("string").alias("l0")).agg(F.count(F.lit(1)).alias("c"))
+        levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"l{i}").alias("node")) for i in range(h.depth)])).alias("x")
+        each = counts.join(small(h.frame, BROADCAST_LEAVES, h.size), "l0").select("l0", "c", levels).select("l0", "c", "x.level", "x.node")
+        sizes = each.groupBy("level", "node").agg(F.sum("c").alias("t"))
+        error = F.lit(None).cast("double")
+        if middles and a in middles:
+            gap = F.col("l0").cast("double") - middles[a]
+            error = F.sum(F.col("c") * gap * gap) / F.sum("c")
+        one = each.join(sizes, ["level", "node"]).groupBy("level").agg(F.sum(-F.col("c") * F.log2(F.col("c") / F.col("t"))).alias("entropy"), error.alias("squared_error"))
+        one = one.select(F.lit(a).alias("attribute"), "level", "entropy", "squared_error")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def node_profile(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int, middles: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row a level vector with all statistics of a release, and its levels by attribute.
+
+    Class counts are exact; quality is by the published definitions: Sweeney's
+    precision, Iyengar's loss, discernibility, ambiguity, non-uniform entropy
+    (summed over attributes) and squared error of attributes (mean over the
+    numeric ones).
+    """
+    classes = lattice_classes(distinct_combinations(df, qid), hierarchies, qid).persist()
+    out = level_columns(lattice_statistics(classes, k), qid)
+    total = sum((F.col(f"level_{a}") for a in qid), F.lit(0))
+    climbed = sum((F.col(f"level_{a}") / (hierarchies[a].depth - 1) for a in qid), F.lit(0.0))
+    out = out.withColumn("k", F.lit(k)).withColumn("total_level", total).withColumn("precision", 1 - climbed / len(qid))
+    out = out.join(information_loss(classes, hierarchies, qid, k), "node").join(ambiguity(classes, hierarchies, qid), "node")
+    levels = attribute_levels(df, hierarchies, qid, middles).persist()
+    for a in qid:
+        look = levels.where(F.col("attribute") == a).select(F.col("level").alias(f"level_{a}"), F.col("entropy").alias(f"__e_{a}"), F.col("squared_error").alias(f"__q_{a}"))
+        out = out.join(F.broadcast(look), f"level_{a}")  # a row for each level
+    errors = F.array_compact(F.array(*[F.col(f"__q_{a}") for a in qid]))
+    mean = F.aggregate(errors, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(errors), F.lit(0))
+    out = out.withColumn("entropy", sum((F.col(f"__e_{a}") for a in qid), F.lit(0.0))).withColumn("squared_error", mean)
+    return out.drop(*[f"__e_{a}" for a in qid], *[f"__q_{a}" for a in qid])
+
+
 def ambiguity(classes: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str]) -> DataFrame:
     """``(node, ambiguity)``: mean over rows of the number of leaf combinations that the class stands for."""
     out = classes
     for a in qid:
         counts = node_leaves(hierarchies[a]).select(F.col("node").alias("__node"), F.col("n_leaves").alias(f"__n_{a}"))
-        out = out.join(small(counts, 2 * BROADCAST_LEAVES), out[a] == counts["__node"], "left").drop("__node")
+        out = out.join(small(counts, 2 * BROADCAST_LEAVES, hierarchies[a].size * hierarchies[a].depth), out[a] == counts["__node"], "left").drop("__node")
     cells = F.lit(1.0)
     for a in qid:
         cells = cells * F.col(f"__n_{a}")
@@ -158,7 +228,7 @@ def sample_to_original(df: DataFrame, hierarchies: Mapping[str, Hierarchy], colu
     """
     out = df
     for a in columns:
-        leaves = small(node_leaves(hierarchies[a]).select(F.col("node").alias("__node"), F.col("leaves").alias("__leaves")), 2 * BROADCAST_LEAVES)
+        leaves = small(node_leaves(hierarchies[a]).select(F.col("node").alias("__node"), F.col("leaves").alias("__leaves")), 2 * BROADCAST_LEAVES, hierarchies[a].size * hierarchies[a].depth)
         draw = seeded(F.col(row_id), a, seed)
         out = out.join(leaves, out[a] == leaves["__node"], "left")
         out = out.withColumn(a, F.when(F.col("__leaves").isNotNull(), F.element_at("__leaves", (F.pmod(draw, F.size("__leaves")) + 1).cast("int")))).drop("__node", "__leaves")

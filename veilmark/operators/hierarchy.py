@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ class Hierarchy:
     frame: DataFrame
     depth: int
 
+    @cached_property
+    def size(self) -> int:
+        """Number of leaves, counted once."""
+        return self.frame.select("l0").distinct().count()
+
     @property
     def levels(self) -> list[str]:
         return [f"l{i}" for i in range(self.depth)]

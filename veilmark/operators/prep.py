@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.draws import fraction, seeded
 
+from .ranks import values_at
+
 
 def tens(value: Column) -> Column:
     """Rounded to tens, halves to the even ten."""
@@ -45,6 +47,24 @@ def split_holdout(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) ->
     return df.where(inside), df.where(~F.coalesce(inside, F.lit(False)))
 
 
+def split_exact(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Train of exactly ``round(share * rows)`` rows and its complement, by the order of a seeded hash; ``key`` is unique.
+
+    The hash at the cut comes from counts by range, so no task sorts all rows.
+    """
+    place = seeded(F.col(key), seed)
+    size = round(share * df.count())
+    if not size:
+        return df.limit(0), df
+    counts = df.groupBy(place.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).persist()
+    cut = int(values_at(counts, [size - 1])[size - 1])
+    below = counts.where(F.col("value") < cut).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows of one 32-bit hash
+    ties = [r[0] for r in df.where(place == cut).select(key).orderBy(key).limit(size - below).collect()]
+    inside = (place < cut) | F.col(key).isin(ties)
+    return df.where(inside), df.where(~inside)
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows drawn by the order of a seeded hash; Spark keeps ``n`` rows a task."""
     return df.orderBy(seeded(F.col(key), seed), key).limit(n)
@@ -56,9 +76,12 @@ def bucket_count(std: float, lo: float, hi: float) -> int:
 
 
 def bucketize(value: Column, lo: float, hi: float, n: int) -> Column:
-    """Index from 0 of the equal-width bucket, closed on the left; the ends also take what lies beyond."""
+    """Index from 0 of the equal-width bucket, closed on the left; the last edge lies 0.1 % of the range farther out.
+
+    The edges belong to the original table and are used for releases too; what lies beyond them has no bucket (null).
+    """
     at = F.floor((value - lo) / F.lit((hi - lo) / n)).cast("long")
-    return F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+    return F.when((value >= lo) & (value < hi + 0.001 * (hi - lo)), F.least(at, F.lit(n - 1)))
 
 
 def integral_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,15 +93,22 @@ def sample_std(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.stddev_samp(c).alias(c) for c in columns])
 
 
-def entropy_weights(df: DataFrame, column: str) -> DataFrame:
-    """``(entropy, weight)``: entropy in nats of the value distribution, and its inverse."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
-    share = F.col("__c") / F.sum("__c").over(Window.partitionBy())  # one row a value
-    p = counts.select(share.alias("p"))
+def entropy_weights(df: DataFrame, column: str, numeric: bool = False) -> DataFrame:
+    """``(entropy, weight)``: entropy in nats of the value distribution, and its inverse. Numbers are rounded first, halves to even."""
+    value = F.bround(F.col(column), 0) if numeric else F.col(column)
+    counts = df.groupBy(value.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    whole = counts.agg(F.sum("__c").alias("__n"))  # one row
+    p = counts.crossJoin(F.broadcast(whole)).select((F.col("__c") / F.col("__n")).alias("p"))
     h = F.sum(-F.col("p") * F.ln(F.col("p") + 1e-16))
     return p.agg(h.alias("entropy")).withColumn("weight", 1 / F.col("entropy"))
 
 
+def cast_integral(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns that hold whole numbers only become ``long``; the others stay."""
+    found = integral_columns(df, columns).first()
+    return df.select(*[F.col(c).cast("long").alias(c) if c in columns and found[c] else F.col(c) for c in df.columns])
+
+
 def clean_patients(df: DataFrame) -> DataFrame:
     """Fill smoking status and body-mass index of ``age, gender, smoking_status, bmi`` rows.
 

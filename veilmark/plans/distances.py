@@ -218,8 +218,8 @@ def aia_category(spark: SparkSession, d: str) -> DataFrame:
 
 def entropy_weights(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    both = [prep.entropy_weights(df, c).select(F.lit(c).alias("attribute"), _r("entropy", 6).alias("entropy"), _r("weight", 6).alias("weight")) for c in ("brand", "type")]
-    return both[0].unionByName(both[1])
+    each = [prep.entropy_weights(df, c, c == "price").select(F.lit(c).alias("attribute"), _r("entropy", 6).alias("entropy"), _r("weight", 6).alias("weight")) for c in ("brand", "type", "price")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def numeric_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -313,7 +313,8 @@ SQL = {
       g AS (SELECT query_id, max(p.brand) AS guess FROM near JOIN p ON p.rid = cand_id GROUP BY 1), grp AS (SELECT DISTINCT brand, grp FROM parts), n AS (SELECT grp, count(*) AS c FROM grp GROUP BY 1)
       SELECT round(avg((h.brand = guess)::INT), 6) AS match_error, round(avg(CASE WHEN h.grp = gg.grp THEN 1 / n.c ELSE 0 END), 6) AS guess_in_range
       FROM h JOIN g ON rid = query_id JOIN grp gg ON gg.brand = guess JOIN n ON n.grp = h.grp""",
-    "entropy_weights": f"""WITH {PARTS_SQL}, v AS (SELECT 'brand' AS attribute, brand AS x, count(*) AS c FROM parts GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM parts GROUP BY 2),
+    "entropy_weights": f"""WITH {PARTS_SQL}, v AS (SELECT 'brand' AS attribute, brand AS x, count(*) AS c FROM parts GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM parts GROUP BY 2
+      UNION ALL SELECT 'price', CAST(round_even(price, 0) AS VARCHAR), count(*) FROM parts GROUP BY 2),
       s AS (SELECT attribute, c / sum(c) OVER (PARTITION BY attribute) AS p FROM v)
       SELECT attribute, round(-sum(p * ln(p + 1e-16)), 6) AS entropy, round(1 / -sum(p * ln(p + 1e-16)), 6) AS weight FROM s GROUP BY 1""",
     "numeric_domains": f"WITH {PARTS_SQL} SELECT min(size) AS size_lo, max(size) AS size_hi, min(price) AS price_lo, max(price) AS price_hi, round(stddev_samp(price), 6) AS price_std FROM parts",

@@ -137,8 +137,25 @@ def lattice_optimum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lattice_selected(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes worth publishing: not wholly suppressed."""
-    return lattice_sweep(spark, d).where("n_suppressed < n_rows").select("node", "n_suppressed")
+    """Nodes worth publishing: not wholly suppressed, and the first that is."""
+    return G.chosen_nodes(lattice_sweep(spark, d)).select("node", "n_suppressed")
+
+
+def lattice_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The full row of statistics of every node, with its levels."""
+    p = G.node_profile(people(spark, d), people_hierarchies(spark, d), QID, K, {"band": midpoint(F.col("node"), 1, 100)})
+    exact = ["node", "k", "n_rows", "n_suppressed", "n_classes", "min_class", "max_class", "discernibility", "total_level", *[f"level_{a}" for a in QID]]
+    return p.select(*exact, *[_r(c, 4).alias(c) for c in ("avg_class", "precision", "loss", "ambiguity", "entropy", "squared_error")])
+
+
+def granularity_loss_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """Suppression counts half, as with a balance of a quarter."""
+    return G.information_loss(_classes(spark, d), people_hierarchies(spark, d), QID, K, 0.25).select("node", _r("loss").alias("loss"))
+
+
+def split_exact(spark: SparkSession, d: str) -> DataFrame:
+    train, held = prep.split_exact(table(spark, d, "customer"), "c_custkey", 0.8, 1)
+    return train.select("c_custkey", F.lit("train").alias("part")).unionByName(held.select("c_custkey", F.lit("holdout").alias("part")))
 
 
 def class_size_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +210,7 @@ QUERIES = {
     for f in (
         hierarchy_interval, hierarchy_redaction, hierarchy_order, hierarchy_leaf_counts, hierarchy_parents, parse_generalized_range, range_midpoint,
         impute_mode_by_group, impute_mean_by_group, crosstab_normalized, round_to_tens, split_holdout, sample_rows, integral_columns, sample_to_original_domain,
-        generalize_vector, k_anonymity_suppress, k_anonymity_stats, lattice_sweep, granularity_loss, lattice_optimum, lattice_selected, class_size_histogram,
+        generalize_vector, k_anonymity_suppress, k_anonymity_stats, lattice_sweep, granularity_loss, lattice_optimum, lattice_selected, lattice_profile, granularity_loss_balanced, split_exact, class_size_histogram,
         discernibility, precision, nonuniform_entropy, ambiguity, record_squared_error, classification_metric, generalize_holdout, drop_suppressed,
     )
 }
@@ -267,7 +284,20 @@ SQL = {
     "lattice_sweep": f"WITH {LATTICE_SQL} {_STATS} GROUP BY node",
     "granularity_loss": f"WITH {LATTICE_SQL}, {_SIZES} {_LOSS}",
     "lattice_optimum": f"WITH {LATTICE_SQL}, {_SIZES} SELECT * FROM ({_LOSS}) ORDER BY loss, node LIMIT 1",
-    "lattice_selected": f"WITH {LATTICE_SQL} SELECT node, n_suppressed FROM ({_STATS} GROUP BY node) WHERE n_suppressed < n_rows",
+    "lattice_selected": f"WITH {LATTICE_SQL}, st AS ({_STATS} GROUP BY node) SELECT node, n_suppressed FROM st WHERE n_suppressed < n_rows OR node = (SELECT min(node) FROM st WHERE n_suppressed = n_rows)",
+    "lattice_profile": f"""WITH {LATTICE_SQL}, {_SIZES}, st AS ({_STATS} GROUP BY node), lo AS ({_LOSS}), am AS (SELECT node, sum(n * cn * cs * cb) / sum(n) AS ambiguity FROM sized GROUP BY 1),
+      bl AS (SELECT k, band, c[k + 1] AS node, count(*) AS n FROM (SELECT people.band, c FROM people JOIN wide USING (rid)), range(6) s(k) GROUP BY 1, 2, 3),
+      ex AS (SELECT k, n, band, sum(n) OVER (PARTITION BY k, node) AS t,
+        CASE WHEN node = '*' THEN 50.5 WHEN node LIKE '[%' THEN (CAST(regexp_extract(node, '^.([0-9]+), ([0-9]+)', 1) AS DOUBLE) + CAST(regexp_extract(node, '^.([0-9]+), ([0-9]+)', 2) AS DOUBLE) - 1) / 2 ELSE CAST(node AS DOUBLE) END AS mid FROM bl),
+      eb AS (SELECT k, sum(-n * log2(n / t)) AS e, sum(n * pow(band - mid, 2)) / sum(n) AS q FROM ex GROUP BY 1),
+      nl AS (SELECT i, a[1] AS leaf, a[i + 1] AS node, count(*) AS n FROM wide, range(3) s(i) GROUP BY 1, 2, 3), en AS (SELECT i, sum(-n * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY i, node) AS t FROM nl) GROUP BY 1),
+      sl AS (SELECT j, b[1] AS leaf, b[j + 1] AS node, count(*) AS n FROM wide, range(2) s(j) GROUP BY 1, 2, 3), es AS (SELECT j, sum(-n * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY j, node) AS t FROM sl) GROUP BY 1),
+      ids AS (SELECT DISTINCT node, i, j, k FROM classes)
+      SELECT node, {K} AS k, n_rows, n_suppressed, n_classes, min_class, max_class, discernibility, CAST(i + j + k AS INT) AS total_level, CAST(i AS INT) AS level_nation, CAST(j AS INT) AS level_segment, CAST(k AS INT) AS level_band,
+        round(avg_class, 4) AS avg_class, round(1 - (i / 2 + j / 1 + k / 5) / 3, 4) AS precision, round(loss, 4) AS loss, round(ambiguity, 4) AS ambiguity, round(en.e + es.e + eb.e, 4) AS entropy, round(eb.q, 4) AS squared_error
+      FROM st JOIN lo USING (node) JOIN am USING (node) JOIN ids USING (node) JOIN en USING (i) JOIN es USING (j) JOIN eb USING (k)""",
+    "granularity_loss_balanced": f"WITH {LATTICE_SQL}, {_SIZES} {_LOSS.replace('THEN 1 ELSE', 'THEN 0.5 ELSE')}",
+    "split_exact": """SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY CAST('0x' || substr(md5(c_custkey || '|1'), 1, 8) AS BIGINT), c_custkey) <= round_even(0.8 * (SELECT count(*) FROM customer), 0) THEN 'train' ELSE 'holdout' END AS part FROM customer""",
     "class_size_histogram": f"WITH {LATTICE_SQL} SELECT n AS size, count(*) AS classes FROM classes WHERE node = '1_0_2' GROUP BY 1",
     "discernibility": f"WITH {LATTICE_SQL} SELECT node, discernibility FROM ({_STATS} GROUP BY node)",
     "precision": "SELECT i || '_' || j || '_' || k AS node, round(1 - (i / 2 + j / 1 + k / 5) / 3, 6) AS precision FROM range(3) a(i), range(2) b(j), range(6) c(k)",

@@ -51,6 +51,13 @@ def count_queries_estimated(spark: SparkSession, d: str) -> DataFrame:
     return Q.estimate(G.distinct_combinations(g, QID), QID, _workload(spark, d), _nodes(spark, d)).select("query_id", _r("estimate", 6).alias("estimate"))
 
 
+def count_queries_random(spark: SparkSession, d: str) -> DataFrame:
+    """The seeded workload of 2000 queries, counted on the original."""
+    combos = G.distinct_combinations(people(spark, d).withColumn("band", F.col("band").cast("string")), QID)
+    nodes = _nodes(spark, d).where("node = leaf")
+    return Q.estimate(combos, QID, Q.random_workload(nodes.select("column", "leaf")), nodes).select("query_id", _r("estimate", 6).alias("estimate"))
+
+
 def query_relative_error(spark: SparkSession, d: str) -> DataFrame:
     return Q.relative_error(count_queries_exact(spark, d), count_queries_estimated(spark, d)).select(_r("relative_error", 4).alias("relative_error"))
 
@@ -62,7 +69,7 @@ def count_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 def bucketize(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.groupBy(prep.bucketize(F.col("o_totalprice"), 0.0, 500000.0, 40).alias("bucket")).agg(F.count("*").alias("n"))
+    return o.groupBy(prep.bucketize(F.col("o_totalprice"), 10000.0, 300000.0, 40).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def patient_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +221,7 @@ def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        count_queries_exact, count_queries_estimated, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy,
+        count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy,
         regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_dependency_tree,
         gmm_log_likelihood, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
     )
@@ -239,7 +246,7 @@ guess AS (SELECT i.query_id, coalesce(sum(n * s.p * t.p * CASE WHEN i.query_id %
 _WEIGHT = """w AS (SELECT c_custkey AS rid, c_nationkey AS zone, round(100 * (0.05 * (k % 2) + 0.15 * (k % 82) / 81 + 0.2 * CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + 0.15 * (k % 200 + 5) / 226.59
   + 0.15 * (k % 30 + 4.7) / 87.3 + 0.1 * (k % 3) / 2 + 0.2 * (k % 200000) / 242857), 6) AS weight FROM (SELECT *, CAST(c_custkey AS DOUBLE) AS kd, c_custkey AS k FROM customer))"""
 _GEO = """zones AS (SELECT n_nationkey AS zone, CAST(n_nationkey * 3 % 50 + 20 AS DOUBLE) AS lat, CAST(n_nationkey * 7 % 100 - 120 AS DOUBLE) AS lon FROM nation),
-sites AS (SELECT s_suppkey AS site, CAST(s_suppkey * 11 % 50 + 20 AS DOUBLE) AS slat, CAST(s_suppkey * 13 % 100 - 120 AS DOUBLE) AS slon FROM supplier WHERE s_suppkey < 40),
+sites AS (SELECT s_suppkey AS site, CAST(s_suppkey * 11 % 50 + 20 AS DOUBLE) AS slat, CAST(s_suppkey * 13 % 100 - 120 AS DOUBLE) AS slon FROM supplier),
 km AS (SELECT zone, site, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(slat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(slat)) * pow(sin(radians(slon - lon) / 2), 2)))) AS km FROM zones, sites)"""
 _PRED = f"""{PARTS_SQL}, x AS (SELECT rid, price AS truth, price + rid % 11 - 5 AS guess, size % 3 AS t, (size + CASE WHEN rid % 5 = 0 THEN 1 ELSE 0 END) % 3 AS g FROM parts)"""
 _RESULTS = """res AS (SELECT ['train', 'synth_a', 'synth_b', 'anon_k5'][p_partkey % 4 + 1] AS release, ['close', 'aia', 'median'][p_size % 3 + 1] AS metric, round(avg(p_retailprice), 6) AS value FROM part GROUP BY 1, 2)"""
@@ -248,9 +255,19 @@ _U = "CAST('0x' || substr(md5(rid || '|{c}|5'), 1, 8) AS BIGINT)"
 SQL = {
     "count_queries_exact": f"WITH {_LEAVES} SELECT query_id, estimate FROM exact",
     "count_queries_estimated": f"WITH {_LEAVES} SELECT query_id, round(estimate, 6) AS estimate FROM guess",
+    "count_queries_random": f"""WITH {_LEAVES.split("asked AS")[0]} per AS (SELECT col, count(*) AS size FROM leaves GROUP BY 1), drawn AS (SELECT q, col, leaf,
+        dense_rank() OVER (PARTITION BY q ORDER BY CAST('0x' || substr(md5(q || '|' || col || '|69'), 1, 8) AS BIGINT), col) AS rank,
+        row_number() OVER (PARTITION BY q, col ORDER BY CAST('0x' || substr(md5(q || '|' || col || '|' || leaf || '|69'), 1, 8) AS BIGINT), leaf) AS nth FROM leaves, range(2000) t(q)),
+      asked AS (SELECT q, col, leaf FROM drawn JOIN per USING (col) WHERE rank <= CAST('0x' || substr(md5(q || '|columns|69'), 1, 8) AS BIGINT) % 3 + 1
+        AND nth <= CAST('0x' || substr(md5(q || '|' || col || '|leaves|69'), 1, 8) AS BIGINT) % size + 1),
+      many AS (SELECT q, count(DISTINCT col) AS m FROM asked GROUP BY 1),
+      combos AS (SELECT nation, segment, CAST(band AS VARCHAR) AS band, count(*) AS n, row_number() OVER () AS combo FROM people GROUP BY 1, 2, 3),
+      cells AS (SELECT combo, n, 'nation' AS col, nation AS leaf FROM combos UNION ALL SELECT combo, n, 'segment', segment FROM combos UNION ALL SELECT combo, n, 'band', band FROM combos),
+      hits AS (SELECT q, combo, any_value(n) AS n, count(*) AS h FROM cells JOIN asked USING (col, leaf) GROUP BY 1, 2)
+      SELECT many.q AS query_id, CAST(coalesce(sum(n), 0) AS DOUBLE) AS estimate FROM many LEFT JOIN hits ON hits.q = many.q AND h = m GROUP BY 1""",
     "query_relative_error": f"WITH {_LEAVES} SELECT round(avg(abs(e.estimate - g.estimate) / e.estimate) FILTER (e.estimate <> 0), 4) AS relative_error FROM exact e JOIN guess g USING (query_id)",
     "count_predicates": "SELECT i AS query_id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 * i) AS count FROM range(120) t(i)",
-    "bucketize": "SELECT CAST(least(greatest(floor(o_totalprice / 12500.0), 0), 39) AS BIGINT) AS bucket, count(*) AS n FROM orders GROUP BY 1",
+    "bucketize": "SELECT CASE WHEN o_totalprice >= 10000 AND o_totalprice < 300290 THEN CAST(least(floor((o_totalprice - 10000) / 7250.0), 39) AS BIGINT) END AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "patient_weight": f"WITH {_WEIGHT} SELECT rid, zone, weight FROM w",
     "haversine_matrix": f"WITH {_GEO} SELECT zone, site, round(km, 6) AS km FROM km",
     "haversine_pair": f"WITH {_GEO} SELECT zone, round(2 * 6371.0088 * asin(sqrt(pow(sin(-radians(lat) / 2), 2) + cos(radians(lat)) * pow(sin(radians(-lon) / 2), 2))), 6) AS km FROM zones",
@@ -270,5 +287,5 @@ SQL = {
     "relative_cost": f"WITH {_RESULTS} SELECT 'parts' AS dataset, release, round(value / (SELECT value FROM res WHERE release = 'train' AND metric = 'close'), 6) AS ratio FROM res WHERE metric = 'close'",
     "synth_marginal": f"""WITH {PARTS_SQL}, bc AS (SELECT brand, ceil(sum(count(*)) OVER (ORDER BY brand) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1),
       tc AS (SELECT type, ceil(sum(count(*)) OVER (ORDER BY type) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1)
-      SELECT rid, (SELECT min(brand) FROM bc WHERE e = (SELECT min(e) FROM bc WHERE e > {_U.format(c="brand")})) AS brand, (SELECT min(type) FROM tc WHERE e = (SELECT min(e) FROM tc WHERE e > {_U.format(c="type")})) AS type FROM range(1000) t(rid)""",
+      SELECT rid, (SELECT min(brand) FROM bc WHERE e = (SELECT min(e) FROM bc WHERE e > {_U.format(c="brand")})) AS brand, (SELECT min(type) FROM tc WHERE e = (SELECT min(e) FROM tc WHERE e > {_U.format(c="type")})) AS type FROM (SELECT unnest(range((SELECT count(*) FROM parts))) AS rid)""",
 }

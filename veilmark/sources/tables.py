@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RESULT_SCHEMA = "dataset string, release string, scope string, target string, metric string, attribute string, value double"
+#: Names of files and folders below a release folder that hold something else.
+NO_RELEASES = ("settings", "configs", "hierarchies", "hierarchy", "arx_stats", "stats")
 KEYS = ("dataset", "release", "scope", "target", "metric", "attribute")
 
 
@@ -14,15 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_microdata(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV with a header as strings, since a generalised number is no number; stars of any length become ``*``."""
+def read_microdata(spark: SparkSession, path: str, columns: list[str], index: str | None = None) -> DataFrame:
+    """CSV with a header as strings, since a generalised number is no number; stars of any length become ``*``.
+
+    ``index`` names the one of ``columns`` that numbers the rows; it becomes ``rid``.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
-    return df.select(*[F.when(F.col(c).rlike(r"^\*+$"), "*").otherwise(F.col(c)).alias(c) for c in columns])
+    starred = lambda c: F.when(F.col(c).rlike(r"^\*+$"), "*").otherwise(F.col(c)).alias(c)
+    return df.select(*[F.col(c).cast("long").alias("rid") if c == index else starred(c) for c in columns])
 
 
-def read_typed(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=ddl, enforceSchema=False)
+def read_typed(spark: SparkSession, path: str, ddl: str, encoding: str = "UTF-8", cleanse: bool = True) -> DataFrame:
+    """CSV with a header and given types. Rows that do not fit the types are left out, or fail the read without ``cleanse``."""
+    return spark.read.csv(path, header=True, schema=ddl, enforceSchema=False, encoding=encoding, mode="DROPMALFORMED" if cleanse else "FAILFAST")
 
 
 def read_hierarchy(spark: SparkSession, path: str, levels: int) -> DataFrame:
@@ -38,12 +45,44 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("privacy-models").alias("privacy_models"), items("qid").alias("qid"), items("sa").alias("sa"))
 
 
-def read_releases(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """All release tables below a folder but settings and configs, with their path and level vector."""
+def read_releases(spark: SparkSession, root: str, columns: list[str], leave_out: tuple[str, ...] = NO_RELEASES) -> DataFrame:
+    """All release tables below a folder, with their ``path``, ``name`` and ``levels``.
+
+    ``levels`` is the level vector of a name like ``1_0_2`` and null for other
+    names. Files and folders called as in ``leave_out`` are no releases.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root, header=True, schema=schema)
     named = df.withColumn("path", F.col("_metadata.file_path")).withColumn("name", F.regexp_extract("path", r"([^/]+)\.csv$", 1))
-    return named.where(~F.col("name").isin("settings", "configs"))
+    other = F.exists(F.split(F.regexp_replace("path", r"\.csv$", ""), "/"), lambda x: F.lower(x).isin(*leave_out))
+    levels = F.when(F.col("name").rlike(r"^\d+(_\d+)*$"), F.split("name", "_").cast("array<int>"))
+    return named.where(~other).withColumn("levels", levels)
+
+
+def write_settings(spark: SparkSession, settings: list[tuple[str, list[str], list[str]]], path: str) -> None:
+    """Privacy models, quasi-identifiers and sensitive attributes, as :func:`read_settings` reads them."""
+    listed = lambda x: "[" + ", ".join(x) + "]"
+    rows = [(m, listed(q), listed(s)) for m, q, s in settings]
+    spark.createDataFrame(rows, "`privacy-models` string, qid string, sa string").coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True)
+
+
+def write_configs(spark: SparkSession, configs: list[dict], path: str) -> None:
+    """One row a configuration, numbered in order; values of one name have one type."""
+    spark.createDataFrame([{"config": i, **c} for i, c in enumerate(configs)]).coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True)
+
+
+def write_statistics(df: DataFrame, path: str) -> None:
+    """Statistics of nodes as ``;``-separated text with a header."""
+    df.write.mode("overwrite").csv(path, sep=";", header=True)
+
+
+def read_statistics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Statistics of several data sets below each other, with their ``dataset``; a column that one lacks is null there."""
+    out = None
+    for name, path in paths.items():
+        one = spark.read.csv(path, sep=";", header=True, inferSchema=True).withColumn("dataset", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def write_release(df: DataFrame, path: str) -> None:
@@ -63,6 +102,32 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset").json(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Long results as :func:`write_results` wrote them, in any earlier session."""
+    return spark.read.schema(RESULT_SCHEMA).json(path).select(*KEYS, "value")
+
+
+def read_result_trees(spark: SparkSession, path: str) -> DataFrame:
+    """``(release, task, metric, value)`` from JSON files of nested objects ``{release: {task: {metric: number}}}``.
+
+    The tree is read as maps, so that names need not be known; files are read
+    whole, one row each.
+    """
+    tree = F.from_json("value", "map<string, map<string, map<string, double>>>")
+    release = spark.read.text(path, wholetext=True).select(F.explode(tree).alias("release", "tasks"))
+    task = release.select("release", F.explode("tasks").alias("task", "metrics"))
+    return task.select("release", "task", F.explode("metrics").alias("metric", "value"))
+
+
+def split_metric(df: DataFrame, name: str = "metric") -> DataFrame:
+    """``df`` with ``base``, ``target`` and ``scope`` of names like ``close_value_ratio_o_qid_0``: the last three tokens tell them apart."""
+    parts = F.split(F.col(name), "_")
+    long = F.size(parts) > 3
+    last = lambda k: F.when(long, F.get(parts, F.size(parts) - k))
+    base = F.when(long, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), "_")).otherwise(F.col(name))
+    return df.select("*", base.alias("base"), last(3).alias("target"), last(2).alias("scope"), last(1).alias("part"))
+
+
 def failed(status: DataFrame) -> DataFrame:
     """Releases whose measurement ended in an error, to be run again."""
     return status.where(F.col("error").isNotNull()).select("dataset", "release", "error")
