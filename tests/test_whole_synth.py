@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from veilmark.operators import synth
 from veilmark.plans import registry
 
 
@@ -14,3 +16,10 @@ def test_as_many_rows_as_the_original(spark, name):
     got = registry.QUERIES[name](spark, sf)
     assert n != 1000 and got.count() == got.select("rid").distinct().count() == n
     assert got.where("brand is null or type is null").count() == 0
+
+
+def test_hook_sees_the_drawn_table(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "s string, n int")
+    double = lambda t: t.withColumn("twice", F.col("n") * 2)
+    for out in (synth.marginals(spark, df, ["s", "n"], 20, post=double), synth.tree(spark, df, {"s": None, "n": "s"}, 20, post=double)):
+        assert out.count() == 20 and out.where("twice <> 2 * n").count() == 0

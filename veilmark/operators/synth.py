@@ -6,7 +6,7 @@ the same table. Deep generators are not part of this engine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,17 +26,23 @@ def _draw(choices: Column, u: Column) -> Column:
     return F.filter(choices, lambda x: x["end"] > u)[0]["value"]
 
 
-def marginals(spark: SparkSession, df: DataFrame, columns: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows whose columns follow the observed distributions, independently. Domains, not rows, are broadcast."""
+Hook = Callable[[DataFrame], DataFrame]
+
+
+def marginals(spark: SparkSession, df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
+    """``n`` rows whose columns follow the observed distributions, independently. Domains, not rows, are broadcast.
+
+    ``post`` is applied to the drawn table, such as to derive a column from others.
+    """
     out = spark.range(n).withColumnRenamed("id", "rid")
     for c in columns:
         one = _ranges(df, [], c).withColumnRenamed("choices", "__c")
         out = out.crossJoin(F.broadcast(one)).withColumn(c, _draw(F.col("__c"), seeded(F.col("rid"), c, seed))).drop("__c")
-    return out
+    return post(out) if post else out
 
 
-def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows drawn along a tree: each column given its parent's value. Parents come before children."""
+def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
+    """``n`` rows drawn along a tree: each column given its parent's value. Parents come before children; ``post`` as for :func:`marginals`."""
     out = spark.range(n).withColumnRenamed("id", "rid")
     for c, parent in parents.items():
         if parent is None:
@@ -46,7 +52,7 @@ def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n:
             look = _ranges(df, [parent], c).select(F.col(parent).alias("__p"), F.col("choices").alias("__c"))
             out = out.join(look, out[parent] == look["__p"], "left").drop("__p")
         out = out.withColumn(c, _draw(F.col("__c"), seeded(F.col("rid"), c, seed))).drop("__c")
-    return out
+    return post(out) if post else out
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> float:

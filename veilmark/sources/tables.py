@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 RESULT_SCHEMA = "dataset string, release string, scope string, target string, metric string, attribute string, value double"
 #: Names of files and folders below a release folder that hold something else.
-NO_RELEASES = ("settings", "configs", "hierarchies", "hierarchy", "arx_stats", "stats")
+NO_RELEASES = ("settings", "configs", "hierarchies", "hierarchy", "stats", "statistics")
 KEYS = ("dataset", "release", "scope", "target", "metric", "attribute")
 
 
