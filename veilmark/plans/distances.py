@@ -9,8 +9,11 @@ from veilmark.functions.ranges import interval_text, parse_range
 from veilmark.operators import distance as D
 from veilmark.operators import knn, prep
 from veilmark.operators import privacy as P
+from veilmark.operators.dispatch import Distances, domains
+from veilmark.operators.generalize import generalize
+from veilmark.operators.hierarchy import interval_hierarchy, order_hierarchy
 
-from .frames import PARTS_SQL, QID_SQL, SIZE_WIDTH, holdout, original, parts, release
+from .frames import PARTS, PARTS_SQL, QID_SQL, SIZE_WIDTH, holdout, original, parts, release
 
 _r = F.round
 
@@ -115,6 +118,22 @@ def record_distance(spark: SparkSession, d: str) -> DataFrame:
     return _summary(df, df, all_distance(_price_width(df)), ["size", "brand", "grp", "type", "price"])
 
 
+def distance_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Holdout against a release with sizes in fives and every third brand as its group; prices in whole tens.
+
+    All methods are chosen from the specification: ranges, edges, a matrix for types and plain numbers for prices.
+    """
+    df = parts(spark, d).withColumn("price", F.floor(F.col("price") / 10) * 10)
+    codes = P.value_codes(df, "type")
+    matrix = codes.toDF("a", "i").join(codes.toDF("b", "j"), F.col("i") < F.col("j")).select("a", "b", ((F.col("j") - F.col("i")) / 5).alias("d"))
+    hierarchies = {"size": interval_hierarchy(spark, "size", 1, 50), "brand": order_hierarchy(df, "brand", F.concat(F.lit("group "), F.floor(F.regexp_extract("brand", r"(\d+)$", 1).cast("int") / F.lit(10)).cast("string")))}
+    how = Distances(PARTS, domains(df, PARTS), hierarchies, {"type": matrix})
+    query, cand = holdout(df), generalize(original(df), {"size": hierarchies["size"]}, {"size": 1})
+    cand = cand.withColumn("brand", F.when(F.col("rid") % 3 == 0, F.col("grp")).otherwise(F.col("brand")))
+    distance = how.between(how.originals(query), how.originals(cand))
+    return _summary(how.attach(query), how.attach(cand), distance, list(PARTS.columns))
+
+
 QID = ["size", "brand", "grp", "type"]
 
 
@@ -234,7 +253,7 @@ def value_codes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, distance_matrix, attribute_kinds, record_distance,
+        distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, distance_matrix, distance_dispatch, attribute_kinds, record_distance,
         knn_top5_qid, knn_top5_all, knn_self_second, knn_self_top3, nn_both_ways, nn_distance_summary, close_value_ratio, similarity_ratio, nn_accuracy, nn_identity,
         aia_nearest_1, aia_nearest_5, aia_range_overlap, aia_category, entropy_weights, numeric_domains, value_codes,
     )
@@ -287,6 +306,13 @@ SQL = {
       SELECT 'brand', CASE WHEN count(DISTINCT brand) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL
       SELECT 'type', CASE WHEN count(DISTINCT type) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL SELECT 'grp', CASE WHEN count(DISTINCT grp) > 20 THEN 'other' ELSE 'category' END FROM parts""",
     "record_distance": _summary_sql(_ALL),
+    "distance_dispatch": f"""WITH {PARTS_SQL}, t AS (SELECT type, row_number() OVER (ORDER BY type) AS i FROM (SELECT DISTINCT type FROM parts)),
+      w AS (SELECT max(floor(price / 10) * 10) - min(floor(price / 10) * 10) AS width FROM parts),
+      hq AS (SELECT rid, size, brand, grp, i, floor(price / 10) * 10 AS price FROM h JOIN t USING (type)),
+      oc AS (SELECT (size - 1) // 5 AS five, CASE WHEN rid % 3 = 0 THEN grp ELSE brand END AS node, i, floor(price / 10) * 10 AS price FROM o JOIN t USING (type)),
+      x AS (SELECT rid, sqrt((pow(CASE WHEN (size - 1) // 5 = five THEN 24 / (15 * 49.0) ELSE 49 END, 2) + pow(CASE node WHEN brand THEN 0 WHEN grp THEN 0.25 ELSE 4 END, 2)
+        + pow(abs(hq.i - oc.i) / 5, 2) + pow(abs(hq.price - oc.price) / width, 2)) / 4) AS d FROM hq, oc, w)
+      SELECT rid, round(sum(d), 6) AS total, round(min(d), 6) AS least, round(max(d), 6) AS most FROM x GROUP BY 1""",
     "knn_top5_qid": f"WITH {PARTS_SQL} {_TOP.format(d=QID_SQL, q='h', c='o', k=5)}",
     "knn_top5_all": f"WITH {PARTS_SQL} {_TOP.format(d=f'round({_ALL}, 9)', q='h', c='p', k=5)}",
     "knn_self_second": f"WITH {PARTS_SQL} SELECT query_id, round(dist, 6) AS dist FROM {_near_sql('h', 'h', True)}",
