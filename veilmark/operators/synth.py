@@ -1,7 +1,11 @@
 """Synthetic tables: independent marginals, and a tree of conditional distributions.
 
 Draws are inverse-distribution look-ups with seeded hashes, so a rerun gives
-the same table. Deep generators are not part of this engine.
+the same table. The look-up is an equality join: [0, 2**32) is cut into slots,
+at least one for each value of a distribution; a value is entered in every slot
+that its share touches, and a draw meets the few values of its own slot. Draws
+are uniform, so no slot is hot, whatever the shares are; a frequent parent has
+more slots. Deep generators are not part of this engine.
 """
 
 from __future__ import annotations
@@ -13,45 +17,71 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.draws import SCALE, seeded
 
-def _ranges(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``(*keys, choices)``: values with the upper end of their share of [0, 2**32)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    upto = F.sum("__c").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = counts.withColumn("end", F.ceil(upto / F.sum("__c").over(w) * SCALE)).select(*keys, F.struct("end", F.col(column).alias("value")).alias("x"))
-    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("choices"))
+from .generalize import BROADCAST_LEAVES, small
 
+#: Slots shared out among the distributions of a column by their rows, beside one a value.
+SLOTS = 1024
+#: Ranges of values that running totals are made of, and values that their bounds are chosen from.
+CHUNKS, BOUND_SAMPLE = 64, 4096
 
-def _draw(choices: Column, u: Column) -> Column:
-    return F.filter(choices, lambda x: x["end"] > u)[0]["value"]
+Hook = Callable[[DataFrame], DataFrame]
 
 
-Hook = Callable[[DataFrame], DataFrame]
+def _chunk(counts: DataFrame) -> Column:
+    """Which range of values a row lies in. Any bounds give the same totals, so a sample of values will do."""
+    seen = sorted(r[0] for r in counts.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(BOUND_SAMPLE).collect())
+    bounds = sorted(set(seen[:: max(1, len(seen) // CHUNKS)]))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("value"))) if bounds else F.lit(0)
+
+
+def _shares(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``(*keys, value, lo, end, slots)``: each value's part of [0, 2**32), in order of values, and the slots of its distribution."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    counts = counts.withColumn("chunk", _chunk(counts))
+    chunks = counts.groupBy(*keys, "chunk").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("values"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    before = F.sum("sum").over(own.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")
+    slots = F.sum("values").over(own) + F.ceil(F.sum("sum").over(own) * SLOTS / total)
+    placed = chunks.select(*keys, "chunk", before.alias("before"), F.sum("sum").over(own).alias("all"), slots.alias("slots"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "chunk")]
+    both = counts.alias("c").join(placed.alias("p"), same).select(*[f"c.{k}" for k in (*keys, "value", "chunk", "n")], "before", "all", "slots")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = lambda n: F.ceil(n / F.col("all") * SCALE)
+    return both.select(*keys, "value", edge(upto - F.col("n")).alias("lo"), edge(upto).alias("end"), "slots")
+
+
+def _slot(u: Column) -> Column:
+    return F.shiftright(u * F.col("slots"), 32)
+
+
+def _drawn(out: DataFrame, df: DataFrame, column: str, parent: str | None, seed: int) -> DataFrame:
+    """``out`` with ``column`` drawn from its distribution in ``df``, given the value of ``parent``; null where there is none."""
+    shares = _shares(df, [parent] if parent else [], column).where("lo < end").persist()
+    keys = [F.lit(0) if parent is None else F.col(parent)]
+    touched = F.explode(F.sequence(_slot(F.col("lo")), _slot(F.col("end") - 1))).alias("slot")
+    look = small(shares.select(keys[0].alias("key"), F.col("value"), "lo", "end", touched), BROADCAST_LEAVES)
+    sizes = small(shares.select(keys[0].alias("key"), "slots").distinct(), BROADCAST_LEAVES)
+    drawn = out.select(F.struct(*out.columns).alias("row"), keys[0].alias("of"), seeded(F.col("rid"), column, seed).alias("u"))
+    drawn = drawn.join(sizes, drawn["of"] == sizes["key"], "left").drop("key").withColumn("at", _slot(F.col("u")))
+    found = drawn.join(look, (drawn["of"] == look["key"]) & (drawn["at"] == look["slot"]) & (drawn["u"] >= look["lo"]) & (drawn["u"] < look["end"]), "left")
+    return found.select("row.*", F.col("value").alias(column))
 
 
 def marginals(spark: SparkSession, df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
-    """``n`` rows whose columns follow the observed distributions, independently. Domains, not rows, are broadcast.
+    """``n`` rows whose columns follow the observed distributions, independently.
 
-    ``post`` is applied to the drawn table, such as to derive a column from others.
+    ``post`` is applied to the drawn table, such as to derive a column from
+    others. A column without values is null.
     """
-    out = spark.range(n).withColumnRenamed("id", "rid")
-    for c in columns:
-        one = _ranges(df, [], c).withColumnRenamed("choices", "__c")
-        out = out.crossJoin(F.broadcast(one)).withColumn(c, _draw(F.col("__c"), seeded(F.col("rid"), c, seed))).drop("__c")
-    return post(out) if post else out
+    return tree(spark, df, dict.fromkeys(columns), n, seed, post)
 
 
 def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
     """``n`` rows drawn along a tree: each column given its parent's value. Parents come before children; ``post`` as for :func:`marginals`."""
     out = spark.range(n).withColumnRenamed("id", "rid")
     for c, parent in parents.items():
-        if parent is None:
-            look = _ranges(df, [], c).withColumnRenamed("choices", "__c")
-            out = out.crossJoin(F.broadcast(look))
-        else:
-            look = _ranges(df, [parent], c).select(F.col(parent).alias("__p"), F.col("choices").alias("__c"))
-            out = out.join(look, out[parent] == look["__p"], "left").drop("__p")
-        out = out.withColumn(c, _draw(F.col("__c"), seeded(F.col("rid"), c, seed))).drop("__c")
+        out = _drawn(out, df, c, parent, seed)
     return post(out) if post else out
 
 

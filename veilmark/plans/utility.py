@@ -315,4 +315,17 @@ SQL = {
     "synth_marginal": f"""WITH {PARTS_SQL}, bc AS (SELECT brand, ceil(sum(count(*)) OVER (ORDER BY brand) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1),
       tc AS (SELECT type, ceil(sum(count(*)) OVER (ORDER BY type) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1)
       SELECT rid, (SELECT min(brand) FROM bc WHERE e = (SELECT min(e) FROM bc WHERE e > {_U.format(c="brand")})) AS brand, (SELECT min(type) FROM tc WHERE e = (SELECT min(e) FROM tc WHERE e > {_U.format(c="type")})) AS type FROM (SELECT unnest(range((SELECT count(*) FROM parts))) AS rid)""",
+    "synth_tree": f"""WITH {PARTS_SQL}, tc AS (SELECT type, ceil(sum(count(*)) OVER (ORDER BY type) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1),
+      bc AS (SELECT type, brand, ceil(sum(count(*)) OVER (PARTITION BY type ORDER BY brand) / sum(count(*)) OVER (PARTITION BY type) * 4294967296) AS e FROM parts GROUP BY 1, 2),
+      ids AS (SELECT unnest(range((SELECT count(*) FROM parts))) AS rid), u AS (SELECT rid, {_U.format(c="type")} AS ut, {_U.format(c="brand")} AS ub FROM ids),
+      t AS (SELECT rid, ub, arg_min(type, e) AS type FROM u JOIN tc ON e > ut GROUP BY 1, 2)
+      SELECT rid, t.type, arg_min(brand, e) AS brand FROM t JOIN bc ON bc.type = t.type AND e > ub GROUP BY 1, 2""",
+    "synth_dependency_tree": f"""WITH {PEOPLE_SQL},
+      j AS (SELECT 'region' AS a, 'nation' AS b, region AS x, nation AS y FROM people UNION ALL SELECT 'region', 'segment', region, segment FROM people UNION ALL SELECT 'nation', 'segment', nation, segment FROM people),
+      c AS (SELECT a, b, x, y, count(*) AS n FROM j GROUP BY 1, 2, 3, 4),
+      m AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a, b, x) AS nx, sum(n) OVER (PARTITION BY a, b, y) AS ny, sum(n) OVER (PARTITION BY a, b) AS t FROM c),
+      mi AS (SELECT a, b, sum(n / t * ln(n * t / (nx * ny))) AS v FROM m GROUP BY 1, 2),
+      f AS (SELECT arg_max(b, v) AS child FROM mi WHERE a = 'region'), l AS (SELECT CASE child WHEN 'nation' THEN 'segment' ELSE 'nation' END AS child FROM f),
+      p AS (SELECT arg_max(CASE WHEN a = child THEN b ELSE a END, v) AS parent FROM mi, l WHERE child IN (a, b))
+      SELECT 'region' AS child, '' AS parent UNION ALL SELECT child, 'region' FROM f UNION ALL SELECT child, parent FROM l, p""",
 }
