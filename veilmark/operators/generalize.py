@@ -67,19 +67,24 @@ def parameter_grid(**values: Sequence) -> list[dict]:
 def lattice_classes(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], vectors: Sequence[Mapping[str, int]] | None = None) -> DataFrame:
     """``(node, <qid>, n)``: the classes of every level vector, from the distinct combinations alone.
 
-    Each attribute's ancestors are attached once; a combination is expanded to
-    the vectors and re-aggregated, so rows are never read again.
+    Attributes climb one after another: the classes over the levels of the
+    attributes so far, with the others still at their leaves, are what the next
+    one starts from. So a node is summed up from classes below it, not from
+    all combinations again. Of ``vectors``, only their prefixes are made.
     """
-    wide = combos
-    for a in qid:
+    wanted = None if vectors is None else [tuple(v[a] for a in qid) for v in vectors]
+    out = combos.withColumn("__at", F.lit(""))
+    for i, a in enumerate(qid):
         h = hierarchies[a]
-        look = small(h.frame.select(F.col("l0").alias("__leaf"), F.array(*h.levels).alias(f"__up_{a}")), BROADCAST_LEAVES, h.size)
-        wide = wide.join(look, wide[a].cast("string") == look["__leaf"]).drop("__leaf")
-    vectors = lattice(hierarchies, qid) if vectors is None else vectors
-    choices = F.array(*[F.array(*[F.lit(v[a]) for a in qid]) for v in vectors])
-    each = wide.withColumn("__vector", F.explode(choices))
-    picked = [F.element_at(f"__up_{a}", F.col("__vector")[i] + 1).alias(a) for i, a in enumerate(qid)]
-    return each.select(F.array_join("__vector", "_").alias("node"), *picked, "n").groupBy("node", *qid).agg(F.sum("n").alias("n"))
+        steps = F.explode(F.array(*[F.struct(F.lit(str(level)).alias("level"), F.col(f"l{level}").alias("node")) for level in range(h.depth)])).alias("s")
+        look = small(h.frame.select(F.col("l0").alias("__leaf"), steps).select("__leaf", "s.level", "s.node"), BROADCAST_LEAVES, h.size * h.depth)
+        step = out.join(look, out[a].cast("string") == look["__leaf"])
+        at = F.col("level") if i == 0 else F.concat("__at", F.lit("_"), F.col("level"))
+        climbed = step.select(at.alias("__at"), *[F.col("node").alias(a) if c == a else F.col(c) for c in qid], "n")
+        if wanted is not None:
+            climbed = climbed.where(F.col("__at").isin(sorted({"_".join(map(str, v[: i + 1])) for v in wanted})))
+        out = climbed.groupBy("__at", *qid).agg(F.sum("n").alias("n"))
+    return out.withColumnRenamed("__at", "node")
 
 
 def lattice_statistics(classes: DataFrame, k: int) -> DataFrame:

@@ -15,16 +15,17 @@ ROOT = "*"
 
 @dataclass(frozen=True)
 class Hierarchy:
-    """``frame`` has one row a leaf, so it is as small as the attribute's domain."""
+    """``frame`` has one row a leaf, so it is as small as the attribute's domain; ``leaves`` is their number where it is known."""
 
     attribute: str
     frame: DataFrame
     depth: int
+    leaves: int | None = None
 
     @cached_property
     def size(self) -> int:
-        """Number of leaves, counted once."""
-        return self.frame.select("l0").distinct().count()
+        """Number of leaves, counted once if at all."""
+        return self.frame.select("l0").distinct().count() if self.leaves is None else self.leaves
 
     @property
     def levels(self) -> list[str]:
@@ -47,7 +48,7 @@ def interval_hierarchy(spark: SparkSession, attribute: str, lo: int, hi: int, ba
     for f in fanouts:
         widths.append(widths[-1] * f)
     cols = [v.cast("string").alias("l0"), *[interval_text(v, w, lo, hi + 1).alias(f"l{i}") for i, w in enumerate(widths, 1)], F.lit(ROOT).alias(f"l{len(widths) + 1}")]
-    return Hierarchy(attribute, spark.range(lo, hi + 1).toDF("v").select(*cols), len(widths) + 2)
+    return Hierarchy(attribute, spark.range(lo, hi + 1).toDF("v").select(*cols), len(widths) + 2, hi - lo + 1)
 
 
 def redaction_hierarchy(values: DataFrame, attribute: str, width: int) -> Hierarchy:

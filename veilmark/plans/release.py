@@ -111,8 +111,8 @@ def k_anonymity_suppress(spark: SparkSession, d: str) -> DataFrame:
     return G.suppress(generalize_vector(spark, d), QID, K).select("rid", *QID, "suppressed")
 
 
-def _classes(spark: SparkSession, d: str, vectors=None) -> DataFrame:
-    h = people_hierarchies(spark, d)
+def _classes(spark: SparkSession, d: str, vectors=None, h=None) -> DataFrame:
+    h = h or people_hierarchies(spark, d)
     return G.lattice_classes(G.distinct_combinations(people(spark, d), QID), h, QID, vectors)
 
 
@@ -129,7 +129,8 @@ def lattice_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def granularity_loss(spark: SparkSession, d: str) -> DataFrame:
-    return G.information_loss(_classes(spark, d), people_hierarchies(spark, d), QID, K).select("node", _r("loss").alias("loss"))
+    h = people_hierarchies(spark, d)
+    return G.information_loss(_classes(spark, d, h=h), h, QID, K).select("node", _r("loss").alias("loss"))
 
 
 def lattice_optimum(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +151,8 @@ def lattice_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def granularity_loss_balanced(spark: SparkSession, d: str) -> DataFrame:
     """Suppression counts half, as with a balance of a quarter."""
-    return G.information_loss(_classes(spark, d), people_hierarchies(spark, d), QID, K, 0.25).select("node", _r("loss").alias("loss"))
+    h = people_hierarchies(spark, d)
+    return G.information_loss(_classes(spark, d, h=h), h, QID, K, 0.25).select("node", _r("loss").alias("loss"))
 
 
 def split_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +179,8 @@ def nonuniform_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    return G.ambiguity(_classes(spark, d), people_hierarchies(spark, d), QID).select("node", _r("ambiguity").alias("ambiguity"))
+    h = people_hierarchies(spark, d)
+    return G.ambiguity(_classes(spark, d, h=h), h, QID).select("node", _r("ambiguity").alias("ambiguity"))
 
 
 def record_squared_error(spark: SparkSession, d: str) -> DataFrame:
