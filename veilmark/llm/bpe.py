@@ -7,6 +7,12 @@ encoder walks left to right with the longest token at each place, takes a
 shorter one when the pair is not compatible, and steps back from places that
 have no continuation; each place is given up once at most, which keeps it
 linear. Decoding slices one byte string by an offset table.
+
+Cases: a null text counts as empty, and an empty text has no tokens; null ids
+decode to a null text; texts of any length are encoded whole, a word of any
+length in time linear in it; ties cannot occur, as a text has one encoding;
+repeated rows and null row ids give a result each; an empty table gives no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

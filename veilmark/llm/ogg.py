@@ -9,7 +9,11 @@ one task without a shuffle.
 Cases: a null file gives no pages and no packets; an empty file likewise;
 bytes between pages are skipped and counted; a page whose checksum fails is
 reported with ``ok = false`` and its packets are left out; a packet that
-continues over a lost page is dropped.
+continues over a lost page is dropped. A null or empty text is stored as 64
+zero bytes. Texts of any length are stored whole, one file each, so a task
+holds some copies of its longest text. Repeated rows and null ids give a
+result each; an empty table gives no rows; columns that are neither named nor
+kept are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ A token that crosses a boundary is allocated by rule:
 
 A token outside every section counts nowhere. Cases: a null text counts as
 empty; an empty text has one empty section with no tokens; null or repeated
-ids are carried along.
+ids are carried along, repeated rows with a result each; texts of any length
+are encoded whole; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
