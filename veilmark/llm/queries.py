@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_tree, fair_mix, line_crf, minhash, ogg, runs, scaled_sketch, secrets, token_spans, vbyte
+from . import bpe, chat_tree, fair_mix, line_crf, minhash, ogg, runs, scaled_sketch, secrets, simhash, token_spans, vbyte
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(documents(spark, sf_dir))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_tree": op2_chat_tree,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fair_mix": op9_fair_mix,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_runs": op11_runs,
+    "op12_simhash": op12_simhash,
 }
 
 #: A-Z to lower case and nothing else, as the near-duplicates do.
