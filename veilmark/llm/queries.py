@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_tree, fair_mix, line_crf, minhash, ogg, runs, scaled_sketch, secrets, simhash, token_spans, vbyte
+from . import alignment, bpe, chat_tree, fair_mix, line_crf, minhash, ogg, runs, scaled_sketch, secrets, simhash, token_spans, vbyte
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_chat_tree": op2_chat_tree,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
     "op11_runs": op11_runs,
     "op12_simhash": op12_simhash,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: A-Z to lower case and nothing else, as the near-duplicates do.
