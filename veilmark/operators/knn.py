@@ -5,6 +5,10 @@ task's work: memory is bounded by a block whatever the sizes, and the number of
 tasks follows the number of cells, not the bytes of the inputs. Where records
 repeat, distances are computed between distinct combinations of the compared
 columns only. Aggregates over cells are combined inside tasks.
+
+Where the distance is given as a :class:`~veilmark.operators.pruned.Metric`,
+its lower bounds rule out most of the pairs instead (see there); a distance
+that is a bare expression has no bounds and takes the whole grid.
 """
 
 from __future__ import annotations
@@ -14,6 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pruned import Metric, near_pairs
+from .stages import staged
+
 #: Rows of a block, and tasks of one grid at most.
 CELL_ROWS, MOST_TASKS = 1024, 20_000
 #: Groups of candidates whose minima bound the k-th distance.
@@ -58,19 +65,21 @@ def _rounded(d: Column, digits: int | None) -> Column:
 
 
 def top_k(
-    query: DataFrame, cand: DataFrame, distance: Column, k: int, query_id: str = "rid", cand_id: str = "rid", digits: int | None = 9, exclude_self: bool = False, keys: Sequence[str] | None = None
+    query: DataFrame, cand: DataFrame, distance: Column | Metric, k: int, query_id: str = "rid", cand_id: str = "rid", digits: int | None = 9, exclude_self: bool = False, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """``(query_id, rank, cand_id, dist)``: the ``k`` nearest candidates, ties by the candidate's id.
 
     ``distance`` refers to ``q_*`` and ``c_*`` columns of ``keys`` (default:
     all shared columns but the ids) and is rounded, so that ties do not depend
-    on the order of additions. A first pass over the grid takes the minimum of
+    on the order of additions. Of a metric, only pairs within its bounds are
+    looked at. Of an expression, a first pass over the grid takes the minimum of
     ``GROUPS`` groups of candidates; the ``k``-th smallest of these bounds the
     ``k``-th distance, and only pairs within the bound are ranked in a second
     pass. Candidates that agree in all keys count as one, with their ``k``
     least ids; so do queries, unless a query must not meet itself.
     """
-    names = list(keys) if keys is not None else [c for c in query.columns if c in cand.columns and c not in (query_id, cand_id)]
+    pruned = isinstance(distance, Metric)
+    names = distance.keys if pruned else list(keys) if keys is not None else [c for c in query.columns if c in cand.columns and c not in (query_id, cand_id)]
     most = k + 1 if exclude_self else k
     # tasks keep ``most`` ids of a combination before the shuffle
     first = Window.partitionBy(*names).orderBy(cand_id)
@@ -81,12 +90,10 @@ def top_k(
     by = q.columns
     apart = (F.size("c_ids") > 1) | (F.col("c_first") != F.col(f"q_{query_id}")) if exclude_self else F.lit(True)
 
-    group = F.pmod(F.xxhash64("c_first"), F.lit(GROUPS))
-    least = _grid(q, c, CELL_ROWS).where(apart).groupBy(*by, group.alias("__group")).agg(F.min(distance).alias("d"))
-    bound = least.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("d"))  # GROUPS numbers at most
-    bound = bound.select(*[F.col(n).alias(f"b_{n}") for n in by], F.when(F.size("d") >= k, F.get("d", F.lit(k - 1)) + ROOM).alias("bound"))
-    bounded = q.join(bound, _same(by, right="b_")).select(*by, "bound")
-    near = _grid(bounded, c, CELL_ROWS).where(apart).withColumn("dist", distance).where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound")))
+    if pruned:
+        near = near_pairs(q, c, distance, k, apart if exclude_self else None)
+    else:
+        near = _within_bound(q, c, distance, k, apart)
     each = near.select(*by, _rounded(F.col("dist"), digits).alias("dist"), F.explode("c_ids").alias("cand_id"))
     if exclude_self:
         each = each.where(F.col("cand_id") != F.col(f"q_{query_id}"))
@@ -99,6 +106,18 @@ def top_k(
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+def _within_bound(q: DataFrame, c: DataFrame, distance: Column, k: int, apart: Column) -> DataFrame:
+    """All pairs of the grid whose distance is within the bound of the query's ``k``-th."""
+    by = q.columns
+    group = F.pmod(F.xxhash64("c_first"), F.lit(GROUPS))
+    least = _grid(q, c, CELL_ROWS).where(apart).groupBy(*by, group.alias("__group")).agg(F.min(distance).alias("d"))
+    bound = least.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("d"))  # GROUPS numbers at most
+    bound = bound.select(*[F.col(n).alias(f"b_{n}") for n in by], F.when(F.size("d") >= k, F.get("d", F.lit(k - 1)) + ROOM).alias("bound"))
+    bounded = q.join(bound, _same(by, right="b_")).select(*by, "bound")
+    near = _grid(bounded, c, CELL_ROWS).where(apart).withColumn("dist", distance)
+    return near.where(F.col("bound").isNull() | (F.col("dist") <= F.col("bound")))
+
+
 def _combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,36 +127,52 @@ def _spread(df: DataFrame, keys: Sequence[str], found: DataFrame, row_id: str) -
     return df.select(F.col(row_id).alias("query_id"), *keys).join(found, _same(keys)).select("query_id", "dist")
 
 
-def nearest(query: DataFrame, cand: DataFrame, distance: Column, keys: Sequence[str], query_id: str = "rid", digits: int | None = 9) -> DataFrame:
+def nearest(query: DataFrame, cand: DataFrame, distance: Column | Metric, keys: Sequence[str] | None = None, query_id: str = "rid", digits: int | None = 9) -> DataFrame:
     """``(query_id, dist)``: the least distance only, by hash aggregates without a sort.
 
     A combination is as near to the candidates as each of its rows, so the
     grid holds combinations of the compared columns, not rows.
     """
-    p = pairs(query.select(*keys).distinct(), cand.select(*keys).distinct())
-    found = p.groupBy(*[f"q_{c}" for c in keys]).agg(_rounded(F.min(distance), digits).alias("dist"))
+    if isinstance(distance, Metric):
+        keys, least = distance.keys, F.min("dist")
+        p = near_pairs(_renamed(query.select(*keys).distinct(), "q"), _renamed(cand.select(*keys).distinct(), "c"), distance)
+    else:
+        least = F.min(distance)
+        p = pairs(query.select(*keys).distinct(), cand.select(*keys).distinct())
+    found = p.groupBy(*[f"q_{c}" for c in keys]).agg(_rounded(least, digits).alias("dist"))
     return _spread(query, keys, found, query_id)
 
 
-def nearest_both_ways(query: DataFrame, cand: DataFrame, distance: Column, keys: Sequence[str], row_id: str = "rid", digits: int | None = 9) -> tuple[DataFrame, DataFrame]:
-    """:func:`nearest` from ``query`` to ``cand`` and back, from one grid of distances.
+def nearest_both_ways(query: DataFrame, cand: DataFrame, distance: Column | Metric, keys: Sequence[str] | None = None, row_id: str = "rid", digits: int | None = 9) -> tuple[DataFrame, DataFrame]:
+    """:func:`nearest` from ``query`` to ``cand`` and back.
 
-    Both minima are taken side by side and kept until both frames are used.
+    Of an expression both minima are taken side by side from one grid, which
+    is written; a metric is searched once each way, as it sees few pairs.
     """
+    if isinstance(distance, Metric):
+        return nearest(query, cand, distance, query_id=row_id, digits=digits), nearest(cand, query, distance, query_id=row_id, digits=digits)
     left, right = [f"q_{c}" for c in keys], [f"c_{c}" for c in keys]
     p = pairs(query.select(*keys).distinct(), cand.select(*keys).distinct()).withColumn("__d", distance)
     both = p.groupingSets([[F.col(c) for c in left], [F.col(c) for c in right]], *left, *right)
-    minima = both.agg(F.min("__d").alias("dist"), F.grouping(left[0]).alias("back")).withColumn("dist", _rounded(F.col("dist"), digits)).persist()
+    minima = both.agg(F.min("__d").alias("dist"), F.grouping(left[0]).alias("back")).withColumn("dist", _rounded(F.col("dist"), digits))
+    minima = staged(minima, "minima")
     there = minima.where("back = 0").select(*left, "dist")
     back = minima.where("back = 1").select(*[F.col(f"c_{c}").alias(f"q_{c}") for c in keys], "dist")
     return _spread(query, keys, there, row_id), _spread(cand, keys, back, row_id)
 
 
-def nearest_other(df: DataFrame, distance: Column, keys: Sequence[str], row_id: str = "rid", digits: int | None = 9) -> DataFrame:
+def nearest_other(df: DataFrame, distance: Column | Metric, keys: Sequence[str] | None = None, row_id: str = "rid", digits: int | None = 9) -> DataFrame:
     """``(query_id, dist)``: the least distance to another row of the same table, 0 where a combination repeats."""
+    pruned = isinstance(distance, Metric)
+    keys = distance.keys if pruned else keys
     c = _combinations(df, keys)
-    p = pairs(c, c.drop("n")).where(~_all(_same(keys, "c_")))
-    other = p.groupBy(*[f"q_{k}" for k in keys]).agg(_rounded(F.min(distance), digits).alias("dist"))
+    if pruned:
+        # a combination that repeats is at distance 0 already
+        single = _renamed(c.where("n = 1").drop("n"), "q")
+        p = near_pairs(single, _renamed(c.drop("n"), "c"), distance, 1, ~_all(_same(keys, "c_")))
+    else:
+        p = pairs(c, c.drop("n")).where(~_all(_same(keys, "c_"))).withColumn("dist", distance)
+    other = p.groupBy(*[f"q_{k}" for k in keys]).agg(_rounded(F.min("dist"), digits).alias("dist"))
     single = c.select(*[F.col(k).alias(f"c_{k}") for k in keys], "n").join(other, _same(keys, "c_"), "left")
     found = single.select(*[F.col(f"c_{k}").alias(f"q_{k}") for k in keys], F.when(F.col("n") > 1, 0.0).otherwise(F.col("dist")).alias("dist")).where("dist is not null")
     return _spread(df, keys, found, row_id)

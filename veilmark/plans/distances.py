@@ -12,6 +12,7 @@ from veilmark.operators import privacy as P
 from veilmark.operators.dispatch import Distances, domains
 from veilmark.operators.generalize import generalize
 from veilmark.operators.hierarchy import interval_hierarchy, order_hierarchy
+from veilmark.operators.pruned import Category, Metric, Number
 
 from .frames import PARTS, PARTS_SQL, QID_SQL, SIZE_WIDTH, holdout, original, parts, release
 
@@ -39,6 +40,19 @@ def all_distance(price_width: float) -> Column:
     return D.record({"size": D.numeric(*_c("size"), SIZE_WIDTH), "brand": brand_distance(), "type": type_distance(), "price": D.numeric(*_c("price"), price_width)})
 
 
+_BRAND_PART = Category(("brand", "grp"), lambda side: [F.col(f"{side}_brand"), F.col(f"{side}_grp")])
+_TYPE_PART = Category(("type",), lambda side: [F.col(f"{side}_type")])
+
+
+def qid_metric() -> Metric:
+    """:func:`qid_distance` with its bounds."""
+    return Metric((Number("size", SIZE_WIDTH), _BRAND_PART, _TYPE_PART))
+
+
+def all_metric(price_width: float) -> Metric:
+    return Metric((Number("size", SIZE_WIDTH), _BRAND_PART, _TYPE_PART, Number("price", price_width)))
+
+
 def _price_width(df: DataFrame) -> float:
     row = df.agg(F.min("price").alias("a"), F.max("price").alias("b")).first()
     return row["b"] - row["a"]
@@ -139,22 +153,22 @@ QID = ["size", "brand", "grp", "type"]
 
 def knn_top5_qid(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return knn.top_k(holdout(df), original(df), qid_distance(), 5, keys=QID).withColumn("dist", _r("dist", 6))
+    return knn.top_k(holdout(df), original(df), qid_metric(), 5).withColumn("dist", _r("dist", 6))
 
 
 def knn_top5_all(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return knn.top_k(holdout(df), release(df), all_distance(_price_width(df)), 5, keys=[*QID, "price"]).withColumn("dist", _r("dist", 6))
+    return knn.top_k(holdout(df), release(df), all_metric(_price_width(df)), 5).withColumn("dist", _r("dist", 6))
 
 
 def knn_self_second(spark: SparkSession, d: str) -> DataFrame:
-    return knn.nearest_other(holdout(parts(spark, d)), qid_distance(), QID).withColumn("dist", _r("dist", 6))
+    return knn.nearest_other(holdout(parts(spark, d)), qid_metric()).withColumn("dist", _r("dist", 6))
 
 
 def knn_self_top3(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest other rows of the holdout."""
     h = holdout(parts(spark, d))
-    return knn.top_k(h, h, qid_distance(), 3, keys=QID, exclude_self=True).withColumn("dist", _r("dist", 6))
+    return knn.top_k(h, h, qid_metric(), 3, exclude_self=True).withColumn("dist", _r("dist", 6))
 
 
 def nn_both_ways(spark: SparkSession, d: str) -> DataFrame:
@@ -167,40 +181,40 @@ def nn_both_ways(spark: SparkSession, d: str) -> DataFrame:
 
 def nn_distance_summary(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    s = P.distance_summary(knn.nearest(original(df), release(df), qid_distance(), QID))
+    s = P.distance_summary(knn.nearest(original(df), release(df), qid_metric()))
     return s.select(*[_r(c, 6).alias(c) for c in s.columns])
 
 
 def close_value_ratio(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    s = P.close_value_ratio(knn.nearest(holdout(df), release(df), qid_distance(), QID))
+    s = P.close_value_ratio(knn.nearest(holdout(df), release(df), qid_metric()))
     return s.select("threshold", _r("ratio", 6).alias("ratio"), _r("ratio_1090", 6).alias("ratio_1090"))
 
 
 def similarity_ratio(spark: SparkSession, d: str) -> DataFrame:
     o = original(parts(spark, d))
-    return P.similarity_ratio(knn.nearest(o, release(parts(spark, d)), qid_distance(), QID), knn.nearest_other(o, qid_distance(), QID)).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
+    return P.similarity_ratio(knn.nearest(o, release(parts(spark, d)), qid_metric()), knn.nearest_other(o, qid_metric())).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
 
 
 def nn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     t, p = holdout(df), release(df)
-    there, back = knn.nearest_both_ways(t, p, qid_distance(), QID)
-    second = [knn.nearest_other(x, qid_distance(), QID) for x in (t, p)]
+    there, back = knn.nearest_both_ways(t, p, qid_metric())
+    second = [knn.nearest_other(x, qid_metric()) for x in (t, p)]
     return P.adversarial_accuracy(there, second[0], back, second[1]).select(_r("nn_accuracy", 6).alias("nn_accuracy"))
 
 
 def nn_identity(spark: SparkSession, d: str) -> DataFrame:
     """The original released unchanged, against itself: distance 0, every close ratio 1."""
     o = original(parts(spark, d))
-    nn = knn.nearest(o, o, qid_distance(), QID)
+    nn = knn.nearest(o, o, qid_metric())
     return nn.agg(F.max("dist").alias("greatest"), F.avg((F.col("dist") < 0.1).cast("double")).alias("close"))
 
 
 def _aia(spark: SparkSession, d: str, k: int) -> DataFrame:
     df = parts(spark, d)
     t, p = holdout(df), release(df)
-    near = knn.top_k(t, p, qid_distance(), k, keys=QID)
+    near = knn.top_k(t, p, qid_metric(), k)
     guess = P.neighbour_guess(near, p, "rid", "price", True)
     s1, s2 = (prep.sample_std(x, ["price"]).first()[0] for x in (original(df), p))
     scored = t.join(guess, t["rid"] == guess["query_id"])
