@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
 import duckdb
 import numpy as np
 import pytest
 
+from veilmark.operators import facility
 from veilmark.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -35,3 +40,37 @@ def test_all_suppliers_are_sites(spark):
     for out in chosen:  # no swap with any supplier is better
         rest = [x for x in chosen if x != out]
         assert all(cost([*rest, int(x)]) >= cost(chosen) * (1 - 2e-9) for x in s)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_median_is_the_exhaustive_optimum_within_its_bound(spark, seed):
+    rnd = random.Random(seed)
+    zones = [(i, rnd.uniform(1, 9)) for i in range(12)]
+    places = [(rnd.random(), rnd.random()) for _ in zones]
+    sites = [(rnd.random(), rnd.random()) for _ in range(9)]
+    km = [(i, 100 + j, math.dist(a, b)) for i, a in enumerate(places) for j, b in enumerate(sites)]
+    need, table = spark.createDataFrame(zones, "zone long, weight double"), spark.createDataFrame(km, "zone long, site long, km double")
+    far = {(i, j): d for i, j, d in km}
+    cost = lambda chosen: sum(w * min(far[i, j] for j in chosen) for i, w in zones)
+    best = min(map(cost, itertools.combinations(range(100, 109), 3)))
+    found = facility.p_median(need, table, p=3, gap=0.001, rounds=60)
+    assert found.cost == pytest.approx(cost(found.sites)) and found.lower <= best * (1 + 1e-9)
+    assert found.cost == pytest.approx(best) and found.gap < 0.03
+    swapped = facility._swap(facility._zone_site_costs(need, table), [100, 101, 102])
+    assert swapped[2] == pytest.approx(min(cost([*(s for s in (100, 101, 102) if s != o), j]) for o in (100, 101, 102) for j in range(103, 109)))
+
+
+def test_no_zones_no_sites_and_one_site(spark):
+    need, table = spark.createDataFrame([], "zone long, weight double"), spark.createDataFrame([], "zone long, site long, km double")
+    assert facility.p_median(need, table, 2) == ([], 0.0, 0.0, 0)
+    one = facility.p_median(spark.createDataFrame([(1, 2.0)], "zone long, weight double"), spark.createDataFrame([(1, 5, 3.0), (1, 6, 2.0)], "zone long, site long, km double"), 1)
+    assert (one.sites, one.cost) == ([6], 4.0) and one.gap <= 0.01
+
+
+def test_gap_of_the_suppliers_is_at_most_a_hundredth(spark):
+    rows = registry.QUERIES["facility_median"](spark, SF).collect()
+    km, z, s = brute_km()
+    need = {r["zone"]: r["weight"] for r in registry.QUERIES["zone_demand"](spark, SF).collect()}
+    w = np.array([need.get(int(a), 0.0) for a in z])
+    assert len(rows) == 10 and rows[0]["cost"] == pytest.approx(float(w @ km[:, np.isin(s, [r["site"] for r in rows])].min(axis=1)), rel=1e-8)
+    assert 0 <= rows[0]["gap"] <= 0.01 and rows[0]["lower_bound"] <= rows[0]["cost"]

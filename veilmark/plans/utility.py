@@ -112,6 +112,12 @@ def facility_greedy(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s, round(cost, 2)) for s in sites], "site long, cost double")
 
 
+def facility_median(spark: SparkSession, d: str) -> DataFrame:
+    """Ten sites with the cost, the proven lower bound and the gap between them."""
+    m = L.p_median(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), _sites(spark, d)))
+    return spark.createDataFrame([(s, round(m.cost, 2), round(m.lower, 2), round(m.gap, 6)) for s in m.sites], "site long, cost double, lower_bound double, gap double")
+
+
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     p = parts(spark, d)
     return p.select("rid", F.col("price").alias("truth"), (F.col("price") + F.col("rid") % 11 - 5).alias("guess"), (F.col("size") % 3).alias("t"), ((F.col("size") + F.when(F.col("rid") % 5 == 0, 1).otherwise(0)) % 3).alias("g"))
@@ -246,7 +252,7 @@ def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy,
+        count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy, facility_median,
         regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_dependency_tree,
         gmm_log_likelihood, gmm_fixed, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
     )
