@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.draws import seeded
 
-from .generalize import BROADCAST_LEAVES, small
+from .stages import staged
 
-#: Queries of one workload.
-WORKLOAD = 2000
+#: Queries of one workload, and bytes of the bit sets and shares that tasks hold at once.
+WORKLOAD, TABLE_BYTES = 2000, 64 << 20
 
 
 def random_workload(leaves: DataFrame, n: int = WORKLOAD, seed: int = 69) -> DataFrame:
@@ -46,22 +48,99 @@ def _shares(filters: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.join(sizes, ["column", "node"]).select("query_id", "column", "node", (F.col("k") / F.col("n")).alias("p"))
 
 
+def _tables(shares: DataFrame, columns: Sequence[str], ids: Sequence[int], asked: Mapping[str, set[int]]) -> dict[str, tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """For every column: the row of each node, its bit set of queries, the row of its shares (-1: all are 1), and these shares.
+
+    The last bit set is that of nodes which no query names: the queries that
+    do not ask the column.
+    """
+    place = {q: i for i, q in enumerate(ids)}
+    found: dict[str, dict[str, list]] = {c: {} for c in columns}
+    rows = shares.groupBy("column", "node").agg(F.collect_list(F.struct("query_id", "p")).alias("hits"))
+    for r in rows.collect():
+        found[r["column"]][r["node"]] = r["hits"]
+    out = {}
+    for c in columns:
+        row = {node: i for i, node in enumerate(found[c])}
+        hit = np.zeros((len(row) + 1, len(ids)), bool)
+        hit[:, [i for q, i in place.items() if q not in asked.get(c, ())]] = True
+        part, own = np.full(len(row) + 1, -1), []
+        for node, i in row.items():
+            at = [place[h["query_id"]] for h in found[c][node]]
+            hit[i, at] = True
+            if any(h["p"] < 1 for h in found[c][node]):
+                part[i] = len(own)
+                p = np.ones(len(ids))
+                p[at] = [h["p"] for h in found[c][node]]
+                own.append(p)
+        out[c] = row, np.packbits(hit, axis=1), part, np.array(own).reshape(-1, len(ids))
+    return out
+
+
+def _total(combos: DataFrame, columns: Sequence[str], ids: Sequence[int], tables: Mapping[str, tuple]) -> DataFrame:
+    """``(query_id, estimate)`` of combinations and one batch of queries: a task sends one sum a query."""
+
+    def run(batches):
+        total, seen = np.zeros(len(ids)), False
+        for batch in batches:
+            n = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(float)
+            rows = []
+            for k, c in enumerate(columns):
+                own = batch.column(k).dictionary_encode()
+                names = np.array([tables[c][0].get(v, len(tables[c][0])) for v in own.dictionary.to_pylist()] + [len(tables[c][0])])
+                rows.append(names[own.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)])
+            for at in range(0, len(n), 2048):
+                part = [r[at : at + 2048] for r in rows]
+                bits = tables[columns[0]][1][part[0]]
+                for k in range(1, len(columns)):
+                    bits &= tables[columns[k]][1][part[k]]
+                combo, query = np.nonzero(np.unpackbits(bits, axis=1, count=len(ids)))
+                weight = n[at : at + 2048][combo]
+                for k, c in enumerate(columns):
+                    fraction = tables[c][2][part[k][combo]]
+                    some = np.flatnonzero(fraction >= 0)
+                    weight[some] *= tables[c][3][fraction[some], query[some]]
+                total += np.bincount(query, weight, minlength=len(ids))
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)), pa.array(total)], names=["query_id", "estimate"])
+
+    rows = combos.select(*[F.col(c).cast("string") for c in columns], "n")
+    return rows.mapInArrow(run, "query_id long, estimate double").groupBy("query_id").agg(F.sum("estimate").alias("estimate"))
+
+
 def estimate(combos: DataFrame, columns: Sequence[str], filters: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(query_id, estimate)``: sum over value combinations of count times the product of shares.
 
     ``combos`` has one row a combination of ``columns`` with its count ``n``.
-    Combinations are unpivoted to ``(column, node)`` and joined with the
-    shares by equality; a query keeps a combination if all its columns hit.
-    On original data every share is 0 or 1 and the estimate is the exact count.
+    For every column and node there is a bit set of the queries that hold a
+    leaf of it or do not ask the column. A task ANDs the bit sets of a
+    combination's nodes and multiplies shares only for the queries that are
+    left, so predicates on original columns filter first; it sends one sum a
+    query, whatever the number of combinations is. Queries are taken in batches
+    whose bit sets and shares stay within ``TABLE_BYTES``. On original data
+    every share is 0 or 1 and the estimate is the exact count.
     """
-    keyed = combos.withColumn("combo", F.struct(*columns)).groupBy("combo", *columns).agg(F.sum("n").alias("n"))
-    cells = keyed.select("combo", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("node")) for c in columns])).alias("cell"))
-    shares = _shares(filters, nodes)
-    asked = filters.groupBy("query_id").agg(F.count_distinct("column").alias("asked"))
-    hit = cells.select("combo", "n", "cell.column", "cell.node").join(small(shares, BROADCAST_LEAVES), ["column", "node"])
-    per = hit.groupBy("query_id", "combo").agg(F.first("n").alias("n"), F.count("*").alias("hits"), F.product("p").alias("p"))
-    total = per.join(asked, "query_id").where("hits = asked").groupBy("query_id").agg(F.sum(F.col("n") * F.col("p")).alias("estimate"))
-    return asked.select("query_id").join(total, "query_id", "left").select("query_id", F.coalesce("estimate", F.lit(0.0)).alias("estimate"))
+    asked: dict[str, set[int]] = {}
+    # a row for each query and column
+    for r in filters.select("query_id", "column").distinct().collect():
+        asked.setdefault(r["column"], set()).add(r["query_id"])
+    if unknown := set(asked) - set(columns):
+        raise ValueError(f"queries ask for unknown columns {sorted(unknown)}")
+    ids = sorted(set().union(*asked.values()))
+    if not ids:
+        return filters.select("query_id", F.lit(0.0).alias("estimate")).limit(0)
+    shares = staged(_shares(filters, nodes), "shares")
+    size = shares.groupBy("column", "node").agg(F.min("p").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") < 1).alias("parts")).first()
+    batch = max(1, int(TABLE_BYTES // (size["n"] + 8 * size["parts"] + 1)))
+    out = None
+    for at in range(0, len(ids), batch):
+        some = ids[at : at + batch]
+        tables = _tables(shares.where(F.col("query_id").between(some[0], some[-1])), columns, some, asked)
+        part = _total(combos, columns, some, tables)
+        out = part if out is None else out.unionByName(part)
+    every = filters.select("query_id").distinct()
+    return every.join(out, "query_id", "left").select("query_id", F.coalesce("estimate", F.lit(0.0)).alias("estimate"))
 
 
 def exact(df: DataFrame, predicates: dict[int, Column], batch: int = 100) -> DataFrame:

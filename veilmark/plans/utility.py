@@ -18,7 +18,7 @@ from .frames import PARTS_SQL, PEOPLE, PEOPLE_SQL, VECTOR, holdout, original, pa
 
 _r = F.round
 QID = list(PEOPLE.qid)
-N_QUERIES = 60
+N_QUERIES = Q.WORKLOAD
 NUMERIC, CATEGORICAL = ["size", "price"], ["brand", "type"]
 
 
@@ -62,6 +62,46 @@ def query_relative_error(spark: SparkSession, d: str) -> DataFrame:
     return Q.relative_error(count_queries_exact(spark, d), count_queries_estimated(spark, d)).select(_r("relative_error", 4).alias("relative_error"))
 
 
+SCOPES = {"qid": QID, "others": ["tier", "digit"], "all": [*QID, "tier", "digit"]}
+
+
+def _scoped(spark: SparkSession, d: str) -> DataFrame:
+    """People with two columns that are no quasi-identifiers: twenty equal tiers of the balance, and the key's last digit."""
+    df = people(spark, d)
+    return df.withColumn("tier", prep.bucketize(F.col("balance"), -1000.0, 10000.0, 20).cast("string")).withColumn("digit", (F.col("rid") % 10).cast("string"))
+
+
+def _scope_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of all columns; those without a hierarchy are their own leaves."""
+    own = [spark.range(n).select(F.lit(c).alias("column"), F.col("id").cast("string").alias("node"), F.col("id").cast("string").alias("leaf")) for c, n in (("tier", 20), ("digit", 10))]
+    return _nodes(spark, d).unionByName(own[0]).unionByName(own[1])
+
+
+def _scope_workload(spark: SparkSession, d: str, scope: str) -> DataFrame:
+    """The seeded workload of one scope."""
+    nodes = _scope_nodes(spark, d).where("node = leaf").where(F.col("column").isin(SCOPES[scope]))
+    return Q.random_workload(nodes.select("column", "leaf"))
+
+
+def count_queries_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """2000 seeded queries in each of three scopes, counted on the original and estimated on the generalised people."""
+    rows, nodes = _scoped(spark, d), _scope_nodes(spark, d)
+    released = G.generalize(rows, people_hierarchies(spark, d), VECTOR)
+    out = None
+    for scope, columns in SCOPES.items():
+        asked = _scope_workload(spark, d, scope)
+        real, guess = (Q.estimate(G.distinct_combinations(x.withColumn("band", F.col("band").cast("string")), columns), columns, asked, nodes) for x in (rows, released))
+        one = real.withColumnRenamed("estimate", "real").join(guess, "query_id").select(F.lit(scope).alias("scope"), "query_id", _r("real", 4).alias("real"), _r("estimate", 4).alias("estimate"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def query_relative_error_scopes(spark: SparkSession, d: str) -> DataFrame:
+    both = count_queries_scopes(spark, d)
+    error = F.when(F.col("real") != 0, F.abs(F.col("real") - F.col("estimate")) / F.col("real"))
+    return both.groupBy("scope").agg(_r(F.avg(error), 4).alias("relative_error"), F.count_if(F.col("real") == 0).alias("empty_queries"))
+
+
 def count_predicates(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return Q.exact(o, {i: (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000.0 * i) for i in range(120)})
@@ -252,7 +292,7 @@ def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy, facility_median,
+        count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_queries_scopes, query_relative_error_scopes, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy, facility_median,
         regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_dependency_tree,
         gmm_log_likelihood, gmm_fixed, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
     )
@@ -263,17 +303,39 @@ leaves AS (SELECT 'nation' AS col, n_name AS leaf, row_number() OVER (ORDER BY n
   UNION ALL SELECT 'segment', s, row_number() OVER (ORDER BY s) - 1 FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)
   UNION ALL SELECT 'band', CAST(v AS VARCHAR), v - 1 FROM range(1, 101) t(v)),
 asked AS (SELECT q AS query_id, col, leaf FROM leaves, range({N_QUERIES}) t(q) WHERE (q * 31 + i * 17) % 7 < 3 AND (col = 'nation' OR (col = 'segment' AND q % 2 = 0) OR (col = 'band' AND q % 3 = 0))),
-ids AS (SELECT DISTINCT query_id FROM asked),
-exact AS (SELECT query_id, CAST((SELECT count(*) FROM people WHERE nation IN (SELECT leaf FROM asked a WHERE a.query_id = ids.query_id AND col = 'nation')
-  AND (query_id % 2 <> 0 OR segment IN (SELECT leaf FROM asked a WHERE a.query_id = ids.query_id AND col = 'segment'))
-  AND (query_id % 3 <> 0 OR CAST(band AS VARCHAR) IN (SELECT leaf FROM asked a WHERE a.query_id = ids.query_id AND col = 'band'))) AS DOUBLE) AS estimate FROM ids),
-nshare AS (SELECT query_id, r_name AS node, count(*) FILTER (n_name IN (SELECT leaf FROM asked a WHERE a.query_id = ids.query_id AND col = 'nation')) / count(*) AS p
-  FROM ids, nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
-bshare AS (SELECT query_id, b, CASE WHEN query_id % 3 <> 0 THEN 1 ELSE count(*) FILTER (CAST(v AS VARCHAR) IN (SELECT leaf FROM asked a WHERE a.query_id = ids.query_id AND col = 'band')) / count(*) END AS p
-  FROM ids, (SELECT v, (v - 1) // 10 AS b FROM range(1, 101) t(v)) GROUP BY 1, 2),
-combos AS (SELECT region, segment, (band - 1) // 10 AS b, count(*) AS n FROM people GROUP BY 1, 2, 3),
-guess AS (SELECT i.query_id, coalesce(sum(n * s.p * t.p * CASE WHEN i.query_id % 2 <> 0 OR segment IN (SELECT leaf FROM asked a WHERE a.query_id = i.query_id AND col = 'segment') THEN 1 ELSE 0 END), 0) AS estimate
-  FROM ids i, combos c JOIN nshare s ON s.node = region JOIN bshare t ON t.b = c.b WHERE s.query_id = i.query_id AND t.query_id = i.query_id GROUP BY 1)"""
+ids AS (SELECT DISTINCT query_id FROM asked), uses AS (SELECT DISTINCT query_id, col FROM asked),
+nodes AS (SELECT col, leaf AS node, leaf, 0 AS up FROM leaves UNION ALL SELECT 'nation', r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'segment', s, s, 1 FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) UNION ALL SELECT 'band', CAST((v - 1) // 10 AS VARCHAR), CAST(v AS VARCHAR), 1 FROM range(1, 101) t(v)),
+shares AS (SELECT i.query_id, n.col, n.node, up, CASE WHEN max(u.col) IS NULL THEN 1.0 ELSE count(a.leaf) / count(*) END AS p FROM ids i CROSS JOIN nodes n
+  LEFT JOIN uses u ON u.query_id = i.query_id AND u.col = n.col LEFT JOIN asked a ON a.query_id = i.query_id AND a.col = n.col AND a.leaf = n.leaf GROUP BY 1, 2, 3, 4),
+combos AS (SELECT nation AS a, segment AS b, CAST(band AS VARCHAR) AS c, count(*) AS n, 0 AS up FROM people GROUP BY 1, 2, 3
+  UNION ALL SELECT region, segment, CAST((band - 1) // 10 AS VARCHAR), count(*), 1 FROM people GROUP BY 1, 2, 3),
+summed AS (SELECT x.query_id, m.up, sum(n * x.p * y.p * z.p) AS estimate FROM combos m JOIN shares x ON x.col = 'nation' AND x.node = a AND x.up = m.up AND x.p > 0
+  JOIN shares y ON y.col = 'segment' AND y.node = b AND y.up = m.up AND y.query_id = x.query_id AND y.p > 0 JOIN shares z ON z.col = 'band' AND z.node = c AND z.up = m.up AND z.query_id = x.query_id AND z.p > 0 GROUP BY 1, 2),
+exact AS (SELECT query_id, CAST(coalesce(estimate, 0) AS DOUBLE) AS estimate FROM ids LEFT JOIN (FROM summed WHERE up = 0) USING (query_id)),
+guess AS (SELECT query_id, CAST(coalesce(estimate, 0) AS DOUBLE) AS estimate FROM ids LEFT JOIN (FROM summed WHERE up = 1) USING (query_id))"""
+_HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_SCOPED = f"""{PEOPLE_SQL}, wide AS (SELECT *, CAST(CASE WHEN balance >= -1000 AND balance < 10011 THEN least(floor((balance + 1000) / 550.0), 19) END AS BIGINT) AS tier, rid % 10 AS digit FROM people),
+leaves AS (SELECT 'nation' AS col, n_name AS leaf FROM nation UNION ALL SELECT DISTINCT 'segment', c_mktsegment FROM customer UNION ALL SELECT 'band', CAST(v AS VARCHAR) FROM range(1, 101) t(v)
+  UNION ALL SELECT 'tier', CAST(v AS VARCHAR) FROM range(20) t(v) UNION ALL SELECT 'digit', CAST(v AS VARCHAR) FROM range(10) t(v)),
+scopes AS (SELECT 'qid' AS scope, unnest(['nation', 'segment', 'band']) AS col UNION ALL SELECT 'others', unnest(['tier', 'digit']) UNION ALL SELECT 'all', unnest(['nation', 'segment', 'band', 'tier', 'digit'])),
+sizes AS (SELECT col, count(*) AS size FROM leaves GROUP BY 1), widths AS (SELECT scope, count(*) AS width FROM scopes GROUP BY 1),
+drawn AS (SELECT scope, q, col, leaf, size, width, dense_rank() OVER (PARTITION BY scope, q ORDER BY {_HASH.format("q || '|' || col || '|69'")}, col) AS rank,
+  row_number() OVER (PARTITION BY scope, q, col ORDER BY {_HASH.format("q || '|' || col || '|' || leaf || '|69'")}, leaf) AS nth
+  FROM scopes JOIN leaves USING (col) JOIN sizes USING (col) JOIN widths USING (scope), range({N_QUERIES}) t(q)),
+asked AS (SELECT scope, q, col, leaf FROM drawn WHERE rank <= {_HASH.format("q || '|columns|69'")} % width + 1 AND nth <= {_HASH.format("q || '|' || col || '|leaves|69'")} % size + 1),
+uses AS (SELECT DISTINCT scope, q, col FROM asked), many AS (SELECT scope, q, count(*) AS m FROM uses GROUP BY 1, 2),
+nodes AS (SELECT col, leaf AS node, leaf, 0 AS up FROM leaves UNION ALL SELECT 'nation', r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'band', CAST((CAST(leaf AS INT) - 1) // 10 AS VARCHAR), leaf, 1 FROM leaves WHERE col = 'band' UNION ALL SELECT col, leaf, leaf, 1 FROM leaves WHERE col IN ('segment', 'tier', 'digit')),
+shares AS (SELECT u.scope, u.q, n.col, n.node, n.up, count(a.leaf) / count(*) AS p FROM uses u JOIN nodes n ON n.col = u.col
+  LEFT JOIN asked a ON a.scope = u.scope AND a.q = u.q AND a.leaf = n.leaf AND a.col = n.col GROUP BY 1, 2, 3, 4, 5 HAVING count(a.leaf) > 0),
+rows_ AS (SELECT nation, segment, CAST(band AS VARCHAR) AS band, CAST(tier AS VARCHAR) AS tier, CAST(digit AS VARCHAR) AS digit, 0 AS up, count(*) AS n FROM wide GROUP BY ALL
+  UNION ALL SELECT region, segment, CAST((band - 1) // 10 AS VARCHAR), CAST(tier AS VARCHAR), CAST(digit AS VARCHAR), 1, count(*) FROM wide GROUP BY ALL),
+combos AS (SELECT *, row_number() OVER () AS combo FROM rows_),
+cells AS (UNPIVOT (SELECT combo, up, n, nation, segment, band, tier, digit FROM combos) ON nation, segment, band, tier, digit INTO NAME col VALUE node),
+hits AS (SELECT scope, q, up, combo, any_value(n) AS n, count(*) AS h, product(p) AS p FROM cells JOIN shares USING (col, node, up) GROUP BY 1, 2, 3, 4),
+found AS (SELECT scope, q, up, sum(n * p) AS estimate FROM hits JOIN many USING (scope, q) WHERE h = m GROUP BY 1, 2, 3),
+both_ AS (SELECT scope, q AS query_id, round(coalesce(r.estimate, 0), 4)::DOUBLE AS real, round(coalesce(g.estimate, 0), 4)::DOUBLE AS estimate FROM many LEFT JOIN (FROM found WHERE up = 0) r USING (scope, q) LEFT JOIN (FROM found WHERE up = 1) g USING (scope, q))"""
 _WEIGHT = """w AS (SELECT c_custkey AS rid, c_nationkey AS zone, round(100 * (0.05 * (k % 2) + 0.15 * (k % 82) / 81 + 0.2 * CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + 0.15 * (k % 200 + 5) / 226.59
   + 0.15 * (k % 30 + 4.7) / 87.3 + 0.1 * (k % 3) / 2 + 0.2 * (k % 200000) / 242857), 6) AS weight FROM (SELECT *, CAST(c_custkey AS DOUBLE) AS kd, c_custkey AS k FROM customer))"""
 _GEO = """zones AS (SELECT n_nationkey AS zone, CAST(n_nationkey * 3 % 50 + 20 AS DOUBLE) AS lat, CAST(n_nationkey * 7 % 100 - 120 AS DOUBLE) AS lon FROM nation),
@@ -297,6 +359,8 @@ SQL = {
       hits AS (SELECT q, combo, any_value(n) AS n, count(*) AS h FROM cells JOIN asked USING (col, leaf) GROUP BY 1, 2)
       SELECT many.q AS query_id, CAST(coalesce(sum(n), 0) AS DOUBLE) AS estimate FROM many LEFT JOIN hits ON hits.q = many.q AND h = m GROUP BY 1""",
     "query_relative_error": f"WITH {_LEAVES} SELECT round(avg(abs(e.estimate - g.estimate) / e.estimate) FILTER (e.estimate <> 0), 4) AS relative_error FROM exact e JOIN guess g USING (query_id)",
+    "count_queries_scopes": f"WITH {_SCOPED} SELECT scope, query_id, real, estimate FROM both_",
+    "query_relative_error_scopes": f"WITH {_SCOPED} SELECT scope, round(avg(CASE WHEN real <> 0 THEN abs(real - estimate) / real END), 4) AS relative_error, count(*) FILTER (real = 0) AS empty_queries FROM both_ GROUP BY 1",
     "count_predicates": "SELECT i AS query_id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 * i) AS count FROM range(120) t(i)",
     "bucketize": "SELECT CASE WHEN o_totalprice >= 10000 AND o_totalprice < 300290 THEN CAST(least(floor((o_totalprice - 10000) / 7250.0), 39) AS BIGINT) END AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "patient_weight": f"WITH {_WEIGHT} SELECT rid, zone, weight FROM w",
