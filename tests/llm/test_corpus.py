@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -269,30 +270,23 @@ def hash_long(value: int, seed: int) -> int:
     return xxhash.xxh64_intdigest((value & M64).to_bytes(8, "little"), seed & M64)
 
 
-def brute_mark(text: str | None) -> tuple[set, set | None]:
-    """Hashes below a quarter of the range, and the others of a short text."""
+def brute_mark(text: str | None) -> tuple[set, int]:
+    """Hashes below a quarter of the range, and one hash of all words in order."""
     words = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").encode().split()]
-    if not words:
-        return set(), set()
-    grams = [words[k : k + 5] for k in range(len(words) - 4)] or [words]
-    found = []
-    for gram in grams:
-        h = 42
-        for w in gram:
-            h = hash_long(w, h)
-        found.append((h ^ 1 << 63) >> 32)
-    return {x for x in found if x < 1 << 30}, {x for x in found if x >= 1 << 30} if len(grams) <= 32 else None
+    chain = lambda values: functools.reduce(lambda h, w: hash_long(w, h), values, 42)
+    grams = [words[k : k + 5] for k in range(len(words) - 4)] or ([words] if words else [])
+    found = {(chain(g) ^ 1 << 63) >> 32 for g in grams}
+    return {x for x in found if x < 1 << 30}, chain(words)
 
 
 def brute_near(a: tuple, b: tuple) -> float:
-    if a == b == (set(), set()):
+    if a[1] == b[1]:
         return 1.0
-    x, y = (a[0], b[0]) if a[1] is None or b[1] is None else (a[0] | a[1], b[0] | b[1])
-    return len(x & y) / len(x | y) if x and y else 0.0
+    return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] | b[0] else 0.0
 
 
 def brute_print(mark: tuple) -> str:
-    return "".join(f"{x:08X}" for x in sorted(mark[0])) + ("~" + "".join(f"{x:08X}" for x in sorted(mark[1])) if mark[1] else "")
+    return "".join(f"{x:08X}" for x in sorted(mark[0])) + f"~{mark[1]:016X}"
 
 
 def test_sketches(spark):
@@ -315,15 +309,33 @@ def test_sketches_merge_and_hold_no_hash_above_the_threshold(spark):
     out = s.select("i", "a", "b", scaled_sketch.merge(a, b).alias("both"), scaled_sketch.resemblance(a, b).alias("near"), scaled_sketch.containment(a, b).alias("held")).collect()
     for r in out:
         x, y = brute_mark(texts[r["i"]]), brute_mark(texts[(r["i"] * 7 + 3) % len(texts)])
-        assert r["a"]["kept"] == sorted(x[0]) and (r["a"]["rest"] is None) == (x[1] is None) and sorted(x[1] or []) == (r["a"]["rest"] or [])
+        assert r["a"]["kept"] == sorted(x[0]) and r["a"]["whole"] & M64 == x[1]
         # the union's sketch is that of all its shingles
         assert r["both"] == sorted(x[0] | y[0]) and all(v < 1 << 30 for v in r["both"])
         assert r["near"] == pytest.approx(brute_near(x, y))
-        whole = (x[0] | x[1], y[0] | y[1]) if x[1] is not None and y[1] is not None else (x[0], y[0])
-        expected = 1.0 if x == (set(), set()) else len(whole[0] & whole[1]) / len(whole[0]) if whole[0] else None
+        same = x[1] in (y[1], brute_mark("")[1])
+        expected = 1.0 if same else len(x[0] & y[0]) / len(x[0]) if x[0] else None
         assert r["held"] == (None if expected is None else pytest.approx(expected))
 
 
+def test_likeness_has_one_rule_at_every_length(spark):
+    """Texts one word apart in length are compared alike; the error is as stated."""
+    rnd = random.Random(12)
+    words = [str(rnd.randrange(10**6)) for _ in range(4000)]
+    pairs = []
+    for n in (20, 30, 31, 32, 33, 34, 36, 60, 400):
+        for k in range(0, 3000, 61):
+            own = words[k : k + n + 4]
+            pairs.append((n, " ".join(own), " ".join([*own[:-1], "other"])))
+    rows = spark.createDataFrame(pairs, "n int, a string, b string")
+    s = rows.select("n", *[scaled_sketch.sketch(F.col(c)).alias(c) for c in "ab"]).select("n", scaled_sketch.resemblance(F.col("a"), F.col("b")).alias("near"))
+    for r in s.groupBy("n").agg(F.avg("near").alias("mean"), F.stddev("near").alias("spread")).collect():
+        n = r["n"]
+        truth = (n - 1) / (n + 1)
+        error = math.sqrt(truth * (1 - truth) * 4 / (n + 1))
+        assert abs(r["mean"] - truth) < 0.7 * error and r["spread"] < 2 * error
+
+
 def test_sketch_neighbours(spark, monkeypatch):
     monkeypatch.setattr(scaled_sketch, "RANGE_BYTES", 400)
     rnd = random.Random(9)
