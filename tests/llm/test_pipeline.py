@@ -145,3 +145,11 @@ def test_run_of_odd_and_empty_tables(spark, odd, sf, tmp_path):
         assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (got.count() > 0) == (name == "odd")
     assert got.where(F.col("n_tokens") < 0).count() == 0
+
+
+def test_rows_that_share_an_id_may_have_columns_of_any_type(spark, tmp_path):
+    rows = [(7, "one text that two rows with one id hold here", {"a": 1}), (7, "one text that two rows with one id hold here", {"b": 2}), (7, "quite another text under that id", {"a": 1}), (8, "alone with this text of words", None)]
+    rows += [(None, None, {"k": n}) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept)[-3:] == sorted({(r[0], r[1]) for r in rows[:4]})

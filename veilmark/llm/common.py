@@ -85,7 +85,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilmark/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -103,7 +103,9 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder below :func:`shared_dir` when the driver ends."""
+
     def gone() -> None:
         try:
             _remove(spark, path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Table, ragged
-from .common import by_ranges, materialize, ready, shared_dir
+from .common import by_ranges, materialize, ready, remove_at_exit, shared_dir
 
 #: Ends a document (fixed value of the contract).
 END_ID = 1
@@ -293,6 +293,7 @@ def id_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """Write the corpus to the shared folder, read it back and return each document's place and checksum."""
     spark = df.sparkSession
     target = f"{shared_dir(spark)}/veilmark/corpus-{uuid.uuid4().hex}"
+    remove_at_exit(spark, target)
     write_ids(df, target, id_column, text_column, path)
     rows = read_ids(spark, target).select("shard", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     rows = materialize(rows, "crc")
