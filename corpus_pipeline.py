@@ -13,7 +13,7 @@ go along unread, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import bpe, fair_mix, line_crf, minhash, secrets
@@ -42,17 +42,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), "text")
     unclear = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("shared"))
-    named = row.withColumn("key", F.col("id").cast("long"))
+    named, shared = row.withColumn("key", F.col("id").cast("long")), []
     if unclear.limit(1).count():
+        shared = ["found"]
         own = F.xxhash64(F.lit("row"), F.col("id"), F.coalesce("text", F.lit("")), F.col("text").isNull())
         both = row.join(unclear.withColumn("found", F.lit(True)), F.col("id").eqNullSafe(F.col("shared")), "left")
-        named = both.select("row", "id", "text", F.when(F.col("found"), own).otherwise(F.col("id")).alias("key"))
+        named = both.select("row", "id", "text", "found", F.when(F.col("found"), own).otherwise(F.col("id")).alias("key"))
     found = minhash.near_duplicates(named, "key", percent=NEAR_PERCENT).where("kept").select("key").distinct()
-    kept = named.select("row", "key").join(found.hint("shuffle_hash"), "key", "left_semi")
-    if unclear.limit(1).count():
-        # rows with one key have one text
-        first = F.row_number().over(Window.partitionBy("key").orderBy("row"))
-        kept = kept.withColumn("nth", first).where("nth = 1")
+    kept = named.select("row", "key", *shared).join(found.hint("shuffle_hash"), "key", "left_semi")
+    if shared:
+        # of rows with one key, which have one text, the least as JSON stays: any column can be written so; tasks combine them first
+        told = kept.where("found").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.where("found is null").select("row").union(told.select("row"))
     return kept.select("row.*")
 
 
