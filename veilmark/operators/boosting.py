@@ -26,8 +26,8 @@ from .stages import release, staged
 ROUNDS, DEPTH, RATE = 30, 15, 0.2
 #: Least summed second derivative of a node, and of a row.
 MIN_WEIGHT, LEAST = 1.0, 1e-6
-#: Trees of a round that are fitted at a time.
-AT_ONCE = 8
+#: Trees of a round that are fitted at a time, and rows that are worth a task.
+AT_ONCE, TASK_ROWS = 8, 10_000
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,9 @@ def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x
     y = F.col("__label")
     base = train.select(F.col(features).alias("__x"), F.col(label).cast("double").alias("__label")).dropna(subset=["__label"])
     outputs = 1 if classes in (0, 2) else classes
-    mean = base.agg(F.avg("__label")).first()[0] if classes in (0, 2) else None
+    n, mean = base.agg(F.count(F.lit(1)), F.avg("__label")).first()
+    mean = mean if classes in (0, 2) else None
+    base = base.coalesce(max(1, -(-n // TASK_ROWS)))  # a level of a tree is a job: few rows need few tasks
     if classes == 0:
         start = [mean or 0.0]
     elif classes == 2:

@@ -130,6 +130,14 @@ def precision(vector: Mapping[str, int], hierarchies: Mapping[str, Hierarchy]) -
     return 1 - sum(level / (hierarchies[a].depth - 1) for a, level in vector.items()) / len(vector)
 
 
+def table_precision(classes: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int) -> DataFrame:
+    """``(node, precision)`` of the released rows: one less the mean share of levels climbed, which a suppressed row climbs all."""
+    climbed = F.aggregate(
+        F.zip_with(F.split("node", "_"), F.array(*[F.lit(hierarchies[a].depth - 1) for a in qid]), lambda level, top: level.cast("int") / top), F.lit(0.0), lambda t, x: t + x
+    ) / len(qid)
+    return classes.groupBy("node").agg((1 - F.sum(F.col("n") * F.when(F.col("n") < k, 1.0).otherwise(climbed)) / F.sum("n")).alias("precision"))
+
+
 def nonuniform_entropy(df: DataFrame, hierarchies: Mapping[str, Hierarchy], vector: Mapping[str, int]) -> DataFrame:
     """``(attribute, entropy)``: sum over rows of ``-log2(n(leaf) / n(node))``."""
     parts = None

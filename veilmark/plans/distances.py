@@ -124,7 +124,7 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribute_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return P.attribute_kinds(parts(spark, d), ("size", "price"), ("brand", "type", "grp"), 20)
+    return P.attribute_kinds(parts(spark, d), ("size", "price"), ("brand", "type", "grp"))
 
 
 def record_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -317,8 +317,8 @@ SQL = {
     "distance_matrix": f"""WITH {PARTS_SQL}, c AS (SELECT type, row_number() OVER (ORDER BY type) AS i FROM (SELECT DISTINCT type FROM parts)),
       x AS (SELECT rid, i FROM parts JOIN c USING (type)) SELECT q.rid, round(sum(abs(q.i - y.i) / 5), 6) AS total FROM x q, x y GROUP BY 1""",
     "attribute_kinds": f"""WITH {PARTS_SQL} SELECT 'size' AS attribute, 'number' AS kind UNION ALL SELECT 'price', 'number' UNION ALL
-      SELECT 'brand', CASE WHEN count(DISTINCT brand) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL
-      SELECT 'type', CASE WHEN count(DISTINCT type) > 20 THEN 'other' ELSE 'category' END FROM parts UNION ALL SELECT 'grp', CASE WHEN count(DISTINCT grp) > 20 THEN 'other' ELSE 'category' END FROM parts""",
+      SELECT 'brand', CASE WHEN count(DISTINCT brand) > 200 THEN 'other' ELSE 'category' END FROM parts UNION ALL
+      SELECT 'type', CASE WHEN count(DISTINCT type) > 200 THEN 'other' ELSE 'category' END FROM parts UNION ALL SELECT 'grp', CASE WHEN count(DISTINCT grp) > 200 THEN 'other' ELSE 'category' END FROM parts""",
     "record_distance": _summary_sql(_ALL),
     "distance_dispatch": f"""WITH {PARTS_SQL}, t AS (SELECT type, row_number() OVER (ORDER BY type) AS i FROM (SELECT DISTINCT type FROM parts)),
       w AS (SELECT max(floor(price / 10) * 10) - min(floor(price / 10) * 10) AS width FROM parts),

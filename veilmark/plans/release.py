@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.ranges import half_open_midpoint, midpoint, parse_range
 from veilmark.operators import generalize as G
 from veilmark.operators import hierarchy as H
-from veilmark.operators import prep
+from veilmark.operators import prep, search
 from veilmark.sources.tables import table
 
 from .frames import GENERAL_SQL, K, LATTICE_SQL, PEOPLE, PEOPLE_SQL, VECTOR, interval_sql, people, people_hierarchies
@@ -42,7 +42,14 @@ def hierarchy_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hierarchy_parents(spark: SparkSession, d: str) -> DataFrame:
-    return H.parents(people_hierarchies(spark, d)["band"])
+    """Parents of all nodes above the values that people have, and how many people lie below each."""
+    rows, out = people(spark, d), None
+    for a, h in people_hierarchies(spark, d).items():
+        held = rows.groupBy(F.col(a).cast("string").alias("leaf")).agg(F.count("*").alias("n"))
+        each = H.leaf_nodes(h).join(held, "leaf").groupBy("attribute", "level", "node").agg(F.sum("n").alias("people"))
+        one = each.join(H.parents(h), ["level", "node"]).select("attribute", "level", "node", "parent", "people")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _mixed_quantity(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +66,7 @@ def parse_generalized_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def range_midpoint(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed_quantity(spark, d).where("value not rlike '^[0-9]+[*]'").select("value", midpoint(F.col("value"), 1, 50).alias("middle"), half_open_midpoint(F.col("value"), 42).cast("long").alias("whole"))
+    return _mixed_quantity(spark, d).select("value", midpoint(F.col("value"), 1, 50).alias("middle"), half_open_midpoint(F.col("value"), 42).cast("long").alias("whole"))
 
 
 def _with_nulls(spark: SparkSession, d: str) -> DataFrame:
@@ -137,6 +144,12 @@ def lattice_optimum(spark: SparkSession, d: str) -> DataFrame:
     return granularity_loss(spark, d).orderBy("loss", "node").limit(1)
 
 
+def lattice_search(spark: SparkSession, d: str) -> DataFrame:
+    """The optimum again, by bounds instead of a sweep."""
+    found = search.best_node(people(spark, d), people_hierarchies(spark, d), QID, K)
+    return spark.createDataFrame([("_".join(str(found.vector[a]) for a in QID), round(found.loss, 6))], "node string, loss double")
+
+
 def lattice_selected(spark: SparkSession, d: str) -> DataFrame:
     """Nodes worth publishing: not wholly suppressed, and the first that is."""
     return G.chosen_nodes(lattice_sweep(spark, d)).select("node", "n_suppressed")
@@ -169,9 +182,9 @@ def discernibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def precision(spark: SparkSession, d: str) -> DataFrame:
+    """Sweeney's precision of every node's release, with its suppressed rows."""
     h = people_hierarchies(spark, d)
-    rows = [("_".join(str(v[a]) for a in QID), round(G.precision(v, h), 6)) for v in G.lattice(h, QID)]
-    return spark.createDataFrame(rows, "node string, precision double")
+    return G.table_precision(_classes(spark, d, h=h), h, QID, K).select("node", _r("precision").alias("precision"))
 
 
 def nonuniform_entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +226,7 @@ QUERIES = {
     for f in (
         hierarchy_interval, hierarchy_redaction, hierarchy_order, hierarchy_leaf_counts, hierarchy_parents, parse_generalized_range, range_midpoint,
         impute_mode_by_group, impute_mean_by_group, crosstab_normalized, round_to_tens, split_holdout, sample_rows, integral_columns, sample_to_original_domain,
-        generalize_vector, k_anonymity_suppress, k_anonymity_stats, lattice_sweep, granularity_loss, lattice_optimum, lattice_selected, lattice_profile, granularity_loss_balanced, split_exact, class_size_histogram,
+        generalize_vector, k_anonymity_suppress, k_anonymity_stats, lattice_sweep, granularity_loss, lattice_optimum, lattice_search, lattice_selected, lattice_profile, granularity_loss_balanced, split_exact, class_size_histogram,
         discernibility, precision, nonuniform_entropy, ambiguity, record_squared_error, classification_metric, generalize_holdout, drop_suppressed,
     )
 }
@@ -262,11 +275,11 @@ SQL = {
       SELECT 'nation' AS attribute, node, max(i)::INT AS level, arg_max(c, i) AS n_leaves FROM nsize GROUP BY 2
       UNION ALL SELECT 'segment', node, max(j)::INT, arg_max(c, j) FROM ssize GROUP BY 2
       UNION ALL SELECT 'band', node, max(k)::INT, arg_max(c, k) FROM bsize GROUP BY 2""",
-    "hierarchy_parents": f"""WITH b AS (SELECT [CAST(v AS VARCHAR), {", ".join(interval_sql("v", w) for w in (5, 10, 20, 40))}, '*'] AS c FROM range(1, 101) t(v))
-      SELECT DISTINCT CAST(i AS INT) AS level, c[i + 1] AS node, c[i + 2] AS parent FROM b, range(5) s(i)""",
+    "hierarchy_parents": f"""WITH {PEOPLE_SQL}, b AS (SELECT unnest(['nation', 'segment', 'band']) AS attribute, unnest([[nation, region, '*'], [segment, '*'], [CAST(band AS VARCHAR), {", ".join(interval_sql("band", w) for w in (5, 10, 20, 40))}, '*']]) AS c FROM people)
+      SELECT attribute, CAST(i AS INT) AS level, c[i + 1] AS node, c[i + 2] AS parent, count(*) AS people FROM b, range(5) s(i) WHERE i + 2 <= len(c) GROUP BY 1, 2, 3, 4""",
     "parse_generalized_range": f"WITH {_MIXED} SELECT value, n, lo, hi FROM parsed",
     "range_midpoint": f"""WITH {_MIXED} SELECT value, (lo + hi) / 2 AS middle,
-      CASE WHEN value = '*' THEN 42 WHEN value LIKE '[%' THEN CAST(floor((lo + hi + 1) / 2) AS BIGINT) ELSE CAST(lo AS BIGINT) END AS whole FROM parsed WHERE NOT regexp_matches(value, '^[0-9]+[*]')""",
+      CASE WHEN value = '*' THEN 42 WHEN value LIKE '[%' THEN CAST(floor((lo + hi + 1) / 2) AS BIGINT) WHEN value NOT LIKE '%*' THEN CAST(lo AS BIGINT) END AS whole FROM parsed""",
     "impute_mode_by_group": f"""WITH {_NULLS}, best AS (SELECT nation, segment FROM (SELECT nation, segment, row_number() OVER (PARTITION BY nation ORDER BY count(*) DESC, segment) AS k
       FROM holes WHERE segment IS NOT NULL GROUP BY 1, 2) WHERE k = 1)
       SELECT rid, holes.nation, coalesce(holes.segment, best.segment) AS segment FROM holes LEFT JOIN best USING (nation)""",
@@ -287,6 +300,7 @@ SQL = {
     "lattice_sweep": f"WITH {LATTICE_SQL} {_STATS} GROUP BY node",
     "granularity_loss": f"WITH {LATTICE_SQL}, {_SIZES} {_LOSS}",
     "lattice_optimum": f"WITH {LATTICE_SQL}, {_SIZES} SELECT * FROM ({_LOSS}) ORDER BY loss, node LIMIT 1",
+    "lattice_search": f"WITH {LATTICE_SQL}, {_SIZES} SELECT node, round(loss, 6) AS loss FROM ({_LOSS}) ORDER BY loss, node LIMIT 1",
     "lattice_selected": f"WITH {LATTICE_SQL}, st AS ({_STATS} GROUP BY node) SELECT node, n_suppressed FROM st WHERE n_suppressed < n_rows OR node = (SELECT min(node) FROM st WHERE n_suppressed = n_rows)",
     "lattice_profile": f"""WITH {LATTICE_SQL}, {_SIZES}, st AS ({_STATS} GROUP BY node), lo AS ({_LOSS}), am AS (SELECT node, sum(n * cn * cs * cb) / sum(n) AS ambiguity FROM sized GROUP BY 1),
       bl AS (SELECT k, band, c[k + 1] AS node, count(*) AS n FROM (SELECT people.band, c FROM people JOIN wide USING (rid)), range(6) s(k) GROUP BY 1, 2, 3),
@@ -303,7 +317,7 @@ SQL = {
     "split_exact": """SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY CAST('0x' || substr(md5(c_custkey || '|1'), 1, 8) AS BIGINT), c_custkey) <= round_even(0.8 * (SELECT count(*) FROM customer), 0) THEN 'train' ELSE 'holdout' END AS part FROM customer""",
     "class_size_histogram": f"WITH {LATTICE_SQL} SELECT n AS size, count(*) AS classes FROM classes WHERE node = '1_0_2' GROUP BY 1",
     "discernibility": f"WITH {LATTICE_SQL} SELECT node, discernibility FROM ({_STATS} GROUP BY node)",
-    "precision": "SELECT i || '_' || j || '_' || k AS node, round(1 - (i / 2 + j / 1 + k / 5) / 3, 6) AS precision FROM range(3) a(i), range(2) b(j), range(6) c(k)",
+    "precision": f"WITH {LATTICE_SQL} SELECT node, round(1 - sum(n * CASE WHEN n < {K} THEN 1 ELSE (i / 2 + j / 1 + k / 5) / 3 END) / sum(n), 6) AS precision FROM classes GROUP BY node",
     "nonuniform_entropy": f"""WITH {PEOPLE_SQL}, x AS (SELECT 'nation' AS attribute, nation AS leaf, region AS node FROM people UNION ALL SELECT 'segment', segment, segment FROM people
       UNION ALL SELECT 'band', CAST(band AS VARCHAR), {interval_sql("band", 10)} FROM people),
       y AS (SELECT attribute, node, leaf, count(*) AS c FROM x GROUP BY 1, 2, 3), z AS (SELECT *, sum(c) OVER (PARTITION BY attribute, node) AS t FROM y)

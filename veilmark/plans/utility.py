@@ -280,13 +280,16 @@ def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
     held = _classes(rows.where("rid % 5 = 0"))
     g = G.suppress(G.generalize(_classes(rows.where("rid % 5 <> 0")), h, vector), qid, 5).where("not suppressed")
     modes = {"generalize": (g, G.generalize_like(held, g, h, vector, qid)), "sample": (G.sample_to_original(g, h, ["nation"], "rid", 3), held)}
-    out = None
-    for mode, (train, test) in modes.items():
-        for target in ("binary", "three"):
-            one = scores.classification_report(M.fit_predict(train, test, target, [], qid, False), target, "guess")
-            one = one.select(F.lit(mode).alias("mode"), F.lit(target).alias("target"), *one.columns)
-            out = one if out is None else out.unionByName(one)
-    return out
+
+    def one(case: tuple[str, str]) -> DataFrame:
+        mode, target = case
+        report = scores.classification_report(M.fit_predict(*modes[mode], target, [], qid, False), target, "guess")
+        return report.select(F.lit(mode).alias("mode"), F.lit(target).alias("target"), *report.columns)
+
+    first, *others = M.side_by_side(one, [(mode, target) for mode in modes for target in ("binary", "three")])
+    for other in others:
+        first = first.unionByName(other)
+    return first
 
 
 QUERIES = {
