@@ -119,7 +119,7 @@ def _within_bound(q: DataFrame, c: DataFrame, distance: Column, k: int, apart: C
 
 
 def _combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def _spread(df: DataFrame, keys: Sequence[str], found: DataFrame, row_id: str) -> DataFrame:
@@ -168,13 +168,13 @@ def nearest_other(df: DataFrame, distance: Column | Metric, keys: Sequence[str]
     c = _combinations(df, keys)
     if pruned:
         # a combination that repeats is at distance 0 already
-        single = _renamed(c.where("n = 1").drop("n"), "q")
-        p = near_pairs(single, _renamed(c.drop("n"), "c"), distance, 1, ~_all(_same(keys, "c_")))
+        single = _renamed(c.where("__n = 1").drop("__n"), "q")
+        p = near_pairs(single, _renamed(c.drop("__n"), "c"), distance, 1, ~_all(_same(keys, "c_")))
     else:
-        p = pairs(c, c.drop("n")).where(~_all(_same(keys, "c_"))).withColumn("dist", distance)
+        p = pairs(c, c.drop("__n")).where(~_all(_same(keys, "c_"))).withColumn("dist", distance)
     other = p.groupBy(*[f"q_{k}" for k in keys]).agg(_rounded(F.min("dist"), digits).alias("dist"))
-    single = c.select(*[F.col(k).alias(f"c_{k}") for k in keys], "n").join(other, _same(keys, "c_"), "left")
-    found = single.select(*[F.col(f"c_{k}").alias(f"q_{k}") for k in keys], F.when(F.col("n") > 1, 0.0).otherwise(F.col("dist")).alias("dist")).where("dist is not null")
+    single = c.select(*[F.col(k).alias(f"c_{k}") for k in keys], "__n").join(other, _same(keys, "c_"), "left")
+    found = single.select(*[F.col(f"c_{k}").alias(f"q_{k}") for k in keys], F.when(F.col("__n") > 1, 0.0).otherwise(F.col("dist")).alias("dist")).where("dist is not null")
     return _spread(df, keys, found, row_id)
 
 

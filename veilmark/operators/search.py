@@ -1,9 +1,10 @@
 """The best node of the lattice without a look at all of them.
 
-Two facts cut the search. A row never loses less when an attribute climbs, so
-a node's mean share of leaves, which value counts alone tell, bounds every node
-from below. And a row that is suppressed at a node is suppressed at every node
-below it, so each node that was looked at raises the bounds of those. A round
+Two facts cut the search. A row never loses less when an attribute climbs, and
+a node's mean and greatest shares of leaves follow from value counts alone: they
+bound its loss from below. And a row that is suppressed at a node is suppressed
+at every node below it, where it loses at least the difference to the greatest
+share more: each node that was looked at raises the bounds of those. A round
 looks at some nodes in the middle of what is left: a good one cuts what lies
 above, one with much suppression what lies below. The classes of a node are
 summed up from those of the smallest finished node below it.
@@ -54,11 +55,20 @@ def _climbing(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequ
     return out.select("n", *[f"up_{i}" for i in range(len(qid))])
 
 
-def _shares(base: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str]) -> list[list[float]]:
-    """Mean share of every level of every attribute, from one pass."""
-    total = F.sum("n")
-    row = base.agg(*[F.coalesce(F.sum(F.col(f"up_{i}")[level]["share"] * F.col("n")) / total, F.lit(0.0)).alias(f"{i}_{level}") for i, a in enumerate(qid) for level in range(hierarchies[a].depth)]).first()
-    return [[row[f"{i}_{level}"] for level in range(hierarchies[a].depth)] for i, a in enumerate(qid)]
+def _shares(base: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str]) -> list[list[tuple[float, float]]]:
+    """Mean and greatest share of every level of every attribute, from one pass."""
+    total, each = F.sum("n"), []
+    for i, a in enumerate(qid):
+        for level in range(hierarchies[a].depth):
+            share = F.col(f"up_{i}")[level]["share"]
+            each += [F.coalesce(F.sum(share * F.col("n")) / total, F.lit(0.0)), F.coalesce(F.max(share), F.lit(0.0))]
+    row = list(base.agg(*[c.alias(f"s{i}") for i, c in enumerate(each)]).first())
+    out, at = [], 0
+    for a in qid:
+        depth = hierarchies[a].depth
+        out.append([(row[at + 2 * level], row[at + 2 * level + 1]) for level in range(depth)])
+        at += 2 * depth
+    return out
 
 
 def best_node(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int, balance: float = 0.5, batch: int | None = None) -> Found:
@@ -74,9 +84,15 @@ def best_node(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence
     base = staged(_climbing(distinct_combinations(df, qid), hierarchies, qid).withColumn("node", F.lit(-1)), "lattice")
     levels = np.array(list(product(*[range(d) for d in depths])))
     names = ["_".join(map(str, v)) for v in levels.tolist()]
-    share = sum(np.array(s)[levels[:, i]] for i, s in enumerate(_shares(base, hierarchies, qid))) / len(qid)
-    least = min(hidden, shown)
-    bound = least * share
+    share, most = (sum(np.array(s)[levels[:, i]] for i, s in enumerate(_shares(base, hierarchies, qid))) / len(qid)).T
+    # what a suppressed row adds at least to the loss that it would have if it stayed
+    more = hidden - shown * most
+
+    def least(lost: float, at: np.ndarray | slice) -> np.ndarray:
+        """No node loses less of which this share of the rows is suppressed at least."""
+        return shown * share[at] + np.where(more[at] >= 0, lost * more[at], more[at])
+
+    bound = np.maximum(min(hidden, shown) * share, least(0.0, slice(None)))
     size, rows = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not rows:
         return Found(dict.fromkeys(qid, 0), 0.0, 0, 0, len(levels))
@@ -119,8 +135,7 @@ def best_node(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence
             open_[v], lost[v], done[v] = False, r["lost"], (r["size"], classes_)
             if r["loss"] < best - ROOM or (r["loss"] <= best + ROOM and (best_at < 0 or names[v] < names[best_at])):
                 best, best_at = min(best, r["loss"]), v
-            s = r["lost"] / rows
-            below = open_ & (levels <= levels[v]).all(axis=1)
-            bound[below] = np.maximum(bound[below], hidden * s + least * np.maximum(0.0, share[below] - s))
+            below = np.flatnonzero(open_ & (levels <= levels[v]).all(axis=1))
+            bound[below] = np.maximum(bound[below], least(r["lost"] / rows, below))
     release(*tables)
     return Found(dict(zip(qid, levels[best_at].tolist())), best, lost[best_at], len(done) - 1, len(levels))

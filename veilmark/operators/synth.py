@@ -1,4 +1,4 @@
-"""Synthetic tables: independent marginals, and a tree of conditional distributions.
+"""Synthetic tables: independent marginals, trees and networks of conditional distributions, and correlated numbers.
 
 Draws are inverse-distribution look-ups with seeded hashes, so a rerun gives
 the same table. The look-up is an equality join: [0, 2**32) is cut into slots,
@@ -10,14 +10,17 @@ more slots. Deep generators are not part of this engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.draws import SCALE, seeded
+from veilmark.functions.normal import distribution, quantile
 
 from .generalize import BROADCAST_LEAVES, small
+from .stages import staged
 
 #: Slots shared out among the distributions of a column by their rows, beside one a value.
 SLOTS = 1024
@@ -55,19 +58,51 @@ def _slot(u: Column) -> Column:
     return F.shiftright(u * F.col("slots"), 32)
 
 
-def _drawn(out: DataFrame, df: DataFrame, column: str, parent: str | None, seed: int) -> DataFrame:
-    """``out`` with ``column`` drawn from its distribution in ``df``, given the value of ``parent``; null where there is none."""
-    shares = _shares(df, [parent] if parent else [], column).where("lo < end").persist()
-    keys = [F.lit(0) if parent is None else F.col(parent)]
+def _entered(shares: DataFrame, key: Column) -> DataFrame:
+    """``(key, value, lo, end, slots, slot)``: every value in each slot that its share touches."""
     touched = F.explode(F.sequence(_slot(F.col("lo")), _slot(F.col("end") - 1))).alias("slot")
-    look = small(shares.select(keys[0].alias("key"), F.col("value"), "lo", "end", touched), BROADCAST_LEAVES)
-    sizes = small(shares.select(keys[0].alias("key"), "slots").distinct(), BROADCAST_LEAVES)
-    drawn = out.select(F.struct(*out.columns).alias("row"), keys[0].alias("of"), seeded(F.col("rid"), column, seed).alias("u"))
-    drawn = drawn.join(sizes, drawn["of"] == sizes["key"], "left").drop("key").withColumn("at", _slot(F.col("u")))
+    return shares.where("lo < end").select(key.alias("key"), "value", "lo", "end", "slots", touched)
+
+
+def _found(drawn: DataFrame, entered: DataFrame, column: str) -> DataFrame:
+    """``row.*`` and the value of each row's draw ``u`` in the distribution ``of``, whose slots are ``slots``; null where there is none."""
+    look = small(entered.drop("slots"), BROADCAST_LEAVES)
+    drawn = drawn.withColumn("at", _slot(F.col("u")))
     found = drawn.join(look, (drawn["of"] == look["key"]) & (drawn["at"] == look["slot"]) & (drawn["u"] >= look["lo"]) & (drawn["u"] < look["end"]), "left")
     return found.select("row.*", F.col("value").alias(column))
 
 
+def _drawn(out: DataFrame, df: DataFrame, column: str, parent: str | None, seed: int) -> DataFrame:
+    """``out`` with ``column`` drawn from its distribution in ``df``, given the value of ``parent``; null where there is none."""
+    key = F.lit(0) if parent is None else F.col(parent)
+    entered = staged(_entered(_shares(df, [parent] if parent else [], column), key), "shares")
+    sizes = small(entered.select("key", "slots").distinct(), BROADCAST_LEAVES)
+    drawn = out.select(F.struct(*out.columns).alias("row"), key.alias("of"), seeded(F.col("rid"), column, seed).alias("u"))
+    return _found(drawn.join(sizes, drawn["of"] == sizes["key"], "left").drop("key"), entered, column)
+
+
+def _drawn_given(out: DataFrame, df: DataFrame, column: str, parents: Sequence[str], seed: int) -> DataFrame:
+    """``out`` with ``column`` drawn given all of ``parents``.
+
+    A combination of parents that ``df`` does not hold backs off to the
+    parents without the last one, and so on to the column alone.
+    """
+    key = lambda j: F.array(F.lit(str(j)), *[F.coalesce(F.col(p).cast("string"), F.lit("\0")) for p in parents[:j]])
+    entered = None
+    for j in range(len(parents) + 1):
+        own = _entered(_shares(df, list(parents[:j]), column), key(j))
+        entered = own if entered is None else entered.unionByName(own)
+    entered = staged(entered, "shares")
+    sizes = small(entered.select("key", "slots").distinct(), BROADCAST_LEAVES)
+    drawn = out.select(F.struct(*out.columns).alias("row"), seeded(F.col("rid"), column, seed).alias("u"), *[key(j).alias(f"of_{j}") for j in range(len(parents) + 1)])
+    for j in range(len(parents), -1, -1):
+        level = sizes.select(F.col("key").alias(f"key_{j}"), F.col("slots").alias(f"slots_{j}"))
+        drawn = drawn.join(level, drawn[f"of_{j}"] == level[f"key_{j}"], "left")
+    deepest = range(len(parents), -1, -1)
+    of = F.coalesce(*[F.when(F.col(f"slots_{j}").isNotNull(), F.col(f"of_{j}")) for j in deepest])
+    return _found(drawn.select("row", "u", of.alias("of"), F.coalesce(*[F.col(f"slots_{j}") for j in deepest]).alias("slots")), entered, column)
+
+
 def marginals(spark: SparkSession, df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
     """``n`` rows whose columns follow the observed distributions, independently.
 
@@ -85,12 +120,89 @@ def tree(spark: SparkSession, df: DataFrame, parents: dict[str, str | None], n:
     return post(out) if post else out
 
 
+def network(spark: SparkSession, df: DataFrame, parents: Mapping[str, Sequence[str]], n: int, seed: int = 0, post: Hook | None = None) -> DataFrame:
+    """``n`` rows drawn along a directed network: each column given all its parents, ancestors first.
+
+    The order of a column's parents is that in which they back off, the last
+    one first; ``post`` as for :func:`marginals`.
+    """
+    out = spark.range(n).withColumnRenamed("id", "rid")
+    for c in ancestors_first(parents):
+        out = _drawn_given(out, df, c, list(parents[c]), seed)
+    out = out.select("rid", *parents)
+    return post(out) if post else out
+
+
+def ancestors_first(parents: Mapping[str, Sequence[str]]) -> list[str]:
+    """The columns in an order that puts parents before children."""
+    order: list[str] = []
+    while len(order) < len(parents):
+        free = [c for c, up in parents.items() if c not in order and set(up) <= set(order)]
+        if not free:
+            raise ValueError(f"a cycle, or a parent that is no column, among {sorted(set(parents) - set(order))}")
+        order += free
+    return order
+
+
+def numbers(spark: SparkSession, df: DataFrame, columns: Sequence[str], n: int, seed: int = 0, by: str | None = None, post: Hook | None = None) -> DataFrame:
+    """``n`` rows of numbers with the observed distributions and rank correlations (a Gaussian copula).
+
+    Each value has a normal score by its rank (ties share the middle); the
+    scores' correlations, from one aggregate, shape seeded normal draws, and a
+    draw's probability is looked up among the observed values, so whole numbers
+    stay whole. With ``by``, a category that is drawn first, distributions and
+    scores are those inside its values. A column without values is null;
+    ``post`` as for :func:`marginals`.
+    """
+    keys = [by] if by else []
+    key = F.col(by) if by else F.lit(0)
+    out = spark.range(n).withColumnRenamed("id", "rid")
+    if by:
+        out = _drawn(out, df, by, None, seed)
+    shares, scored = {}, df.select(*keys, *columns)
+    for c in columns:
+        shares[c] = staged(_shares(df, keys, c), "shares")
+        score = quantile((F.col("lo") + F.col("end")) / F.lit(2.0 * SCALE))
+        table = shares[c].where("lo < end").select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("value").alias("__v"), score.alias(f"__z_{c}"))
+        same = (scored[c] == table["__v"]) if not by else (scored[c] == table["__v"]) & scored[by].eqNullSafe(table[f"__k_{by}"])
+        scored = scored.join(small(table, BROADCAST_LEAVES), same, "left").drop("__v", *[f"__k_{k}" for k in keys])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+
+    def correlation(a: Column, b: Column) -> Column:
+        spread = [F.var_pop(F.when(y.isNotNull(), x)) for x, y in ((a, b), (b, a))]
+        return F.covar_pop(a, b) / F.nullif(F.sqrt(spread[0] * spread[1]), F.lit(0.0))  # null where a column is constant
+
+    row = scored.agg(F.lit(0), *[correlation(F.col(f"__z_{columns[i]}"), F.col(f"__z_{columns[j]}")) for i, j in pairs]).first()
+    matrix = np.eye(len(columns))
+    for (i, j), r in zip(pairs, row[1:]):
+        matrix[i, j] = matrix[j, i] = 0.0 if r is None or r != r else r
+    # the nearest matrix that is positive definite, where rounding or missing pairs left none
+    values, vectors = np.linalg.eigh(matrix)
+    matrix = vectors @ np.diag(np.maximum(values, 1e-9)) @ vectors.T
+    shape = np.linalg.cholesky(matrix / np.sqrt(np.outer(np.diag(matrix), np.diag(matrix))))
+    normal = {c: quantile((seeded(F.col("rid"), f"normal {c}", seed) + 0.5) / F.lit(float(SCALE))).alias(f"__g_{c}") for c in columns}
+    out = out.select("*", *normal.values())
+    for i, c in enumerate(columns):
+        z = sum((F.lit(float(shape[i, j])) * F.col(f"__g_{columns[j]}") for j in range(i + 1)), F.lit(0.0))
+        u = F.least(F.floor(distribution(z) * SCALE), F.lit(SCALE - 1)).cast("long")
+        entered = staged(_entered(shares[c], key), "shares")
+        sizes = small(entered.select("key", "slots").distinct(), BROADCAST_LEAVES)
+        drawn = out.select(F.struct(*out.columns).alias("row"), key.alias("of"), u.alias("u"))
+        out = _found(drawn.join(sizes, drawn["of"] == sizes["key"], "left").drop("key"), entered, c)
+    out = out.select("rid", *keys, *columns)
+    return post(out) if post else out
+
+
 def mutual_information(df: DataFrame, a: str, b: str) -> float:
-    """Mutual information of two columns in nats, from their contingency table."""
+    """Mutual information of two columns in nats: their joint entropy less from the sum of their own, by aggregates of counts alone."""
     joint = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.partitionBy()
-    m = joint.select("__c", F.sum("__c").over(Window.partitionBy(a)).alias("__x"), F.sum("__c").over(Window.partitionBy(b)).alias("__y"), F.sum("__c").over(whole).alias("__n"))
-    return m.agg(F.sum(F.col("__c") / F.col("__n") * F.ln(F.col("__c") * F.col("__n") / (F.col("__x") * F.col("__y"))))).first()[0] or 0.0
+    parts = [(joint, -1.0), *[(joint.groupBy(c).agg(F.sum("__c").alias("__c")), 1.0) for c in (a, b)]]
+    total, n = 0.0, 0
+    for counts, sign in parts:
+        row = counts.agg(F.sum("__c"), F.sum(F.col("__c") * F.ln("__c"))).first()
+        n = row[0] or 0
+        total += sign * (0.0 if not n else float(np.log(n)) - row[1] / n)
+    return total
 
 
 def dependency_tree(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:

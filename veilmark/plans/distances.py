@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.ranges import interval_text, parse_range
 from veilmark.operators import distance as D
+from veilmark.operators import evaluate as E
 from veilmark.operators import knn, prep
 from veilmark.operators import privacy as P
 from veilmark.operators.dispatch import Distances, domains
@@ -148,6 +149,18 @@ def distance_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return _summary(how.attach(query), how.attach(cand), distance, list(PARTS.columns))
 
 
+def release_report(spark: SparkSession, d: str) -> DataFrame:
+    """Two releases, the original itself and a moved one, measured for both targets and scopes; distances follow from the specification."""
+    df = parts(spark, d)
+    groups = {"brand": order_hierarchy(df, "brand", F.concat(F.lit("group "), F.floor(F.regexp_extract("brand", r"(\d+)$", 1).cast("int") / F.lit(10)).cast("string")))}
+    judge = E.Judge({"o": original(df), "h": holdout(df)}, Distances(PARTS, domains(df, PARTS), groups))
+    report = E.evaluate(spark, "parts", {"train": original(df), "moved": release(df)}, judge.metrics)
+    failed = report.status.where("failed > 0").collect()
+    if failed:
+        raise RuntimeError("; ".join(r["error"] for r in failed))
+    return report.results.withColumn("value", _r("value", 6))
+
+
 QID = ["size", "brand", "grp", "type"]
 
 
@@ -269,7 +282,7 @@ QUERIES = {
     for f in (
         distance_numeric, distance_numeric_generalized, distance_numeric_ranges, distance_categorical_edge, distance_categorical_generalized, distance_nodes, distance_matrix, distance_dispatch, attribute_kinds, record_distance,
         knn_top5_qid, knn_top5_all, knn_self_second, knn_self_top3, nn_both_ways, nn_distance_summary, close_value_ratio, similarity_ratio, nn_accuracy, nn_identity,
-        aia_nearest_1, aia_nearest_5, aia_range_overlap, aia_category, entropy_weights, numeric_domains, value_codes,
+        release_report, aia_nearest_1, aia_nearest_5, aia_range_overlap, aia_category, entropy_weights, numeric_domains, value_codes,
     )
 }
 
@@ -301,7 +314,28 @@ def _aia_sql(k: int) -> str:
   f AS (SELECT *, greatest(0, price - s1) AS a1, price + s1 AS b1, greatest(0, guess - s2) AS a2, guess + s2 AS b2 FROM e)"""
 
 
+_SUMMARY = ("mean", "median", "min", "max", "mean_1090", "median_1090", "min_1090", "max_1090")
+
+
+def _report_sql() -> str:
+    near = lambda name, q, c, tag, where="": f"{name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{s}' AS scope, {tag}, q.rid, min({e}) AS d FROM {q} q, {c} c{where} GROUP BY ALL" for s, e in (("qid", QID_SQL), ("all", f"round({_ALL}, 9)"))) + ")"
+    inner = "FILTER (d BETWEEN lo AND hi)"
+    return f"""WITH {PARTS_SQL}, x AS (SELECT 'o' AS t, * FROM o UNION ALL SELECT 'h', * FROM h), y AS (SELECT 'train' AS r, * FROM o UNION ALL SELECT 'moved', * FROM p),
+  {near("tp", "x", "y", "t, r")}, {near("pt", "y", "x", "t, r")}, {near("tt", "x", "x", "q.t", " WHERE q.t = c.t AND q.rid <> c.rid")}, {near("pp", "y", "y", "q.r", " WHERE q.r = c.r AND q.rid <> c.rid")},
+  b AS (SELECT scope, t, r, round(quantile_cont(d, 0.1), 9) AS lo, round(quantile_cont(d, 0.9), 9) AS hi FROM tp GROUP BY ALL),
+  w AS (SELECT scope, t, r, avg(d) AS mean, quantile_cont(d, 0.5) AS median, min(d) AS min, max(d) AS max, avg(d) {inner} AS mean_1090, quantile_cont(d, 0.5) {inner} AS median_1090, min(d) {inner} AS min_1090, max(d) {inner} AS max_1090
+    FROM tp JOIN b USING (scope, t, r) GROUP BY ALL),
+  f AS (SELECT scope, t, r, 'nn_distance' AS metric, attribute, value FROM (UNPIVOT w ON {", ".join(_SUMMARY)} INTO NAME attribute VALUE value)
+    UNION ALL SELECT scope, t, r, 'close_value_ratio', CAST(k AS VARCHAR), avg((d < k)::INT) FROM tp, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS k) GROUP BY ALL
+    UNION ALL SELECT scope, t, r, 'close_value_ratio', CAST(k AS VARCHAR) || '_1090', avg((d < k)::INT) {inner} FROM tp JOIN b USING (scope, t, r), (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS k) GROUP BY ALL
+    UNION ALL SELECT scope, t, r, 'similarity_ratio', '', avg((tp.d < tt.d)::INT) FROM tp JOIN tt USING (scope, t, rid) GROUP BY ALL
+    UNION ALL SELECT scope, t, r, 'nn_accuracy', '', (a.v + z.v) / 2 FROM (SELECT scope, t, r, avg((tp.d > tt.d)::INT) AS v FROM tp JOIN tt USING (scope, t, rid) GROUP BY ALL) a
+      JOIN (SELECT scope, t, r, avg((pt.d > pp.d)::INT) AS v FROM pt JOIN pp USING (scope, r, rid) GROUP BY ALL) z USING (scope, t, r))
+  SELECT 'parts' AS dataset, r AS release, scope, t AS target, metric, attribute, round(value, 6) AS value FROM f"""
+
+
 SQL = {
+    "release_report": _report_sql(),
     "distance_numeric": _summary_sql("abs(q.size - c.size) / 49.0"),
     "distance_numeric_generalized": _summary_sql(
         "CASE WHEN q.size BETWEEN lo AND hi THEN ((hi - lo + 1) * (hi - lo + 1) - 1) / (3 * (hi - lo + 1) * 49.0) ELSE 49.0 END",

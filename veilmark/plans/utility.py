@@ -204,6 +204,27 @@ def synth_tree(spark: SparkSession, d: str) -> DataFrame:
     return synth.tree(spark, df, {"type": None, "brand": "type"}, df.count(), 5)
 
 
+def synth_network(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes given brand and type, which are drawn apart, so that pairs occur which the original does not hold: these back off to the brand."""
+    df = parts(spark, d)
+    return synth.network(spark, df, {"type": [], "brand": [], "size": ["brand", "type"]}, df.count(), 5)
+
+
+def synth_learnt(spark: SparkSession, d: str) -> DataFrame:
+    """Categories drawn along the network that hill climbing finds in the original."""
+    df = original(parts(spark, d)).withColumn("size", F.col("size").cast("string"))
+    columns = ["type", "grp", "brand", "size"]
+    states = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first().asDict()
+    up = M.network_parents(df, columns, states)
+    return synth.network(spark, df, {c: sorted(up[c]) for c in columns}, df.count(), 5)
+
+
+def synth_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and prices with the original's distributions by type and its correlation."""
+    df = parts(spark, d)
+    return synth.numbers(spark, df, ["size", "price"], df.count(), 5, by="type")
+
+
 def synth_dependency_tree(spark: SparkSession, d: str) -> DataFrame:
     df = people(spark, d).select("nation", "region", "segment")
     found = synth.dependency_tree(df, ["region", "nation", "segment"])
@@ -252,12 +273,13 @@ def generalization_aia(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relational_similarity(spark: SparkSession, d: str) -> DataFrame:
-    df = people(spark, d)
-    columns = ["region", "nation", "segment"]
+    """Networks of the release against those of the original and of the holdout; states are the original's."""
+    df = parts(spark, d).withColumn("size", F.col("size").cast("string"))
+    columns = ["type", "grp", "brand", "size"]
     states = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first().asDict()
-    a = M.network_edges(df, columns, states)
-    b = M.network_edges(df.where("rid % 3 <> 0"), columns, states)
-    return spark.createDataFrame([(M.relational_similarity(a, b),)], "relational_similarity double")
+    sized = release(parts(spark, d)).withColumn("size", F.col("size").cast("string"))
+    o, p, h = M.side_by_side(lambda x: M.network_edges(x, columns, states), [original(df), sized, holdout(df)])
+    return spark.createDataFrame([("o", M.relational_similarity(o, p)), ("h", M.relational_similarity(h, p))], "target string, relational_similarity double")
 
 
 def ml_utility_regression(spark: SparkSession, d: str) -> DataFrame:
@@ -296,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_queries_scopes, query_relative_error_scopes, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy, facility_median,
-        regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_dependency_tree,
+        regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_network, synth_learnt, synth_numbers, synth_dependency_tree,
         gmm_log_likelihood, gmm_fixed, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
     )
 }
@@ -393,6 +415,14 @@ SQL = {
       ids AS (SELECT unnest(range((SELECT count(*) FROM parts))) AS rid), u AS (SELECT rid, {_U.format(c="type")} AS ut, {_U.format(c="brand")} AS ub FROM ids),
       t AS (SELECT rid, ub, arg_min(type, e) AS type FROM u JOIN tc ON e > ut GROUP BY 1, 2)
       SELECT rid, t.type, arg_min(brand, e) AS brand FROM t JOIN bc ON bc.type = t.type AND e > ub GROUP BY 1, 2""",
+    "synth_network": f"""WITH {PARTS_SQL}, tc AS (SELECT type, ceil(sum(count(*)) OVER (ORDER BY type) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1),
+      bc AS (SELECT brand, ceil(sum(count(*)) OVER (ORDER BY brand) / (SELECT count(*) FROM parts) * 4294967296) AS e FROM parts GROUP BY 1),
+      s2 AS (SELECT brand, type, size, ceil(sum(count(*)) OVER (PARTITION BY brand, type ORDER BY size) / sum(count(*)) OVER (PARTITION BY brand, type) * 4294967296) AS e FROM parts GROUP BY 1, 2, 3),
+      s1 AS (SELECT brand, size, ceil(sum(count(*)) OVER (PARTITION BY brand ORDER BY size) / sum(count(*)) OVER (PARTITION BY brand) * 4294967296) AS e FROM parts GROUP BY 1, 2),
+      ids AS (SELECT unnest(range((SELECT count(*) FROM parts))) AS rid), u AS (SELECT rid, {_U.format(c="type")} AS ut, {_U.format(c="brand")} AS ub, {_U.format(c="size")} AS us FROM ids),
+      t AS (SELECT rid, ub, us, arg_min(type, e) AS type FROM u JOIN tc ON e > ut GROUP BY 1, 2, 3), b AS (SELECT rid, us, t.type, arg_min(brand, e) AS brand FROM t JOIN bc ON e > ub GROUP BY 1, 2, 3),
+      two AS (SELECT rid, arg_min(size, e) AS size FROM b JOIN s2 ON s2.brand = b.brand AND s2.type = b.type AND e > us GROUP BY 1), one AS (SELECT rid, arg_min(size, e) AS size FROM b JOIN s1 ON s1.brand = b.brand AND e > us GROUP BY 1)
+      SELECT rid, b.type, b.brand, coalesce(two.size, one.size) AS size FROM b LEFT JOIN two USING (rid) LEFT JOIN one USING (rid)""",
     "synth_dependency_tree": f"""WITH {PEOPLE_SQL},
       j AS (SELECT 'region' AS a, 'nation' AS b, region AS x, nation AS y FROM people UNION ALL SELECT 'region', 'segment', region, segment FROM people UNION ALL SELECT 'nation', 'segment', nation, segment FROM people),
       c AS (SELECT a, b, x, y, count(*) AS n FROM j GROUP BY 1, 2, 3, 4),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,8 +105,70 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Long results as :func:`write_results` wrote them, in any earlier session."""
-    return spark.read.schema(RESULT_SCHEMA).json(path).select(*KEYS, "value")
+    """Long results as :func:`write_results` or :func:`update_results` wrote them, in any earlier session."""
+    current = _current(spark, path)
+    return spark.read.schema(RESULT_SCHEMA).json(f"{path}/{current}" if current else path).select(*KEYS, "value")
+
+
+#: Names the version of results that counts.
+POINTER = "_CURRENT"
+
+
+def update_results(new: DataFrame, path: str) -> DataFrame:
+    """Merge new results into those at ``path`` and return all of them; old values of the same key go.
+
+    The merged table is written as a version of its own beside the old one, and
+    counts once a pointer file has been renamed into place, in one step. A
+    failure before that leaves the old version as it was; what it left behind
+    goes with the next update. One writer at a time.
+    """
+    spark = new.sparkSession
+    files = _files(spark, path)
+    before = _current(spark, path)
+    merged = new if before is None and not _exists(spark, path) else merge_results(read_results(spark, path), new)
+    version = f"_version-{uuid.uuid4().hex}"  # hidden from readers of the folder
+    merged.select(*KEYS, "value").write.partitionBy("dataset").json(f"{path}/{version}")
+    _point(spark, path, version)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for status in files.listStatus(hadoop.Path(path)):
+        name = status.getPath().getName()
+        if name not in (version, POINTER):
+            files.delete(status.getPath(), True)
+    return read_results(spark, path)
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    if not _exists(spark, f"{path}/{POINTER}"):
+        return None
+    stream = _files(spark, path).open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Write the pointer aside and rename it over the old one."""
+    jvm = spark.sparkContext._jvm
+    hadoop, files = jvm.org.apache.hadoop.fs, _files(spark, path)
+    aside, pointer = hadoop.Path(f"{path}/{version}.pointer"), hadoop.Path(f"{path}/{POINTER}")
+    out = files.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    over[0] = kind.getField("OVERWRITE").get(None)
+    where = files.makeQualified(pointer)
+    hadoop.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(aside), where, over)
 
 
 def read_result_trees(spark: SparkSession, path: str) -> DataFrame:
