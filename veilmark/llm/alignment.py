@@ -136,7 +136,8 @@ class Aligner:
 
     def reset(self) -> None:
         self.chunks, self.chars = Table(), 0
-        self.groups: dict[str, int] = {}
+        self.groups: dict[int | tuple[int, ...], int] = {}
+        self.fresh: list[tuple[list[int], list[int]]] = []
         #: key of each group; slot 0 says that the bytes differ
         self.keys = [""]
         self.sizes, self.side_a, self.side_b = Pool(), Pool(), Pool()
@@ -148,37 +149,46 @@ class Aligner:
     def full(self) -> bool:
         return max(len(self.chunks), len(self.keys)) > TABLE_ENTRIES or self.chars > TABLE_CHARS
 
+    def _slot(self, a: list[int], b: list[int]) -> int:
+        """Slot of a group; groups of one token each, which are the most, are known by a number."""
+        key = a[0] << BITS | b[0] if len(a) == len(b) == 1 else (*a, -1, *b)
+        slot = self.groups.get(key)
+        if slot is None:
+            slot = self.groups[key] = len(self.keys)
+            self.keys.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            self.fresh.append((a, b))
+        return slot
+
     def _fill(self) -> None:
         """Encode and group the stretches that wait."""
         new = self.chunks.new
         if not new:
             return
-        flat, counts, sizes, sides_a, sides_b = [], [], [], [], []
+        flat, counts, self.fresh = [], [], []
+        known, slot_of, bytes_a, bytes_b = self.groups, self._slot, self.bytes_a, self.bytes_b
         encoded = self.a.encode_batch_fast(new, add_special_tokens=False)
         for text, a, b in zip(new, (e.ids for e in encoded), self.b.encode([c[1:] for c in new], num_threads=1), strict=True):
             raw = text.encode()
             self.chars += len(text)
-            if b"".join([self.bytes_a[x] for x in a]) != raw or b"".join([self.bytes_b[x] for x in b]) != raw:
+            if b"".join([bytes_a[x] for x in a]) != raw or b"".join([bytes_b[x] for x in b]) != raw:
                 flat.append(0)
                 counts.append(1)
                 continue
-            found = [(a, b)] if len(a) == 1 or len(b) == 1 else cut(a, b, self.size_a, self.size_b)
-            for ga, gb in found:
-                key = ",".join(map(str, ga)) + "|" + ",".join(map(str, gb))
-                slot = self.groups.get(key)
-                if slot is None:
-                    slot = self.groups[key] = len(self.keys)
-                    self.keys.append(key)
-                    sizes += (len(ga), len(gb))
-                    sides_a.append(sorted(set(ga)))
-                    sides_b.append(sorted(set(gb)))
-                flat.append(slot)
-            counts.append(len(found))
+            before = len(flat)
+            if len(a) == 1 or len(b) == 1:
+                flat.append(slot_of(a, b))
+            else:
+                for ga, gb in cut(a, b, self.size_a, self.size_b):
+                    slot = known.get(ga[0] << BITS | gb[0]) if len(ga) == len(gb) == 1 else None
+                    flat.append(slot_of(ga, gb) if slot is None else slot)
+            counts.append(len(flat) - before)
         self.chunks.pool.add(np.array(flat, np.uint32), np.array(counts, np.int64))
-        if sizes:
-            self.sizes.add(np.array(sizes, np.uint32), np.full(len(sizes) // 2, 2))
-            for pool, sides in ((self.side_a, sides_a), (self.side_b, sides_b)):
-                n = np.array([len(s) for s in sides], np.int64)
+        if self.fresh:
+            sizes = np.array([(len(a), len(b)) for a, b in self.fresh], np.uint32)
+            self.sizes.add(sizes.ravel(), np.full(len(sizes), 2))
+            for pool, k in ((self.side_a, 0), (self.side_b, 1)):
+                sides = [sorted(set(g[k])) for g in self.fresh]
+                n = np.array([len(x) for x in sides], np.int64)
                 pool.add(np.fromiter(chain.from_iterable(sides), np.uint32, int(n.sum())), n)
         self.chunks.new = []
 
