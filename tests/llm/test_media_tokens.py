@@ -209,3 +209,32 @@ def test_chat_tree(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(v), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_tree.chat_report(df.limit(0)).count() == 0
+
+
+def test_a_shared_first_turn_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPLIT_ROWS", 40)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        said = "<|im_end|> one prompt for all " * 3
+        ids = spark.range(1500).select(F.col("id").alias("conv_id"))
+        rows = ids.select("conv_id", F.lit(0).alias("turn"), F.lit("system").alias("role"), F.lit(said).alias("text")).union(ids.select("conv_id", F.lit(1), F.lit("user"), F.concat(F.lit("question "), F.col("conv_id").cast("string"))))
+        stream, index = chat_tree.build_tree(rows)
+        assert stream.agg(F.max("turns")).first()[0] == 1500 and stream.count() == 1501
+        met = common.join_by_key(index, stream.select("start", "turns"), "start", "turns", "conv")
+        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 3000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+        found = chat_tree.read_conversations(stream, index).agg(F.count("*"), F.min("n_turns"), F.max("n_turns")).first()
+        assert tuple(found) == (1500, 2, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_very_long_turn_and_clashing_columns(spark):
+    said = "word <|im_start|> \\| " * 40_000
+    df = spark.createDataFrame([(1, 0, "user", said, 5, "x"), (1, 1, "assistant", said, 6, "y")], "conv_id long, turn long, role string, text string, start int, node string")
+    row = chat_tree.chat_report(df).first()
+    assert (row["n_turns"], row["loss_chars"]) == (2, len(said)) and row["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()

@@ -15,13 +15,14 @@ stream holds each node's tokens once, depth-first; a node carries
 
 Depth-first order is the order of whole paths: conversations are range-sorted
 by the hashes along their path, and a node belongs to the first conversation
-that holds it. Nothing is grouped by root, so a first turn that most
-conversations share is no hot group; turns of one conversation stream through
-a task one at a time.
+that holds it. Nothing is grouped by root, and turns meet their nodes split by
+how many share one, so a first turn that most conversations share is no hot
+group; turns of one conversation stream through a task one at a time.
 
 Cases: null roles and texts count as empty; turns are ordered by turn, role
 and text, and repeated rows are turns of their own; null conversation ids form
-one conversation; an empty table gives empty tables.
+one conversation; a very long turn is one node, encoded whole; further columns
+are not read, whatever their names; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import materialize, partitions_for, ready
+from .common import join_by_key, materialize, partitions_for, ready
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _HOT, _ESCAPED = re.compile(r"<(?=\\*\|)"), re.compile(r"<\\(?=\\*\|)")
@@ -130,8 +131,9 @@ def _ancestors(placed: DataFrame) -> DataFrame:
 def build_tree(df: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(stream, index)`` of conversations with columns ``conv_id, turn, role, text``.
 
-    ``stream`` has one row a node: ``node, start, n_tokens, position,
-    loss_start, loss_end, ids, ancestors``. ``index`` has one row a turn:
+    ``stream`` has one row a node: ``node, start, turns, n_tokens, position,
+    loss_start, loss_end, ids, ancestors``, where ``turns`` counts the turns
+    that share it. ``index`` has one row a turn:
     ``conv, k, start``.
     """
     spark = ready(df.sparkSession)
@@ -145,18 +147,19 @@ def build_tree(df: DataFrame, path: str | None = None) -> tuple[DataFrame, DataF
 
     narrow = rows.select("conv", "k", "node", "n_tokens").alias("r").join(ranked.alias("c"), F.col("r.conv").eqNullSafe(F.col("c.conv"))).select("r.*", "shard", "rank")
     narrow = materialize(narrow, "turns")
-    owner = narrow.groupBy("node").agg(F.min(F.struct("rank", "shard", "k", "n_tokens")).alias("o")).select("node", "o.*")
+    owner = narrow.groupBy("node").agg(F.min(F.struct("rank", "shard", "k", "n_tokens")).alias("o"), F.count("*").alias("turns")).select("node", "turns", "o.*")
     # places in the stream: totals of shards, then running totals inside each
     totals = owner.groupBy("shard").agg(F.sum("n_tokens").alias("own"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = totals.select("shard", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard").orderBy("rank", "k").rowsBetween(Window.unboundedPreceding, -1)
     starts = owner.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(first, "shard")
-    starts = starts.select("node", F.col("rank").alias("owner"), (F.col("first") + F.col("inner")).alias("start"))
-    placed = materialize(narrow.join(starts, "node").select("conv", "k", "node", "n_tokens", "start", (F.col("rank") == F.col("owner")).alias("owned")), "turns")
+    starts = materialize(starts.select("node", "turns", F.col("rank").alias("owner"), (F.col("first") + F.col("inner")).alias("start")), "starts")
+    met = join_by_key(narrow, starts, "node", "turns", "rank")
+    placed = materialize(met.select("conv", "k", "node", "n_tokens", "start", "turns", (F.col("rank") == F.col("owner")).alias("owned")), "turns")
 
     mine = rows.alias("r").join(placed.where("owned").alias("p"), F.col("r.conv").eqNullSafe(F.col("p.conv")) & (F.col("r.k") == F.col("p.k")))
-    mine = mine.select("r.node", "p.start", "r.n_tokens", "position", "loss_start", "loss_end", "ids")
+    mine = mine.select("r.node", "p.start", "p.turns", "r.n_tokens", "position", "loss_start", "loss_end", "ids")
     stream = materialize(mine.join(_ancestors(placed), "node"), "stream")
     return stream, placed.select("conv", "k", "start")
 
@@ -170,7 +173,8 @@ def read_conversations(stream: DataFrame, index: DataFrame, path: str | None = N
     ready(stream.sparkSession)
     path = path or default_path()
     kind = index.schema["conv"].dataType.simpleString()
-    dealt = index.join(stream.drop("node"), "start").repartition("conv").sortWithinPartitions("conv", "k")
+    met = join_by_key(index, stream.drop("node"), "start", "turns", "conv").drop("turns")
+    dealt = met.repartition("conv").sortWithinPartitions("conv", "k")
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
