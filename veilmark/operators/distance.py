@@ -3,7 +3,8 @@
 Whether a column holds original values only is decided for the whole compared
 column (``*_original`` arguments), not for each pair. With ``normalized=False``
 a mismatch of generalised values counts as the undivided width of the domain
-(numeric) or ``2 * levels - 2`` (categorical).
+(numeric) or ``2 * levels - 2`` (categorical). Numbers that are null, such as
+text that stands for no range, give a null distance, never a mismatch.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ def numeric(x: Column, y: Column, width: float) -> Column:
 def numeric_covered(x: Column, lo: Column, hi: Column, width: float, normalized: bool = False) -> Column:
     """An original number against a range: the mean distance of two draws from the range if it covers the number."""
     n = hi - lo + 1
-    return F.when((x >= lo) & (x <= hi), (n * n - 1) / (3 * n * width)).otherwise(F.lit(1.0 if normalized else float(width)))
+    known = x.isNotNull() & lo.isNotNull() & hi.isNotNull()
+    return F.when((x >= lo) & (x <= hi), (n * n - 1) / (3 * n * width)).when(known, F.lit(1.0 if normalized else float(width)))
 
 
 def numeric_ranges(lo1: Column, hi1: Column, lo2: Column, hi2: Column, width: float, normalized: bool = False) -> Column:
     """Two generalised numbers: equal or a mismatch."""
-    return F.when((lo1 == lo2) & (hi1 == hi2), 0.0).otherwise(F.lit(1.0 if normalized else float(width)))
+    known = lo1.isNotNull() & hi1.isNotNull() & lo2.isNotNull() & hi2.isNotNull()
+    return F.when((lo1 == lo2) & (hi1 == hi2), 0.0).when(known, F.lit(1.0 if normalized else float(width)))
 
 
 def edge(x: Sequence[Column], y: Sequence[Column]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.draws import seeded
 
 from .hierarchy import ROOT, Hierarchy, node_leaves
+from .stages import staged
 
 #: Rows up to which a hierarchy is broadcast; a larger one is joined by shuffle.
 BROADCAST_LEAVES = 200_000
@@ -40,8 +41,8 @@ def class_size(qid: Sequence[str]) -> Column:
 def suppress(df: DataFrame, qid: Sequence[str], k: int) -> DataFrame:
     """k-anonymity: the quasi-identifiers of rows in classes below ``k`` become ``*``; ``suppressed`` marks them.
 
-    Class sizes come from one combined aggregate and are joined back, so that
-    a class of any size costs one row a task.
+    Class sizes come from one combined aggregate, in which a class of any size
+    costs one row a task; adaptive execution broadcasts them where they are few.
     """
     sizes = df.groupBy(*qid).agg(F.count(F.lit(1)).alias("__size"))
     joined = df.alias("d").join(sizes.alias("s"), [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in qid])
@@ -199,13 +200,13 @@ def node_profile(df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Seque
     (summed over attributes) and squared error of attributes (mean over the
     numeric ones).
     """
-    classes = lattice_classes(distinct_combinations(df, qid), hierarchies, qid).persist()
+    classes = staged(lattice_classes(distinct_combinations(df, qid), hierarchies, qid), "classes")
     out = level_columns(lattice_statistics(classes, k), qid)
     total = sum((F.col(f"level_{a}") for a in qid), F.lit(0))
     climbed = sum((F.col(f"level_{a}") / (hierarchies[a].depth - 1) for a in qid), F.lit(0.0))
     out = out.withColumn("k", F.lit(k)).withColumn("total_level", total).withColumn("precision", 1 - climbed / len(qid))
     out = out.join(information_loss(classes, hierarchies, qid, k), "node").join(ambiguity(classes, hierarchies, qid), "node")
-    levels = attribute_levels(df, hierarchies, qid, middles).persist()
+    levels = staged(attribute_levels(df, hierarchies, qid, middles), "levels")
     for a in qid:
         look = levels.where(F.col("attribute") == a).select(F.col("level").alias(f"level_{a}"), F.col("entropy").alias(f"__e_{a}"), F.col("squared_error").alias(f"__q_{a}"))
         out = out.join(F.broadcast(look), f"level_{a}")  # a row for each level

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.draws import fraction, seeded
 
 from .ranks import values_at
+from .stages import staged
 
 
 def tens(value: Column) -> Column:
@@ -56,7 +57,8 @@ def split_exact(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> t
     size = round(share * df.count())
     if not size:
         return df.limit(0), df
-    counts = df.groupBy(place.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = df.groupBy(place.cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(counts, "counts")
     cut = int(values_at(counts, [size - 1])[size - 1])
     below = counts.where(F.col("value") < cut).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # rows of one 32-bit hash

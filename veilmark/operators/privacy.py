@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .generalize import BROADCAST_LEAVES, small
 from .ranks import percentiles
+from .stages import staged
 
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
 def _counted(nn: DataFrame) -> DataFrame:
     """Distinct distances with counts: every later step reads these only."""
-    return nn.groupBy(F.col("dist").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null").persist()
+    counts = nn.groupBy(F.col("dist").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null")
+    return staged(counts, "counts")
 
 
 def _bounds(counts: DataFrame) -> tuple[float, float]:
@@ -101,3 +104,12 @@ def value_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: sorted distinct values, numbered from 0, so that all releases share codes."""
     # as many rows as the attribute's domain
     return df.select(F.col(column).alias("value")).distinct().withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+
+
+def encode(df: DataFrame, column: str, codes: DataFrame, name: str | None = None) -> DataFrame:
+    """``df`` with the code of each value of ``column`` (see :func:`value_codes`); a value without one fails the query, a null stays null."""
+    look = small(codes.select(F.col("value").alias("__value"), F.col("code").alias("__code")), BROADCAST_LEAVES)
+    joined = df.join(look, df[column] == look["__value"], "left")
+    unknown = F.raise_error(F.concat(F.lit(f"{column}: no code for "), F.col(column).cast("string"))).cast("bigint")
+    code = F.when(F.col("__code").isNotNull() | F.col(column).isNull(), F.col("__code")).otherwise(unknown)
+    return joined.withColumn(name or column, code).drop("__value", "__code")
