@@ -227,3 +227,22 @@ def test_report_keeps_failures(spark):
     rows = [tuple(r) for r in report.measure(spark, "r", metrics, ["good", "bad"]).collect()]
     assert rows[:2] == [("r", "good", "a", 2.0, None), ("r", "good", "b", None, None)] and rows[2][1] == "bad" and rows[2][4]
     assert G.parameter_grid(k=[5, 10], qid=["a"]) == [{"k": 5, "qid": "a"}, {"k": 10, "qid": "a"}]
+
+
+def test_levels_of_a_release_apply_to_the_holdout(spark):
+    frame = spark.createDataFrame([("a", "x", "*"), ("b", "x", "*"), ("c", "y", "*")], "l0 string, l1 string, l2 string")
+    h = {"s": H.Hierarchy("s", frame, 3)}
+    train, held = spark.createDataFrame([("x",)], "s string"), spark.createDataFrame([("a",), ("c",)], "s string")
+    assert sorted(r["s"] for r in G.generalize_as_released(held, train, h, [1], ["s"]).collect()) == ["*", "x"]
+    for levels in ([3], [], [1, 1]):
+        with pytest.raises(ValueError):
+            G.generalize_as_released(held, train, h, levels, ["s"])
+    assert {(r["leaf"], r["group"], r["group_size"]) for r in H.first_level(h["s"]).collect()} == {("a", "x", 2), ("b", "x", 2), ("c", "y", 1)}
+
+
+def test_bands(spark):
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 19.9, 20.0, 100.0, None)], "v double")
+    got = [r[0] for r in df.select(prep.banded(F.col("v"), [0, 20], ["below", "low", "high"])).collect()]
+    assert got == ["below", "low", "low", "high", "high", None]
+    with pytest.raises(ValueError):
+        prep.banded(F.col("v"), [20, 0], ["a", "b", "c"])

@@ -256,3 +256,10 @@ def generalize_like(df: DataFrame, train: DataFrame, hierarchies: Mapping[str, H
         seen = train.select(F.col(a).alias("__seen")).distinct()
         out = out.join(small(seen, BROADCAST_LEAVES), out[a] == seen["__seen"], "left").withColumn(a, F.when(F.col("__seen").isNull(), ROOT).otherwise(F.col(a))).drop("__seen")
     return out
+
+
+def generalize_as_released(df: DataFrame, train: DataFrame, hierarchies: Mapping[str, Hierarchy], levels: Sequence[int], qid: Sequence[str]) -> DataFrame:
+    """:func:`generalize_like` with the levels that a release's name tells (see ``sources.read_releases``), in the order of ``qid``."""
+    if len(levels) != len(qid) or any(not 0 <= level < hierarchies[a].depth for a, level in zip(qid, levels)):
+        raise ValueError(f"levels {list(levels)} do not fit {list(qid)}")
+    return generalize_like(df, train, hierarchies, dict(zip(qid, levels)), qid)

@@ -86,3 +86,9 @@ def parents(h: Hierarchy) -> DataFrame:
     """``(level, node, parent)`` of all nodes below the root."""
     steps = F.array(*[F.struct(F.lit(i).alias("level"), F.col(a).alias("node"), F.col(b).alias("parent")) for i, (a, b) in enumerate(zip(h.levels, h.levels[1:]))])
     return h.frame.select(F.explode(steps).alias("s")).select("s.*").distinct()
+
+
+def first_level(h: Hierarchy) -> DataFrame:
+    """``(leaf, group, group_size)``: the node above each leaf, and how many leaves it has."""
+    sizes = h.frame.groupBy(F.col("l1").alias("group")).agg(F.countDistinct("l0").alias("group_size"))
+    return h.frame.select(F.col("l0").alias("leaf"), F.col("l1").alias("group")).distinct().join(sizes, "group").select("leaf", "group", "group_size")

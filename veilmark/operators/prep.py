@@ -86,6 +86,16 @@ def bucketize(value: Column, lo: float, hi: float, n: int) -> Column:
     return F.when((value >= lo) & (value < hi + 0.001 * (hi - lo)), F.least(at, F.lit(n - 1)))
 
 
+def banded(value: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
+    """The name of the half-open band ``[edge, next edge)`` that holds a number; the first is open below, the last above. Null stays null."""
+    if len(names) != len(edges) + 1 or list(edges) != sorted(set(edges)):
+        raise ValueError("bands need ascending edges and one name more")
+    out = F.when(value < edges[0], names[0])
+    for edge, name in zip(edges[1:], names[1:]):
+        out = out.when(value < edge, name)
+    return out.when(value.isNotNull(), names[-1])
+
+
 def integral_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row of booleans: whether a numeric column holds whole numbers only."""
     return df.agg(*[F.coalesce(F.every(F.col(c) % 1 == 0), F.lit(True)).alias(c) for c in columns])

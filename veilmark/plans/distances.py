@@ -12,7 +12,7 @@ from veilmark.operators import knn, prep
 from veilmark.operators import privacy as P
 from veilmark.operators.dispatch import Distances, domains
 from veilmark.operators.generalize import generalize
-from veilmark.operators.hierarchy import interval_hierarchy, order_hierarchy
+from veilmark.operators.hierarchy import Hierarchy, first_level, interval_hierarchy, order_hierarchy
 from veilmark.operators.pruned import Category, Metric, Number
 
 from .frames import PARTS, PARTS_SQL, QID_SQL, SIZE_WIDTH, holdout, original, parts, release
@@ -54,6 +54,11 @@ def all_metric(price_width: float) -> Metric:
     return Metric((Number("size", SIZE_WIDTH), _BRAND_PART, _TYPE_PART, Number("price", price_width)))
 
 
+def _brands(df: DataFrame) -> Hierarchy:
+    """Brands below their groups of ten."""
+    return order_hierarchy(df, "brand", F.concat(F.lit("group "), F.floor(F.regexp_extract("brand", r"(\d+)$", 1).cast("int") / F.lit(10)).cast("string")))
+
+
 def _price_width(df: DataFrame) -> float:
     row = df.agg(F.min("price").alias("a"), F.max("price").alias("b")).first()
     return row["b"] - row["a"]
@@ -141,7 +146,7 @@ def distance_dispatch(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d).withColumn("price", F.floor(F.col("price") / 10) * 10)
     codes = P.value_codes(df, "type")
     matrix = codes.toDF("a", "i").join(codes.toDF("b", "j"), F.col("i") < F.col("j")).select("a", "b", ((F.col("j") - F.col("i")) / 5).alias("d"))
-    hierarchies = {"size": interval_hierarchy(spark, "size", 1, 50), "brand": order_hierarchy(df, "brand", F.concat(F.lit("group "), F.floor(F.regexp_extract("brand", r"(\d+)$", 1).cast("int") / F.lit(10)).cast("string")))}
+    hierarchies = {"size": interval_hierarchy(spark, "size", 1, 50), "brand": _brands(df)}
     how = Distances(PARTS, domains(df, PARTS), hierarchies, {"type": matrix})
     query, cand = holdout(df), generalize(original(df), {"size": hierarchies["size"]}, {"size": 1})
     cand = cand.withColumn("brand", F.when(F.col("rid") % 3 == 0, F.col("grp")).otherwise(F.col("brand")))
@@ -152,7 +157,7 @@ def distance_dispatch(spark: SparkSession, d: str) -> DataFrame:
 def release_report(spark: SparkSession, d: str) -> DataFrame:
     """Two releases, the original itself and a moved one, measured for both targets and scopes; distances follow from the specification."""
     df = parts(spark, d)
-    groups = {"brand": order_hierarchy(df, "brand", F.concat(F.lit("group "), F.floor(F.regexp_extract("brand", r"(\d+)$", 1).cast("int") / F.lit(10)).cast("string")))}
+    groups = {"brand": _brands(df)}
     judge = E.Judge({"o": original(df), "h": holdout(df)}, Distances(PARTS, domains(df, PARTS), groups))
     report = E.evaluate(spark, "parts", {"train": original(df), "moved": release(df)}, judge.metrics)
     failed = report.status.where("failed > 0").collect()
@@ -254,10 +259,9 @@ def aia_category(spark: SparkSession, d: str) -> DataFrame:
     dist = D.record({"size": D.numeric(*_c("size"), SIZE_WIDTH), "type": type_distance()})
     near = knn.top_k(t, p, dist, 5, keys=["size", "type"])
     guess = P.neighbour_guess(near, p, "rid", "code", False).join(codes.select(F.col("code").alias("guess"), F.col("value").alias("guessed")), "guess")
-    groups = df.select("brand", "grp").distinct()
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("group_size"))
-    named = guess.join(groups.select(F.col("brand").alias("guessed"), F.col("grp").alias("guess_grp")), "guessed")
-    scored = t.join(named, t["rid"] == named["query_id"]).join(sizes, "grp")
+    groups = first_level(_brands(df))
+    named = guess.join(groups.select(F.col("leaf").alias("guessed"), F.col("group").alias("guess_grp")), "guessed")
+    scored = t.join(named, t["rid"] == named["query_id"]).join(groups.select("leaf", "group_size"), F.col("brand") == F.col("leaf"))
     error, _, inside = P.category_scores(F.col("brand"), F.col("guessed"), F.col("grp"), F.col("guess_grp"), F.col("group_size"))
     return scored.agg(_r(F.avg(error), 6).alias("match_error"), _r(F.avg(inside), 6).alias("guess_in_range"))
 

@@ -288,10 +288,17 @@ def ml_utility_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classes(df: DataFrame) -> DataFrame:
-    three = F.when(F.col("balance") < 2000, "low").when(F.col("balance") < 8000, "middle").otherwise("high")
+    three = prep.banded(F.col("balance"), [2000, 8000], ["low", "middle", "high"])
     return df.withColumn("binary", F.when(F.col("balance") > 5000, "high").otherwise("low")).withColumn("three", three)
 
 
+def learning_targets(spark: SparkSession, d: str) -> DataFrame:
+    """How many people each class of the two targets has."""
+    df = _classes(people(spark, d))
+    each = [df.groupBy(F.col(t).alias("class")).agg(F.count("*").alias("n")).select(F.lit(t).alias("target"), "class", "n") for t in ("binary", "three")]
+    return each[0].unionByName(each[1])
+
+
 def ml_utility_classification(spark: SparkSession, d: str) -> DataFrame:
     """Two targets learnt from a suppressed release and tried on the holdout, generalised alike or on a release sampled back.
 
@@ -319,7 +326,7 @@ QUERIES = {
     for f in (
         count_queries_exact, count_queries_estimated, count_queries_random, query_relative_error, count_queries_scopes, query_relative_error_scopes, count_predicates, bucketize, patient_weight, haversine_matrix, haversine_pair, zone_demand, facility_assignment_cost, facility_greedy, facility_median,
         regression_scores, classification_report, condense_pivot, results_merged, relative_cost, synth_marginal, synth_tree, synth_network, synth_learnt, synth_numbers, synth_dependency_tree,
-        gmm_log_likelihood, gmm_fixed, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification,
+        gmm_log_likelihood, gmm_fixed, detection_rate, ml_aia_qid, ml_aia_all, generalization_aia, relational_similarity, ml_utility_regression, ml_utility_classification, learning_targets,
     )
 }
 
@@ -371,6 +378,8 @@ _RESULTS = """res AS (SELECT ['train', 'synth_a', 'synth_b', 'anon_k5'][p_partke
 _U = "CAST('0x' || substr(md5(rid || '|{c}|5'), 1, 8) AS BIGINT)"
 
 SQL = {
+    "learning_targets": f"""WITH {PEOPLE_SQL} SELECT 'binary' AS target, CASE WHEN balance > 5000 THEN 'high' ELSE 'low' END AS class, count(*) AS n FROM people GROUP BY 2
+      UNION ALL SELECT 'three', CASE WHEN balance < 2000 THEN 'low' WHEN balance < 8000 THEN 'middle' ELSE 'high' END, count(*) FROM people GROUP BY 2""",
     "count_queries_exact": f"WITH {_LEAVES} SELECT query_id, estimate FROM exact",
     "count_queries_estimated": f"WITH {_LEAVES} SELECT query_id, round(estimate, 6) AS estimate FROM guess",
     "count_queries_random": f"""WITH {_LEAVES.split("asked AS")[0]} per AS (SELECT col, count(*) AS size FROM leaves GROUP BY 1), drawn AS (SELECT q, col, leaf,
