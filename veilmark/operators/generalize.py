@@ -88,6 +88,37 @@ def lattice_classes(combos: DataFrame, hierarchies: Mapping[str, Hierarchy], qid
     return out.withColumnRenamed("__at", "node")
 
 
+def record_error(
+    df: DataFrame, hierarchies: Mapping[str, Hierarchy], qid: Sequence[str], k: int, middles: Mapping[str, Column] | None = None, widths: Mapping[str, float] | None = None
+) -> DataFrame:
+    """``(node, record_error)``: mean over rows of the mean squared distance of a row from its released form.
+
+    A number lies ``(value - middle of its node) / width`` away, for the
+    attributes that ``middles`` (of ``node``) and ``widths`` name; any other
+    value by the share of levels climbed; a suppressed row lies at the root
+    in every attribute. Attributes climb one after another from their leaves,
+    so each class carries the sum of its rows' errors along.
+    """
+    out = distinct_combinations(df, qid).withColumn("__at", F.lit("")).withColumn("__e", F.lit(0.0)).withColumn("__root", F.lit(0.0))
+    for i, a in enumerate(qid):
+        h = hierarchies[a]
+        numeric = bool(middles) and a in middles
+        gap = (F.col("__leaf").cast("double") - middles[a]) / F.lit(float(widths[a])) if numeric else F.col("level").cast("int") / F.lit(h.depth - 1)
+        steps = F.explode(F.array(*[F.struct(F.lit(str(level)).alias("level"), F.col(f"l{level}").alias("node")) for level in range(h.depth)])).alias("s")
+        look = h.frame.select(F.col("l0").alias("__leaf"), steps).select("__leaf", "s.level", "s.node").withColumn("__own", gap * gap)
+        root = look.where(F.col("level") == str(h.depth - 1)).select(F.col("__leaf").alias("__l"), F.col("__own").alias("__top"))
+        look = look.join(root, F.col("__leaf") == F.col("__l")).drop("__l")
+        step = out.join(small(look, BROADCAST_LEAVES, h.size * h.depth), out[a].cast("string") == look["__leaf"])
+        at = F.col("level") if i == 0 else F.concat("__at", F.lit("_"), F.col("level"))
+        climbed = step.select(
+            at.alias("__at"), *[F.col("node").alias(a) if c == a else F.col(c) for c in qid], "n",
+            (F.col("__e") + F.col("n") * F.col("__own")).alias("__e"), (F.col("__root") + F.col("n") * F.col("__top")).alias("__root"),
+        )
+        out = climbed.groupBy("__at", *qid).agg(*[F.sum(c).alias(c) for c in ("n", "__e", "__root")])
+    whole = F.sum(F.when(F.col("n") < k, F.col("__root")).otherwise(F.col("__e"))) / (F.sum("n") * len(qid))
+    return out.groupBy(F.col("__at").alias("node")).agg(whole.alias("record_error"))
+
+
 def lattice_statistics(classes: DataFrame, k: int) -> DataFrame:
     """Per node: rows, suppressed rows, number and sizes of the classes that stay, discernibility.
 

@@ -203,6 +203,12 @@ def record_squared_error(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("nation").agg(_r(F.avg(e * e)).alias("squared_error"))
 
 
+def record_level_error(spark: SparkSession, d: str) -> DataFrame:
+    """Squared error by record of every node's release: bands by their middles, other attributes by levels."""
+    found = G.record_error(people(spark, d), people_hierarchies(spark, d), QID, K, {"band": midpoint(F.col("node"), 1, 100)}, {"band": 99.0})
+    return found.select("node", _r("record_error").alias("record_error"))
+
+
 def classification_metric(spark: SparkSession, d: str) -> DataFrame:
     h = people_hierarchies(spark, d)
     g = G.generalize(people(spark, d), h, VECTOR)
@@ -227,7 +233,7 @@ QUERIES = {
         hierarchy_interval, hierarchy_redaction, hierarchy_order, hierarchy_leaf_counts, hierarchy_parents, parse_generalized_range, range_midpoint,
         impute_mode_by_group, impute_mean_by_group, crosstab_normalized, round_to_tens, split_holdout, sample_rows, integral_columns, sample_to_original_domain,
         generalize_vector, k_anonymity_suppress, k_anonymity_stats, lattice_sweep, granularity_loss, lattice_optimum, lattice_search, lattice_selected, lattice_profile, granularity_loss_balanced, split_exact, class_size_histogram,
-        discernibility, precision, nonuniform_entropy, ambiguity, record_squared_error, classification_metric, generalize_holdout, drop_suppressed,
+        discernibility, precision, nonuniform_entropy, ambiguity, record_squared_error, record_level_error, classification_metric, generalize_holdout, drop_suppressed,
     )
 }
 
@@ -300,6 +306,11 @@ SQL = {
     "lattice_sweep": f"WITH {LATTICE_SQL} {_STATS} GROUP BY node",
     "granularity_loss": f"WITH {LATTICE_SQL}, {_SIZES} {_LOSS}",
     "lattice_optimum": f"WITH {LATTICE_SQL}, {_SIZES} SELECT * FROM ({_LOSS}) ORDER BY loss, node LIMIT 1",
+    "record_level_error": f"""WITH {LATTICE_SQL}, own AS (SELECT i || '_' || j || '_' || k AS node, i, j, k, w.band AS v, a[i + 1] AS nation, b[j + 1] AS segment, c[k + 1] AS band,
+        CASE k WHEN 0 THEN w.band WHEN 5 THEN 50.5 ELSE (((w.band - 1) // (5 * (1 << (k - 1)))) * 5 * (1 << (k - 1)) + 1 + least(((w.band - 1) // (5 * (1 << (k - 1))) + 1) * 5 * (1 << (k - 1)), 100)) / 2 END AS middle
+        FROM (SELECT wide.*, people.band FROM wide JOIN people USING (rid)) w, range(3) t1(i), range(2) t2(j), range(6) t3(k)),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY node, nation, segment, band) AS n FROM own)
+      SELECT node, round(avg(CASE WHEN n < {K} THEN (1 + 1 + pow((v - 50.5) / 99, 2)) / 3 ELSE (pow(i / 2, 2) + pow(j / 1, 2) + pow((v - middle) / 99, 2)) / 3 END), 6) AS record_error FROM sized GROUP BY 1""",
     "lattice_search": f"WITH {LATTICE_SQL}, {_SIZES} SELECT node, round(loss, 6) AS loss FROM ({_LOSS}) ORDER BY loss, node LIMIT 1",
     "lattice_selected": f"WITH {LATTICE_SQL}, st AS ({_STATS} GROUP BY node) SELECT node, n_suppressed FROM st WHERE n_suppressed < n_rows OR node = (SELECT min(node) FROM st WHERE n_suppressed = n_rows)",
     "lattice_profile": f"""WITH {LATTICE_SQL}, {_SIZES}, st AS ({_STATS} GROUP BY node), lo AS ({_LOSS}), am AS (SELECT node, sum(n * cn * cs * cb) / sum(n) AS ambiguity FROM sized GROUP BY 1),
