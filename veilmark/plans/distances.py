@@ -13,6 +13,7 @@ from veilmark.operators import privacy as P
 from veilmark.operators.dispatch import Distances, domains
 from veilmark.operators.generalize import generalize
 from veilmark.operators.hierarchy import Hierarchy, first_level, interval_hierarchy, order_hierarchy
+from veilmark.operators.models import side_by_side
 from veilmark.operators.pruned import Category, Metric, Number
 
 from .frames import PARTS, PARTS_SQL, QID_SQL, SIZE_WIDTH, holdout, original, parts, release
@@ -210,16 +211,17 @@ def close_value_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_ratio(spark: SparkSession, d: str) -> DataFrame:
-    o = original(parts(spark, d))
-    return P.similarity_ratio(knn.nearest(o, release(parts(spark, d)), qid_metric()), knn.nearest_other(o, qid_metric())).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
+    o, p, m = original(parts(spark, d)), release(parts(spark, d)), qid_metric()
+    return P.similarity_ratio(*side_by_side(lambda search: search(), (lambda: knn.nearest(o, p, m), lambda: knn.nearest_other(o, m)))).select(_r("similarity_ratio", 6).alias("similarity_ratio"))
 
 
 def nn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     t, p = holdout(df), release(df)
-    there, back = knn.nearest_both_ways(t, p, qid_metric())
-    second = [knn.nearest_other(x, qid_metric()) for x in (t, p)]
-    return P.adversarial_accuracy(there, second[0], back, second[1]).select(_r("nn_accuracy", 6).alias("nn_accuracy"))
+    m = qid_metric()
+    # the four searches are independent; each starts with small jobs
+    work = (lambda: knn.nearest(t, p, m), lambda: knn.nearest_other(t, m), lambda: knn.nearest(p, t, m), lambda: knn.nearest_other(p, m))
+    return P.adversarial_accuracy(*side_by_side(lambda search: search(), work)).select(_r("nn_accuracy", 6).alias("nn_accuracy"))
 
 
 def nn_identity(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from veilmark.operators import generalize as G
 from veilmark.operators import hierarchy as H
 from veilmark.operators import models as M
 from veilmark.operators import prep, scores, synth
+from veilmark.operators.stages import staged
 from veilmark.sources.tables import merge_results, table
 
 from .frames import PARTS_SQL, PEOPLE, PEOPLE_SQL, VECTOR, holdout, original, parts, people, people_hierarchies, release
@@ -55,7 +56,7 @@ def count_queries_random(spark: SparkSession, d: str) -> DataFrame:
     """The seeded workload of 2000 queries, counted on the original."""
     combos = G.distinct_combinations(people(spark, d).withColumn("band", F.col("band").cast("string")), QID)
     nodes = _nodes(spark, d).where("node = leaf")
-    return Q.estimate(combos, QID, Q.random_workload(nodes.select("column", "leaf")), nodes).select("query_id", _r("estimate", 6).alias("estimate"))
+    return Q.estimate(combos, QID, staged(Q.random_workload(nodes.select("column", "leaf")), "workload"), nodes).select("query_id", _r("estimate", 6).alias("estimate"))
 
 
 def query_relative_error(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +90,7 @@ def count_queries_scopes(spark: SparkSession, d: str) -> DataFrame:
     released = G.generalize(rows, people_hierarchies(spark, d), VECTOR)
     out = None
     for scope, columns in SCOPES.items():
-        asked = _scope_workload(spark, d, scope)
+        asked = staged(_scope_workload(spark, d, scope), "workload")  # drawn once, read many times
         real, guess = (Q.estimate(G.distinct_combinations(x.withColumn("band", F.col("band").cast("string")), columns), columns, asked, nodes) for x in (rows, released))
         one = real.withColumnRenamed("estimate", "real").join(guess, "query_id").select(F.lit(scope).alias("scope"), "query_id", _r("real", 4).alias("real"), _r("estimate", 4).alias("estimate"))
         out = one if out is None else out.unionByName(one)
