@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -72,3 +73,36 @@ def test_learners_of_fit_predict(spark):
         assert guessed.columns == ["rid", "n", "s", "t", "guess"] and guessed.where("guess = s").count() == 40
     with pytest.raises(ValueError):
         models.fit_predict(df, df, "s", ["n"], [], False, learner="other")
+
+
+@pytest.mark.parametrize("classes", [0, 2, 4])
+def test_cells_grow_the_trees_of_the_rows(spark, monkeypatch, classes):
+    """Counted cells against Spark ML over the rows."""
+    rnd = random.Random(40 + classes)
+    rows = []
+    for _ in range(400):
+        a, b = rnd.randrange(12), rnd.randrange(20)
+        rows.append((float(a), float(b), a * b + rnd.random() if classes == 0 else float((a * b + rnd.randrange(3)) % classes)))
+    df = vectors(spark, rows)
+    losses = [[], []]
+    cells = boosting.fit(df, classes, rounds=1, depth=3)
+    boosting.fit(df, classes, rounds=3, depth=5, losses=losses[0])
+    assert isinstance(cells, boosting.Counted) and [len(c) for c in cells.cuts] == [11, 19]
+    monkeypatch.setattr(boosting, "TREE_CELLS", 10)
+    whole = boosting.fit(df, classes, rounds=1, depth=3)
+    boosting.fit(df, classes, rounds=3, depth=5, losses=losses[1])
+    assert isinstance(whole, boosting.Boosted)
+    got, expected = ({(r["a"], r["b"]): list(r["__margins"]) for r in m.margins(df).collect()} for m in (cells, whole))
+    assert got.keys() == expected.keys() and len(got) > 100
+    assert all(got[k] == pytest.approx(expected[k], rel=1e-6, abs=1e-9) for k in got)
+    assert losses[0] == pytest.approx(losses[1], rel=0.03)  # further down, splits of equal gain may be taken either way
+
+
+def test_a_tree_of_cells_by_hand():
+    codes = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], np.uint8)
+    feature, cut, left, value = boosting._grow(codes, np.array([-4.0, -2.0, 2.0, 4.0]), np.array([2.0, 2.0, 2.0, 2.0]), 15)
+    assert feature.tolist() == [0, 1, 1, -1, -1, -1, -1] and cut.tolist()[:3] == [0, 0, 0] and left.tolist()[:3] == [1, 3, 5]
+    assert value.tolist() == [0.0, -1.5, 1.5, -2.0, -1.0, 1.0, 2.0]
+    # a summed h below MIN_WEIGHT and 0.49 of the whole is no node; equal steps are not split
+    assert len(boosting._grow(codes, np.array([-1.0, -1.0, 1.0, 1.0]), np.full(4, 0.4), 15)[0]) == 3
+    assert len(boosting._grow(codes, np.full(4, 3.0), np.full(4, 2.0), 15)[0]) == 1

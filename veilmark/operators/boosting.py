@@ -5,33 +5,68 @@ class otherwise) to the negative gradients ``g`` of the loss, weighted by its
 second derivatives ``h``: a regression tree over targets ``g / h`` with weights
 ``h`` splits where the loss falls most, and its leaves are Newton steps
 ``sum(g) / sum(h)``. A node holds a summed ``h`` of ``MIN_WEIGHT`` at least.
-The trees of a round are fitted side by side; margins are written once a round,
-so no round's plan holds the rounds before it.
+
+A tree sees a feature only through its thresholds (``BINS`` at most), so rows
+that lie between the same thresholds everywhere, a *cell*, share margins and
+steps. Rows are counted by cell once, by Spark; rounds read cells with their
+counts, whose number follows the values of the features and not the rows. Up
+to ``TREE_CELLS`` cells an output's tree of a round is one task's work, and a
+round is two jobs. Where there are more cells, Spark ML grows the trees over
+the rows, level by level. Margins are written once a round, so no round's plan
+holds the rounds before it.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from .generalize import BROADCAST_LEAVES, small
 from .stages import release, staged
 
+# executors need not have this package: what tasks use of this module travels with them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rounds, greatest depth of a tree and learning rate of the surveyed models (fixed values).
 ROUNDS, DEPTH, RATE = 30, 15, 0.2
 #: Least summed second derivative of a node, and of a row.
 MIN_WEIGHT, LEAST = 1.0, 1e-6
 #: Trees of a round that are fitted at a time, and rows that are worth a task.
 AT_ONCE, TASK_ROWS = 8, 10_000
+#: Thresholds of a feature at most (as many as Spark ML takes), and cells up to which a task grows a whole tree (some 60 MB).
+BINS, TREE_CELLS = 31, 500_000
+
+
+class _Guesses:
+    """What models of either kind say; they have ``classes`` and ``margins``."""
+
+    def predict(self, df: DataFrame, guess: str = "__g", features: str = "__x") -> DataFrame:
+        """``df`` with the number or the index of the likeliest class (the first of equal ones)."""
+        out = self.margins(df, features=features)
+        m = F.col("__margins")
+        if self.classes == 0:
+            value = m[0]
+        elif self.classes == 2:
+            value = (m[0] > 0).cast("double")
+        else:
+            value = (F.array_position(m, F.array_max(m)) - 1).cast("double")
+        return out.withColumn(guess, value).drop("__margins")
 
 
 @dataclass(frozen=True)
-class Boosted:
+class Boosted(_Guesses):
     """``start`` and one ensemble an output; ``classes`` is 0 for a number."""
 
     start: tuple[float, ...]
@@ -44,17 +79,28 @@ class Boosted:
             out = e.setFeaturesCol(features).setPredictionCol(n).transform(out)
         return out.withColumn(name, F.array(*[F.col(n) + F.lit(s) for n, s in zip(names, self.start, strict=True)])).drop(*names)
 
-    def predict(self, df: DataFrame, guess: str = "__g", features: str = "__x") -> DataFrame:
-        """``df`` with the number or the index of the likeliest class (the first of equal ones)."""
-        out = self.margins(df, features=features)
-        m = F.col("__margins")
-        if self.classes == 0:
-            value = m[0]
-        elif self.classes == 2:
-            value = (m[0] > 0).cast("double")
-        else:
-            value = (F.array_position(m, F.array_max(m)) - 1).cast("double")
-        return out.withColumn(guess, value).drop("__margins")
+
+@dataclass(frozen=True)
+class Counted(_Guesses):
+    """A model of cells: thresholds of every feature, and the trees of every output as arrays of nodes.
+
+    No draw has a part in it, so fits of the same rows are one model.
+    """
+
+    start: tuple[float, ...]
+    cuts: tuple[np.ndarray, ...]
+    trees: tuple[tuple[tuple[np.ndarray, ...], ...], ...]
+    rate: float
+    classes: int
+
+    def margins(self, df: DataFrame, name: str = "__margins", features: str = "__x") -> DataFrame:
+        if not any(self.trees):
+            return df.withColumn(name, F.array(*map(F.lit, self.start)).cast("array<double>"))
+        rows = df.withColumn("__cell", _cell(self.cuts)(vector_to_array(features)))
+        start = F.array(*map(F.lit, self.start)).cast("array<double>")
+        # trees are walked once a cell
+        found = staged(rows.select("__cell").distinct().select("__cell", _moved(self.trees, self.rate)("__cell", start).alias(name)), "margins")
+        return rows.join(small(found, BROADCAST_LEAVES), "__cell").drop("__cell")
 
 
 def probabilities(margins: Column, classes: int) -> Column:
@@ -86,13 +132,173 @@ def loss(y: Column, margins: Column, classes: int) -> Column:
     return F.avg(-F.log(F.greatest(own, F.lit(1e-15))))
 
 
-def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x", rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, seed: int = 7, losses: list | None = None) -> Boosted:
+def _cuts(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """Thresholds of every feature: between any two neighbouring values if these are few, else quantiles (approximate ones)."""
+    values = staged(rows.select(F.posexplode("__a").alias("i", "v")).where(~F.isnan("v")).distinct(), "values")
+    counts = {r["i"]: r["count"] for r in values.groupBy("i").count().collect()}
+    few = [i for i, n in counts.items() if n <= BINS + 1]
+    known: dict[int, list[float]] = {i: [] for i in few}
+    for r in values.where(F.col("i").isin(few)).orderBy("v").collect() if few else []:
+        known[r["i"]].append(r["v"])
+    release(values)
+    cuts = {i: (np.array(v[1:]) + np.array(v[:-1])) / 2 for i, v in known.items()}
+    if many := sorted(set(counts) - set(few)):
+        shares = [i / (BINS + 1) for i in range(1, BINS + 1)]
+        found = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.col("__a")[i]), F.col("__a")[i]), shares, 10_000) for i in many]).first()
+        cuts |= {i: np.unique(v) for i, v in zip(many, found, strict=True)}
+    return tuple(cuts.get(i, np.empty(0)) for i in range(rows.select(F.max(F.size("__a"))).first()[0] or 0))
+
+
+def _cell(cuts: Sequence[np.ndarray]):
+    """A row's cell: a byte a feature, the number of its thresholds below the value."""
+
+    @pandas_udf("binary")
+    def cell(a: pd.Series) -> pd.Series:
+        x, n = np.stack(a.to_numpy()) if len(a) else np.empty((0, len(cuts))), len(cuts)
+        codes = np.stack([np.searchsorted(at, x[:, i]) for i, at in enumerate(cuts)], axis=1).astype(np.uint8).tobytes()
+        return pd.Series([codes[i * n : i * n + n] for i in range(len(a))])
+
+    return cell
+
+
+def _codes(cells: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+
+
+def _grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> list[np.ndarray]:
+    """A regression tree over ``g / h`` weighted by ``h``: feature (-1: a leaf), greatest code of the left, left child (the right one follows) and value of every node.
+
+    All nodes of a level are split together, from sums by node, feature and code.
+    """
+    least, bins = min(0.49 * h.sum(), MIN_WEIGHT), codes.max(axis=0).astype(int) + 1
+    nodes, size = [], 1
+    rows, at, m = np.arange(len(g)), np.zeros(len(g), int), 1
+    for level in range(depth + 1):
+        own_g, own_h = g[rows], h[rows]
+        total_g, total_h, spread = (np.bincount(at, v, m) for v in (own_g, own_h, own_g * own_g / own_h))
+        best, feature, cut = spread * 1e-12, np.full(m, -1), np.zeros(m, int)  # less is rounding
+        for f in np.flatnonzero(bins > 1) if level < depth else ():
+            key = at * bins[f] + codes[rows, f]
+            left_g, left_h = (np.bincount(key, v, m * bins[f]).reshape(m, -1).cumsum(axis=1)[:, :-1] for v in (own_g, own_h))
+            right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
+            room = (left_h >= least) & (right_h >= least)
+            gain = np.where(room, left_g**2 / np.where(room, left_h, 1) + right_g**2 / np.where(room, right_h, 1) - (total_g**2 / total_h)[:, None], -np.inf)
+            j = gain.argmax(axis=1)
+            gained = gain[np.arange(m), j]
+            better = gained > best
+            best, feature, cut = np.where(better, gained, best), np.where(better, f, feature), np.where(better, j, cut)
+        inner = feature >= 0
+        place = np.cumsum(inner) - 1
+        nodes.append((feature, cut, np.where(inner, size + 2 * place, -1), total_g / total_h))
+        size += 2 * int(inner.sum())
+        if not inner.any():
+            break
+        go = inner[at]
+        rows, at = rows[go], at[go]
+        at, m = 2 * place[at] + (codes[rows, feature[at]] > cut[at]), 2 * int(inner.sum())
+    return [np.concatenate(v) for v in zip(*nodes, strict=True)]
+
+
+def _moved(trees: Sequence[Sequence[Sequence[np.ndarray]]], rate: float):
+    """Margins of a cell after the trees of every output."""
+
+    @pandas_udf("array<double>")
+    def moved(cell: pd.Series, margins: pd.Series) -> pd.Series:
+        codes, out = _codes(cell), np.stack(margins.to_numpy()).copy() if len(cell) else np.empty((0, len(trees)))
+        every = np.arange(len(cell))
+        for k, own in enumerate(trees):
+            for feature, cut, left, value in own:
+                at = np.zeros(len(cell), int)
+                while len(at) and (inner := feature[at] >= 0).any():
+                    at = np.where(inner, left[at] + (codes[every, feature[at]] > cut[at]), at)
+                out[:, k] += rate * value[at]
+        return pd.Series(list(out))
+
+    return moved
+
+
+_TREE = "k int, feature array<int>, cut array<int>, left array<int>, value array<double>"
+
+
+def _cell_steps(classes: int) -> Column:
+    """``g`` and ``h`` of every output, summed over the rows of a cell: those of :func:`_steps`."""
+    n, c, f = F.col("n"), F.col("c"), F.col("f")
+    if classes == 0:
+        return F.array(F.struct((c[0] - n * f[0]).alias("g"), n.alias("h")))
+    p = probabilities(f, classes)
+    if classes == 2:
+        return F.transform(p, lambda x: F.struct((c[1] - n * x).alias("g"), (n * F.greatest(x * (1 - x), F.lit(LEAST))).alias("h")))
+    return F.transform(p, lambda x, k: F.struct((F.get(c, k) - n * x).alias("g"), (n * F.greatest(2 * x * (1 - x), F.lit(LEAST))).alias("h")))
+
+
+def _cell_loss(classes: int) -> Column:
+    """:func:`loss` from cells."""
+    n, c, f = F.col("n"), F.col("c"), F.col("f")
+    if classes == 0:
+        return F.sum(c[1] - 2 * f[0] * c[0] + n * f[0] * f[0]) / F.sum("n")
+    p = probabilities(f, classes)
+    both = F.array(1 - p[0], p[0]) if classes == 2 else p
+    each = F.zip_with(c, both, lambda m, x: -m * F.log(F.greatest(x, F.lit(1e-15))))
+    return F.sum(F.aggregate(each, F.lit(0.0), lambda t, v: t + v)) / F.sum("n")
+
+
+def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x", rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, seed: int = 7, losses: list | None = None) -> Boosted | Counted:
     """A model of ``label``: a number (``classes`` 0), or a class index below ``classes``.
 
     ``losses`` receives the training loss before the first round and after
     each; that costs a pass a round. One class is a constant guess, and a table
-    without rows gives a model that guesses 0.
+    without rows gives a model that guesses 0. ``seed`` has a say only where
+    the rows have more than ``TREE_CELLS`` cells.
     """
+    outputs = 1 if classes in (0, 2) else classes
+    base = staged(train.select(vector_to_array(features).alias("__a"), F.col(label).cast("double").alias("__label")).dropna(subset=["__label"]), "rows")
+    rows, mean = base.agg(F.count(F.lit(1)), F.avg("__label")).first()
+    if classes == 0:
+        start = [mean or 0.0]
+    elif classes == 2:
+        start = [math.log(max(mean or 0.5, 1e-6) / max(1 - (0.5 if mean is None else mean), 1e-6))]
+    else:
+        start = [0.0] * outputs
+    cuts, trees = _cuts(base), [[] for _ in range(outputs)]
+    counts = base.select(_cell(cuts)("__a").alias("cell"), F.col("__label").alias("y")).groupBy("cell", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if classes == 0:
+        held = F.array(F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y")))
+    else:
+        held = F.array(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0.0)) for k in range(max(classes, 2))])
+    zero = F.array(*map(F.lit, start)).cast("array<double>")
+    state = staged(counts.groupBy("cell").agg(F.sum("n").alias("n"), held.alias("c")).withColumn("f", zero), "boost")
+    release(base)
+    cells = state.count()
+    if cells > TREE_CELLS:
+        release(state)
+        return _fit_rows(train, classes, label, features, rounds, depth, rate, seed, losses)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = _grow(_codes(pdf["cell"]), pdf["g"].to_numpy(), pdf["h"].to_numpy(), depth)
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], **{n: [list(v)] for n, v in zip(("feature", "cut", "left", "value"), tree, strict=True)}})
+
+    spread = max(1, -(-cells // TASK_ROWS))
+    for _ in range(rounds if rows and classes != 1 else 0):
+        if losses is not None:
+            losses.append(state.agg(_cell_loss(classes)).first()[0])
+        long = state.select("cell", F.posexplode(_cell_steps(classes)).alias("k", "s")).select("cell", "k", "s.g", "s.h")
+        # cells in a fixed order, so that reruns add up alike; an explicit number of partitions is not merged again
+        found = long.repartition(outputs, "k").sortWithinPartitions("k", "cell").groupBy("k").applyInPandas(grow, _TREE).collect()
+        own: list[list] = [[] for _ in range(outputs)]
+        for r in found:
+            own[r["k"]].append((*(np.array(r[n], np.int32) for n in ("feature", "cut", "left")), np.array(r["value"])))
+            trees[r["k"]].append(own[r["k"]][0])
+        after = staged(state.coalesce(spread).withColumn("f", _moved(own, rate)("cell", "f")), "boost")
+        release(state)
+        state = after
+    if losses is not None:
+        losses.append(state.agg(_cell_loss(classes)).first()[0])
+    release(state)
+    return Counted(tuple(start), cuts, tuple(map(tuple, trees)), rate, classes)
+
+
+def _fit_rows(train: DataFrame, classes: int, label: str, features: str, rounds: int, depth: int, rate: float, seed: int, losses: list | None) -> Boosted:
+    """:func:`fit` by Spark ML's trees over the rows, whatever the number of cells is."""
     spark = train.sparkSession
     y = F.col("__label")
     base = train.select(F.col(features).alias("__x"), F.col(label).cast("double").alias("__label")).dropna(subset=["__label"])
