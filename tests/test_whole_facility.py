@@ -67,6 +67,21 @@ def test_no_zones_no_sites_and_one_site(spark):
     assert (one.sites, one.cost) == ([6], 4.0) and one.gap <= 0.01
 
 
+def test_one_site_a_place(spark):
+    """Copies of a site change neither choice nor bound: without the copies of a place the bound is the one of single sites."""
+    rnd = random.Random(9)
+    spots = [(float(rnd.randrange(20, 70)), float(rnd.randrange(-120, -20))) for _ in range(14)]
+    zones = spark.createDataFrame([(i, rnd.uniform(20, 70), rnd.uniform(-120, -20)) for i in range(8)], "zone long, lat double, lon double")
+    need = spark.createDataFrame([(i, 1.0 + i) for i in range(8)], "zone long, weight double")
+    once = spark.createDataFrame([(100 + i, *s) for i, s in enumerate(spots)], "site long, lat double, lon double")
+    often = spark.createDataFrame([(100 + 14 * c + i, *s) for c in range(30) for i, s in enumerate(spots)], "site long, lat double, lon double")
+    assert sorted(facility.places(often, 3).collect()) == sorted(once.collect())
+    a, b = (facility.p_median(need, facility.distance_table(zones, facility.places(x, 3)), 3) for x in (once, often))
+    assert a == b and b.gap <= 0.05
+    # fewer places than sites are wanted: copies fill up the choice
+    assert facility.places(often.where("site % 14 < 2"), 3).count() == 6
+
+
 def test_gap_of_the_suppliers_is_at_most_a_hundredth(spark):
     rows = registry.QUERIES["facility_median"](spark, SF).collect()
     km, z, s = brute_km()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.geo import haversine_km
@@ -50,6 +50,18 @@ def weigh_patients(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", patient_weight(male, age, number("hypertension"), number("avg_glucose_level"), bmi, smoking, number("Income")))
 
 
+def places(sites: DataFrame, p: int = SITES) -> DataFrame:
+    """One site, that of the least id, for each place of ``(site, lat, lon)``.
+
+    A second site at a place never lowers a cost, but its copies take each
+    other's part in a bound. With fewer than ``p`` places, ``p`` sites each stay.
+    """
+    by = Window.partitionBy("lat", "lon").orderBy("site")
+    few = staged(sites.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= p), "places")
+    one = few.where("__nth = 1")
+    return (one if one.limit(p).count() == p else few).drop("__nth")
+
+
 def distance_table(zones: DataFrame, sites: DataFrame) -> DataFrame:
     """``(zone, site, km)`` of ``(zone, lat, lon)`` and ``(site, lat, lon)``.
 

@@ -149,13 +149,13 @@ def facility_assignment_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facility_greedy(spark: SparkSession, d: str) -> DataFrame:
-    sites, cost = L.choose_sites(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), _sites(spark, d)))
+    sites, cost = L.choose_sites(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), L.places(_sites(spark, d))))
     return spark.createDataFrame([(s, round(cost, 2)) for s in sites], "site long, cost double")
 
 
 def facility_median(spark: SparkSession, d: str) -> DataFrame:
     """Ten sites with the cost, the proven lower bound and the gap between them."""
-    m = L.p_median(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), _sites(spark, d)))
+    m = L.p_median(L.demand(patient_weight(spark, d), "zone", "weight"), L.distance_table(_zones(spark, d), L.places(_sites(spark, d))))
     return spark.createDataFrame([(s, round(m.cost, 2), round(m.lower, 2), round(m.gap, 6)) for s in m.sites], "site long, cost double, lower_bound double, gap double")
 
 
