@@ -59,6 +59,18 @@ def test_neighbours_match_brute_force(tables, monkeypatch, block, regions):
     assert dict(knn.nearest_other(left, metric()).collect()) == {a[0]: min(brute(a, b) for b in q if b[0] != a[0]) for a in q}
 
 
+def test_rows_that_must_not_meet_themselves_are_searched_once_a_combination(spark, tables, monkeypatch):
+    """As many query rows as combinations, whatever repeats; each row is left out of its own neighbours alone."""
+    q, _, left, _ = tables
+    rows = [(a[0] * 40 + i, *a[1:]) for a in q[:30] for i in range(9)]
+    asked, search = [], pruned.near_pairs
+    monkeypatch.setattr(knn, "near_pairs", lambda q, *rest: asked.append(q.count()) or search(q, *rest))
+    got = knn.top_k(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows, SCHEMA), metric(), 12, exclude_self=True).collect()
+    assert asked == [len({a[1:] for a in rows})]
+    expected = {(a[0], r + 1, b[0], brute(a, b)) for a in rows for r, b in enumerate(sorted((b for b in rows if b[0] != a[0]), key=lambda b: (brute(a, b), b[0]))[:12])}
+    assert {(r["query_id"], r["rank"], r["cand_id"], r["dist"]) for r in got} == expected and len(got) == len(expected)
+
+
 def test_empty_sides_and_null_numbers(spark, tables):
     q, c, left, right = tables
     for a, b in ((left.limit(0), right), (left, right.limit(0))):
