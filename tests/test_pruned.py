@@ -96,6 +96,17 @@ def test_few_pairs_are_seen_on_clustered_records(spark):
     assert seen < 0.08 * 600 * 5400
 
 
+def test_few_pairs_are_seen_where_columns_are_independent(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.random() * 20, rnd.random() * 3, *(lambda u: (u + str(rnd.randrange(8)), u))("uvw"[rnd.randrange(3)]), "s") for i in range(12000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    m = Metric((Number("x", 20.0), Category(("leaf", "up"), lambda s: [F.col(f"{s}_leaf"), F.col(f"{s}_up")]), Number("y", 3.0)))
+    q = df.where("rid % 20 = 0").select(*[F.col(k).alias(f"q_{k}") for k in m.keys])
+    index = pruned.Index(df.where("rid % 20 <> 0").select(*[F.col(k).alias(f"c_{k}") for k in m.keys]), m)
+    seen = pruned.visits(q, index, 1).join(index.rows.groupBy("__block").count(), "__block").agg(F.sum("count")).first()[0]
+    assert seen < 0.08 * 600 * 11400
+
+
 def test_bounds_never_exceed_distances(tables, monkeypatch):
     monkeypatch.setattr(pruned, "BLOCK_ROWS", 8)
     q, c, left, right = tables
