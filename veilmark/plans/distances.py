@@ -10,6 +10,7 @@ from veilmark.operators import distance as D
 from veilmark.operators import evaluate as E
 from veilmark.operators import knn, prep
 from veilmark.operators import privacy as P
+from veilmark.operators import totals as T
 from veilmark.operators.dispatch import Distances, domains
 from veilmark.operators.generalize import generalize
 from veilmark.operators.hierarchy import Hierarchy, first_level, interval_hierarchy, order_hierarchy
@@ -38,10 +39,6 @@ def qid_distance() -> Column:
     return D.record({"size": D.numeric(*_c("size"), SIZE_WIDTH), "brand": brand_distance(), "type": type_distance()})
 
 
-def all_distance(price_width: float) -> Column:
-    return D.record({"size": D.numeric(*_c("size"), SIZE_WIDTH), "brand": brand_distance(), "type": type_distance(), "price": D.numeric(*_c("price"), price_width)})
-
-
 _BRAND_PART = Category(("brand", "grp"), lambda side: [F.col(f"{side}_brand"), F.col(f"{side}_grp")])
 _TYPE_PART = Category(("type",), lambda side: [F.col(f"{side}_type")])
 
@@ -86,6 +83,12 @@ def _summary(df: DataFrame, cand: DataFrame, d: Column, keys: list[str], cand_ke
     return _back(df, keys, found)
 
 
+def _record_summary(df: DataFrame, cand: DataFrame, metric: Metric) -> DataFrame:
+    """:func:`_summary` of a record distance that is told column by column."""
+    found = T.summary(df, cand, metric)
+    return _back(df, metric.keys, found.withColumns({n: _r(n, 6) for n in ("total", "least", "most")}))
+
+
 def distance_numeric(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
     return _summary(df, df, D.numeric(*_c("size"), SIZE_WIDTH), ["size"])
@@ -136,7 +139,7 @@ def attribute_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def record_distance(spark: SparkSession, d: str) -> DataFrame:
     df = parts(spark, d)
-    return _summary(df, df, all_distance(_price_width(df)), ["size", "brand", "grp", "type", "price"])
+    return _record_summary(df, df, all_metric(_price_width(df)))
 
 
 def distance_dispatch(spark: SparkSession, d: str) -> DataFrame:
