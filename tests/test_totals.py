@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veilmark.operators import knn, totals
 from veilmark.operators.pruned import Category, Metric, Number, Opaque
+from veilmark.plans import registry
 
 
 def _metric() -> Metric:
@@ -64,3 +66,16 @@ def test_empty_sides_and_values_without_a_number(spark):
     assert totals.summary(q, q.limit(0), metric).count() == 0 == totals.summary(q.limit(0), q, metric).count()
     odd = q.withColumn("income", F.when(F.col("level") > 3, F.lit(float("nan"))).otherwise(F.col("income")))
     assert totals.summary(odd, odd, metric).count() == odd.distinct().count()
+
+
+@pytest.mark.parametrize("name", ["record_distance", "distance_dispatch"])
+def test_record_queries_match_their_sql_without_the_grid(spark, sf, monkeypatch, name):
+    duck = duckdb.connect()
+    duck.sql(f"create view part as select * from '{sf}/part.parquet'")
+    expected = {r[0]: r[1:] for r in duck.sql(registry.SQL[name]).fetchall()}
+    monkeypatch.setattr(totals, "PAIR", 1e9)
+    monkeypatch.setattr(knn, "pairs", _never)
+    got = {r["rid"]: (r["total"], r["least"], r["most"]) for r in registry.QUERIES[name](spark, sf).collect()}
+    assert got.keys() == expected.keys()
+    for rid, found in got.items():
+        assert found == pytest.approx([float(v) for v in expected[rid]], abs=2e-6)
