@@ -106,3 +106,50 @@ def test_a_tree_of_cells_by_hand():
     # a summed h below MIN_WEIGHT and 0.49 of the whole is no node; equal steps are not split
     assert len(boosting._grow(codes, np.array([-1.0, -1.0, 1.0, 1.0]), np.full(4, 0.4), 15)[0]) == 3
     assert len(boosting._grow(codes, np.full(4, 3.0), np.full(4, 2.0), 15)[0]) == 1
+
+
+def odd_table(spark):
+    """3,000 rows of few combinations with nulls and NaN, and a number of 50 values."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(3000):
+        n = rnd.choice([None, float("nan"), *map(float, range(50))] if i % 2 else [1.0, 2.0])
+        s = rnd.choice(["a", "b", None])
+        x = (n if n is not None and n == n else 60.0) + (9.0 if s == "a" else 0.0)
+        rows.append((i, n, s, x + rnd.randrange(3), rnd.choice([None, "p"]) if i % 50 == 0 else "pqr"[int(x + rnd.randrange(9)) // 9 % 3]))
+    return spark.createDataFrame(rows, "rid long, n double, s string, y double, t string")
+
+
+@pytest.mark.parametrize("target", ["y", "t"])
+def test_models_read_counted_combinations(spark, monkeypatch, target):
+    """No table of vectors or guesses has more rows than there are combinations; guesses are those of a model of the rows."""
+    df, sizes, real = odd_table(spark), [], boosting.staged
+
+    def sized(table, label):
+        out = real(table, label)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(boosting, "staged", sized)
+    monkeypatch.setattr(models.stages, "staged", sized)
+    unseen = spark.createDataFrame([(-1, 3.0, "unseen", 0.0, "p"), (-2, -7.0, None, 0.0, None)], df.schema)
+    guessed = models.fit_predict(df, df.unionByName(unseen), target, ["n"], ["s"], target == "y", rounds=4)
+    got = {r["rid"]: r["guess"] for r in guessed.collect()}
+    assert len(got) == 3002 and None not in got.values()
+    assert sizes and max(n for _, n in sizes) <= 52 * 4 * 4
+    monkeypatch.undo()
+    rows = df.withColumn("__y", F.col("y")) if target == "y" else df.where("t is not null").withColumn("__y", F.array_position(F.array(*map(F.lit, "pqr")), F.col("t")) - 1)
+    ready = models.Pipeline(stages=models._features(["n"], ["s"])).fit(rows)
+    # vectors before they are scaled: the deviation of a column with a NaN is NaN
+    whole = boosting.fit(ready.transform(rows), 0 if target == "y" else 3, features="__raw", rounds=4).predict(ready.transform(df.unionByName(unseen)), features="__raw")
+    expected = {r["rid"]: r["__g"] if target == "y" else "pqr"[int(r["__g"])] for r in whole.collect()}
+    assert got == (pytest.approx(expected) if target == "y" else expected)
+
+
+def test_more_cells_than_a_task_grows_are_read_as_rows(spark, monkeypatch):
+    df = odd_table(spark).where("t is not null")
+    counted = models.fit_predict(df, df, "t", ["n"], ["s"], False, rounds=3)
+    share = lambda g: g.agg(F.avg((F.col("guess") == F.col("t")).cast("double"))).first()[0]
+    own = share(counted)
+    monkeypatch.setattr(boosting, "TREE_CELLS", 10)
+    assert share(models.fit_predict(df, df, "t", ["n"], ["s"], False, rounds=3)) == pytest.approx(own, abs=0.02) and own > 0.6

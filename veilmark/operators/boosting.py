@@ -9,7 +9,8 @@ second derivatives ``h``: a regression tree over targets ``g / h`` with weights
 A tree sees a feature only through its thresholds (``BINS`` at most), so rows
 that lie between the same thresholds everywhere, a *cell*, share margins and
 steps. Rows are counted by cell once, by Spark; rounds read cells with their
-counts, whose number follows the values of the features and not the rows. Up
+counts, whose number follows the values of the features and not the rows.
+:func:`counted` makes the counts from columns, before any vector is made. Up
 to ``TREE_CELLS`` cells an output's tree of a round is one task's work, and a
 round is two jobs. Where there are more cells, Spark ML grows the trees over
 the rows, level by level. Margins are written once a round, so no round's plan
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -132,8 +133,11 @@ def loss(y: Column, margins: Column, classes: int) -> Column:
     return F.avg(-F.log(F.greatest(own, F.lit(1e-15))))
 
 
-def _cuts(rows: DataFrame) -> tuple[np.ndarray, ...]:
-    """Thresholds of every feature: between any two neighbouring values if these are few, else quantiles (approximate ones)."""
+def _cuts(rows: DataFrame, features: int | None = None) -> tuple[np.ndarray, ...]:
+    """Thresholds of every feature: between any two neighbouring values if these are few, else quantiles (approximate ones).
+
+    ``features`` is the length of the arrays ``__a``; unless it is known, the rows are asked for it.
+    """
     values = staged(rows.select(F.posexplode("__a").alias("i", "v")).where(~F.isnan("v")).distinct(), "values")
     counts = {r["i"]: r["count"] for r in values.groupBy("i").count().collect()}
     few = [i for i, n in counts.items() if n <= BINS + 1]
@@ -146,7 +150,29 @@ def _cuts(rows: DataFrame) -> tuple[np.ndarray, ...]:
         shares = [i / (BINS + 1) for i in range(1, BINS + 1)]
         found = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.col("__a")[i]), F.col("__a")[i]), shares, 10_000) for i in many]).first()
         cuts |= {i: np.unique(v) for i, v in zip(many, found, strict=True)}
-    return tuple(cuts.get(i, np.empty(0)) for i in range(rows.select(F.max(F.size("__a"))).first()[0] or 0))
+    if features is None:
+        features = rows.select(F.max(F.size("__a"))).first()[0] or 0
+    return tuple(cuts.get(i, np.empty(0)) for i in range(features))
+
+
+def binned(rows: DataFrame, numeric: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``__b_<column>`` for every number: how many of the thresholds of ``rows`` lie below it.
+
+    A tree splits these codes where it splits the numbers. Without a number
+    (null or NaN) all thresholds count.
+    """
+    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric}
+    cuts = _cuts(rows.select(F.array(*values.values()).alias("__a")), len(numeric)) if numeric else ()
+    codes = {f"__b_{c}": sum(((v > float(t)).cast("int") for t in at), F.lit(0)).cast("double") for (c, v), at in zip(values.items(), cuts, strict=True)}
+    return lambda df: df.withColumns(codes) if codes else df
+
+
+def counted(rows: DataFrame, keys: Sequence[str], label: str, number: bool) -> DataFrame:
+    """Distinct ``keys`` with their rows ``__n``: by class, or with the sums ``__s`` of a number and ``__q`` of its squares."""
+    y = F.col(label).cast("double")
+    sums = [F.sum(y).alias("__s"), F.sum(y * y).alias("__q")] if number else []
+    by = list(dict.fromkeys([*keys, *([] if number else [label])]))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("__n"), *sums)
 
 
 def _cell(cuts: Sequence[np.ndarray]):
@@ -242,17 +268,23 @@ def _cell_loss(classes: int) -> Column:
     return F.sum(F.aggregate(each, F.lit(0.0), lambda t, v: t + v)) / F.sum("n")
 
 
-def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x", rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, seed: int = 7, losses: list | None = None) -> Boosted | Counted:
+def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x", rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, seed: int = 7, losses: list | None = None, counts: DataFrame | None = None) -> Boosted | Counted:
     """A model of ``label``: a number (``classes`` 0), or a class index below ``classes``.
 
     ``losses`` receives the training loss before the first round and after
     each; that costs a pass a round. One class is a constant guess, and a table
-    without rows gives a model that guesses 0. ``seed`` has a say only where
-    the rows have more than ``TREE_CELLS`` cells.
+    without rows gives a model that guesses 0. ``counts`` are the rows of
+    ``train`` as :func:`counted` sums them up, with ``features``; they are then
+    read instead. ``seed`` has a say, and ``train`` is read beside ``counts``,
+    only where the rows have more than ``TREE_CELLS`` cells.
     """
     outputs = 1 if classes in (0, 2) else classes
-    base = staged(train.select(vector_to_array(features).alias("__a"), F.col(label).cast("double").alias("__label")).dropna(subset=["__label"]), "rows")
-    rows, mean = base.agg(F.count(F.lit(1)), F.avg("__label")).first()
+    y = F.col(label).cast("double") if counts is None or classes else F.lit(0.0)
+    n, s, q = (F.lit(1.0), y, y * y) if counts is None else (F.col("__n"), F.col("__n") * y, F.lit(0.0)) if classes else map(F.col, ("__n", "__s", "__q"))
+    source = (train if counts is None else counts).select(vector_to_array(features).alias("__a"), y.alias("__label"), n.alias("__n"), s.alias("__s"), q.alias("__q"))
+    base = staged(source.dropna(subset=["__label"]), "rows")
+    rows, total = base.agg(F.sum("__n"), F.sum("__s")).first()
+    mean = total / rows if rows else None
     if classes == 0:
         start = [mean or 0.0]
     elif classes == 2:
@@ -260,13 +292,13 @@ def fit(train: DataFrame, classes: int, label: str = "__y", features: str = "__x
     else:
         start = [0.0] * outputs
     cuts, trees = _cuts(base), [[] for _ in range(outputs)]
-    counts = base.select(_cell(cuts)("__a").alias("cell"), F.col("__label").alias("y")).groupBy("cell", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     if classes == 0:
-        held = F.array(F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y")))
+        held = F.array(F.sum("__s"), F.sum("__q"))
     else:
-        held = F.array(*[F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0.0)) for k in range(max(classes, 2))])
+        held = F.array(*[F.sum(F.when(F.col("__label") == k, F.col("__n")).otherwise(0.0)) for k in range(max(classes, 2))])
     zero = F.array(*map(F.lit, start)).cast("array<double>")
-    state = staged(counts.groupBy("cell").agg(F.sum("n").alias("n"), held.alias("c")).withColumn("f", zero), "boost")
+    by_cell = base.withColumn("cell", _cell(cuts)("__a")).groupBy("cell")
+    state = staged(by_cell.agg(F.sum("__n").alias("n"), held.alias("c")).withColumn("f", zero), "boost")
     release(base)
     cells = state.count()
     if cells > TREE_CELLS:
